@@ -142,3 +142,24 @@ def running_sums(
             for i, (name, source) in enumerate(sums.items())
         ],
     )
+
+
+def global_rank(df: DataFrame, score: str, name: str, rank: str = "rank", seed: int = 42) -> DataFrame:
+    """Rank 1..n by descending score over the whole table; equal scores in seeded order of ``name``.
+
+    Distinct scores get their offset from two-level running sums, rows of one score are numbered by
+    token buckets, so neither a long table nor one frequent score ends up in a single task.
+    Fitting the score buckets is one aggregate.
+    """
+    valued = df.where(_ordinary(score)).withColumn("_score", -F.col(quoted(score)).cast("double"))
+    edges = bucket_edges(valued, ["_score"], bucket_count(df))
+    counts = with_buckets(valued.select("_score"), edges).groupBy("_score_bucket", "_score").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    offsets = running_sums(counts, [], "_score_bucket", "_score", {"_upto": "_n"}).select(
+        "_score", (F.col("_upto") - F.col("_n")).alias("_before")
+    )
+    numbered = shuffled_rank(valued, [name], seed, ["_score"], "_inside", None)
+    return numbered.join(offsets, "_score").select(
+        *[F.col(quoted(c)) for c in df.columns], (F.col("_before") + F.col("_inside")).alias(rank)
+    )
