@@ -90,7 +90,12 @@ def with_class_weight(df: DataFrame, label: str, weight: str = "weight") -> Data
 
 
 def sample_exact(df: DataFrame, keys: list[str], ratio: float | None = None, n: int | None = None, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` (or ``max(1, int(rows · ratio))``) rows in seeded order, without replacement."""
+    """Exactly ``n`` (or ``max(1, int(rows · ratio))``) rows in seeded order, without replacement.
+
+    A small ``n`` is a top-n by token, which every task cuts to n rows before anything moves.
+    """
+    if n is not None and n <= 10_000:
+        return df.orderBy(row_token(keys, seed), *[F.col(quoted(c)) for c in keys]).limit(n)
     ranked = shuffled_rank(df, keys, seed, None, "_rank", "_n")
     wanted = F.lit(n) if n is not None else F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(ratio)))
     return ranked.where(F.col("_rank") <= wanted).drop("_rank", "_n")
