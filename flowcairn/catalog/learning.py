@@ -306,5 +306,5 @@ def random_search(spark, sf_dir):
 @query("config_search")
 def preparation_search(spark, sf_dir):
     """All 108 preparation configurations, best first."""
-    df, features = wide_vectors(spark, sf_dir, 32)
+    df, features = wide_vectors(spark, sf_dir, 12)
     return config_search.ranked(config_search.search(df, features, "label", ["vec_id"], max_iter=50))

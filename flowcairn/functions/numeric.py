@@ -6,6 +6,8 @@ cleaning has to deal with before imputation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,22 +24,46 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def sql_literal(value: float) -> str:
+    """A double as SQL text."""
+    if math.isinf(value):
+        return "double('Infinity')" if value > 0 else "double('-Infinity')"
+    return f"{float(value)!r}D"
+
+
+def number_sql(name: str, text: bool = True) -> str:
+    """SQL of ``as_number``. Wide tables use SQL text: one call per column instead of one per node."""
+    q = quoted(name)
+    value = f"try_cast({q} AS DOUBLE)"
+    if text:
+        value = f"CASE WHEN NOT (CAST({q} AS STRING) RLIKE '[0-9.][dDfF] *$') THEN {value} END"
+    return f"nullif({value}, double('NaN'))"
+
+
+def finite_sql(name: str) -> str:
+    """SQL of ``is_finite``."""
+    q = quoted(name)
+    return f"coalesce(NOT isnan({q}) AND abs({q}) < double('Infinity'), false)"
+
+
 def as_number(c: Column | str, text: bool = True) -> Column:
     """Coerce to double; text that is no number, and NaN, become NULL.
 
     Java's parser also takes a type suffix (``1.5d``), which is text to every CSV reader.
     """
-    c = _col(c)
+    if isinstance(c, str):
+        return F.expr(number_sql(c, text))
     value = c.try_cast("double")
     if text:
-        suffixed = c.cast("string").rlike(r"[0-9.][dDfF]\s*$")
+        suffixed = c.cast("string").rlike("[0-9.][dDfF] *$")
         value = F.when(~suffixed, value)
     return F.when(~F.isnan(value), value)
 
 
 def is_finite(c: Column | str) -> Column:
     """True for a present, finite number; never NULL."""
-    c = _col(c)
+    if isinstance(c, str):
+        return F.expr(finite_sql(c))
     return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(INF)), F.lit(False))
 
 
@@ -47,15 +73,15 @@ def is_valid_ratio(c: Column | str) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(INF)) & (c > 0), F.lit(False))
 
 
-def clip(c: Column | str, low: float | Column | None, high: float | Column | None) -> Column:
-    """Bound a value; NULL and NaN pass through (``least``/``greatest`` would replace them)."""
-    c = _col(c)
-    out = c
-    if high is not None:
-        out = F.when((c > high) & ~F.isnan(c), F.lit(high)).otherwise(out)
-    if low is not None:
-        out = F.when(c < low, F.lit(low)).otherwise(out)
-    return out
+def clip_sql(value: str, low: float, high: float) -> str:
+    """Bound an SQL value; NULL passes through, where ``least``/``greatest`` alone would replace it."""
+    return f"CASE WHEN {value} IS NOT NULL THEN least(greatest({value}, {sql_literal(low)}), {sql_literal(high)}) END"
+
+
+def clip(name: str, low: float = -INF, high: float = INF) -> Column:
+    """Bound a column; NULL and NaN pass through."""
+    q = quoted(name)
+    return F.expr(f"CASE WHEN isnan({q}) THEN {q} ELSE {clip_sql(q, low, high)} END")
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:

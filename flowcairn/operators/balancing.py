@@ -67,10 +67,7 @@ def resample(
         )
         types = dict(df.dtypes)
         made = draws.select(
-            *[
-                (F.col("_x")[i] + F.col("_u") * (F.col("_y")[i] - F.col("_x")[i])).cast("double").alias(c)
-                for i, c in enumerate(features)
-            ],
+            *[F.expr(f"_x[{i}] + _u * (_y[{i}] - _x[{i}]) AS {quoted(c)}") for i, c in enumerate(features)],
             F.lit(name).cast(types[label]).alias(label),
         )
         out = out.unionByName(made, allowMissingColumns=True)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowcairn.functions.numeric import INF, as_number, clip, is_finite, quoted
+from flowcairn.functions.numeric import INF, as_number, clip_sql, finite_sql, number_sql, quoted, sql_literal
 from flowcairn.operators.ordering import running_sums
 from flowcairn.operators.quantiles import COLUMNS_PER_AGGREGATE, quantiles
 from flowcairn.session import cut_lineage
@@ -41,26 +41,38 @@ class CleanModel:
     cap: float | None
     medians: dict[str, float] = field(default_factory=dict)
 
-    def expression(self, c: str, value: Column, outliers: bool) -> Column:
+    def expression(self, c: str, value: str, outliers: bool) -> str:
+        """SQL of the cleaned column; ``value`` is the SQL of its number."""
         if self.inf_as_extreme:
             low, high = self.extremes[c]
-            value = F.when(value == INF, F.lit(high)).when(value == -INF, F.lit(low)).otherwise(value)
+            value = (
+                f"CASE {value} WHEN double('Infinity') THEN {sql_literal(high)} "
+                f"WHEN double('-Infinity') THEN {sql_literal(low)} ELSE {value} END"
+            )
         else:
-            value = F.when(F.abs(value) < F.lit(INF), value)
-        if outliers and c in self.bounds:
-            value = clip(value, *self.bounds[c])
-        if outliers and self.cap is not None:
-            value = clip(value, -self.cap, self.cap)
+            value = f"nullif(nullif({value}, double('Infinity')), double('-Infinity'))"
+        limits = self.limits(c) if outliers else None
+        if limits:
+            value = clip_sql(value, *limits)
         if c in self.medians:
-            value = F.coalesce(value, F.lit(self.medians[c]))
+            value = f"coalesce({value}, {sql_literal(self.medians[c])})"
         return value
 
+    def limits(self, c: str) -> tuple[float, float] | None:
+        """Clip bounds of a column with the absolute cap worked in."""
+        bounds = self.bounds.get(c)
+        if self.cap is None:
+            return bounds
+        low, high = bounds or (-INF, INF)
+        return min(max(low, -self.cap), self.cap), min(max(high, -self.cap), self.cap)
+
     def transform(self, df: DataFrame, outliers: bool = False) -> DataFrame:
         """Clean a table. Outlier clipping belongs to the training rows, so it is off by default."""
         types = dict(df.dtypes)
         kept = df.drop(*self.dropped)
         return _replace(
-            kept, {c: self.expression(c, as_number(c, text=types[c] == "string"), outliers) for c in self.columns}
+            kept,
+            {c: F.expr(self.expression(c, number_sql(c, types[c] == "string"), outliers)) for c in self.columns},
         )
 
 
@@ -82,10 +94,13 @@ class Cleaner:
         for part in _in_chunks(columns):
             aggregates = []
             for i, c in enumerate(part):
-                v = F.col(quoted(c))
-                usable = F.when(is_finite(v), v)
-                present = v if self.inf_as_extreme else usable
-                aggregates += [F.count(present).alias(f"n{i}"), F.min(usable).alias(f"l{i}"), F.max(usable).alias(f"h{i}")]
+                finite = f"CASE WHEN {finite_sql(c)} THEN {quoted(c)} END"
+                present = quoted(c) if self.inf_as_extreme else finite
+                aggregates += [
+                    F.expr(f"count({present}) AS n{i}"),
+                    F.expr(f"min({finite}) AS l{i}"),
+                    F.expr(f"max({finite}) AS h{i}"),
+                ]
             row = numbers.agg(*aggregates).first()
             for i, c in enumerate(part):
                 if row[f"n{i}"] == 0:
@@ -96,14 +111,14 @@ class Cleaner:
         model = CleanModel(kept, dropped, self.inf_as_extreme, extremes, {}, self.cap)
         if not kept or (self.clip_quantiles is None and not self.impute):
             return model
-        settled = numbers.select(*[model.expression(c, F.col(quoted(c)), False).alias(c) for c in kept])
+        settled = numbers.selectExpr(*[f"{model.expression(c, quoted(c), False)} AS {quoted(c)}" for c in kept])
         probs = [*(self.clip_quantiles or ()), 0.5]
         found = quantiles(settled, kept, probs, self.mode)
         bounds = {c: (q[0], q[1]) for c, q in found.items()} if self.clip_quantiles else {}
         middle = {c: q[-1] for c, q in found.items()}
         if self.cap is not None and self.impute:  # capping may move the two middle values
             clipped = CleanModel(kept, dropped, self.inf_as_extreme, extremes, bounds, self.cap)
-            capped = numbers.select(*[clipped.expression(c, F.col(quoted(c)), True).alias(c) for c in kept])
+            capped = numbers.selectExpr(*[f"{clipped.expression(c, quoted(c), True)} AS {quoted(c)}" for c in kept])
             middle = {c: q[0] for c, q in quantiles(capped, kept, [0.5], self.mode).items()}
         return CleanModel(
             kept, dropped, self.inf_as_extreme, extremes, bounds, self.cap, middle if self.impute else {}
@@ -125,7 +140,7 @@ class ScaleModel:
         return _replace(
             df,
             {
-                c: (F.col(quoted(c)) - F.lit(center)) / F.lit(scale)
+                c: F.expr(f"({quoted(c)} - {sql_literal(center)}) / {sql_literal(scale)}")
                 for c, (center, scale) in self.parameters.items()
             },
         )
@@ -152,8 +167,8 @@ class StandardScaler:
         parameters = {}
         for part in _in_chunks(columns):
             row = df.agg(
-                *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(part)],
-                *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(part)],
+                *[F.expr(f"avg({quoted(c)}) AS m{i}") for i, c in enumerate(part)],
+                *[F.expr(f"stddev_pop({quoted(c)}) AS s{i}") for i, c in enumerate(part)],
             ).first()
             for i, c in enumerate(part):
                 if row[f"m{i}"] is not None:

@@ -23,15 +23,12 @@ def mutual_information(
     inner = quantiles(values, columns, [i / bins for i in range(1, bins)], mode)
     edges = {c: sorted({e for e in inner[c] if e is not None}) for c in columns}
     binned = with_buckets(values, edges)
-    entry = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), F.col(quoted(c + "_bucket")).alias("bin"), F.col(quoted(c)).alias("v"))
-            for c in columns
-        ]
+    cells = ", ".join(
+        f"named_struct('feature', {i}, 'bin', {quoted(c + '_bucket')}, 'v', {quoted(c)})" for i, c in enumerate(columns)
     )
     table = (
-        binned.select("_label", F.explode(entry).alias("e"))
-        .where(F.col("e.v").isNotNull() & F.col("_label").isNotNull())
+        binned.selectExpr("_label", f"explode(array({cells})) AS e")
+        .where("e.v IS NOT NULL AND _label IS NOT NULL")
         .groupBy("e.feature", "e.bin", "_label")
         .count()
     )
@@ -44,6 +41,7 @@ def mutual_information(
         table.withColumns({"n": n, "by_bin": by_bin, "by_label": by_label})
         .groupBy("feature")
         .agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_information"))
+        .withColumn("feature", F.get(F.array(*[F.lit(c) for c in columns]), F.col("feature")))
     )
 
 
@@ -52,13 +50,17 @@ def dynamic_k(features: int) -> int:
     return min(60, max(10, int(0.3 * features)))
 
 
+def rank_features(df: DataFrame, columns: list[str], label: str, bins: int = 10, mode: str = "exact") -> list[str]:
+    """Features by falling information about the label, ties in input order (an action)."""
+    scores = {r["feature"]: r["mutual_information"] for r in mutual_information(df, columns, label, bins, mode).collect()}
+    return sorted(columns, key=lambda c: (-scores.get(c, 0.0), columns.index(c)))
+
+
 def select_top_k(
     df: DataFrame, columns: list[str], label: str, k: int, bins: int = 10, mode: str = "exact"
 ) -> list[str]:
     """The k features with most information about the label, in input order (an action)."""
     if k >= len(columns):
         return list(columns)
-    scores = {r["feature"]: r["mutual_information"] for r in mutual_information(df, columns, label, bins, mode).collect()}
-    ranked = sorted(columns, key=lambda c: (-scores.get(c, 0.0), columns.index(c)))
-    kept = set(ranked[:k])
+    kept = set(rank_features(df, columns, label, bins, mode)[:k])
     return [c for c in columns if c in kept]

@@ -27,7 +27,7 @@ PIVOTS = 64
 
 def vector_of(columns: list[str]) -> Column:
     """Feature columns as one array of doubles."""
-    return F.array(*[F.col(quoted(c)).cast("double") for c in columns])
+    return F.expr("array(" + ", ".join(f"CAST({quoted(c)} AS DOUBLE)" for c in columns) + ")")
 
 
 def _nearest(q: np.ndarray, r: np.ndarray, same: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,30 +38,36 @@ def _nearest(q: np.ndarray, r: np.ndarray, same: np.ndarray | None, k: int) -> t
     """
     r2 = (r * r).sum(axis=1)
     wanted = min(k, len(r))
+    short_len = min(len(r), wanted + 9)
     rows_out = np.full((len(q), wanted), -1)
     dist_out = np.full((len(q), wanted), np.inf)
-    step = max(1, 2_000_000 // max(1, len(r)))
+    step = max(1, 2_000_000 // len(r))
     for at in range(0, len(q), step):
         part = q[at : at + step]
-        approx = (part * part).sum(axis=1)[:, None] + r2[None, :] - 2.0 * part @ r.T
-        m = min(len(r), wanted + 9)
-        short = np.sort(np.argpartition(approx, m - 1, axis=1)[:, :m], axis=1)
+        skip = None if same is None else same[at : at + step, None]
+        p2 = (part * part).sum(axis=1)
+        approx = p2[:, None] + r2[None, :] - 2.0 * part @ r.T
+        if short_len < len(r):
+            short = np.sort(np.argpartition(approx, short_len - 1, axis=1)[:, :short_len], axis=1)
+        else:
+            short = np.broadcast_to(np.arange(len(r)), approx.shape)
         limit = np.take_along_axis(approx, short, axis=1).max(axis=1)
-        for i in range(len(part)):
-            rows = short[i]
-            d = np.sqrt(((r[rows] - part[i]) ** 2).sum(axis=1))
-            if same is not None and same[at + i] >= 0:
-                d[rows == same[at + i]] = np.inf
-            order = np.argsort(d, kind="stable")[:wanted]
-            slack = 1e-9 * (1.0 + limit[i] + (part[i] * part[i]).sum())
-            if m < len(r) and not d[order[-1]] ** 2 + slack < limit[i]:
-                rows = np.arange(len(r))
-                d = np.sqrt(((r - part[i]) ** 2).sum(axis=1))
-                if same is not None and same[at + i] >= 0:
-                    d[same[at + i]] = np.inf
-                order = np.argsort(d, kind="stable")[:wanted]
-            rows_out[at + i] = np.where(np.isfinite(d[order]), rows[order], -1)
-            dist_out[at + i] = d[order]
+        exact = np.sqrt(((r[short] - part[:, None, :]) ** 2).sum(axis=2))
+        if skip is not None:
+            exact[(short == skip) & (skip >= 0)] = np.inf
+        order = np.argsort(exact, axis=1, kind="stable")[:, :wanted]
+        rows = np.take_along_axis(short, order, axis=1)
+        dist = np.take_along_axis(exact, order, axis=1)
+        if short_len < len(r):
+            slack = 1e-9 * (1.0 + np.abs(limit) + p2)
+            for i in np.flatnonzero(~(dist[:, -1] ** 2 + slack < limit)):
+                full = np.sqrt(((r - part[i]) ** 2).sum(axis=1))
+                if skip is not None and skip[i, 0] >= 0:
+                    full[skip[i, 0]] = np.inf
+                rows[i] = np.argsort(full, kind="stable")[:wanted]
+                dist[i] = full[rows[i]]
+        rows_out[at : at + step] = np.where(np.isfinite(dist), rows, -1)
+        dist_out[at : at + step] = dist
     return rows_out, dist_out
 
 
@@ -134,7 +140,9 @@ def knn_join(
             for batch in batches:
                 yield _matches(batch, shared.value, k, skip_self, payload)
 
-        candidates = q.mapInPandas(match, schema)
+        # Matching costs far more than its bytes tell, so the number of tasks is set, not derived.
+        tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        candidates = q.repartition(tasks, "query_id").mapInPandas(match, schema)
     else:
         candidates = _by_cells(q, r, k, skip_self, payload, schema, slice_rows, pivots)
     best = F.slice(

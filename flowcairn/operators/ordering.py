@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowcairn.functions.numeric import INF, quoted
+from flowcairn.functions.numeric import INF, finite_sql, is_finite, quoted
 
 
 def row_token(keys: list[str], seed: int) -> Column:
@@ -73,11 +73,12 @@ def shuffled_rank(
 
 def bucket_edges(df: DataFrame, columns: list[str], buckets: int) -> dict[str, list[float]]:
     """Inner bucket edges per column from approximate quantiles: one aggregate, bounded result."""
-    shares = [i / buckets for i in range(1, buckets)]
+    shares = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    accuracy = max(10_000, 10 * buckets)
     row = df.agg(
         *[
-            F.percentile_approx(F.when(_ordinary(c), F.col(quoted(c))), shares, max(10_000, 10 * buckets)).alias(
-                f"e{i}"
+            F.expr(
+                f"percentile_approx(CASE WHEN {finite_sql(c)} THEN {quoted(c)} END, array({shares}), {accuracy}) AS e{i}"
             )
             for i, c in enumerate(columns)
         ]
@@ -85,11 +86,6 @@ def bucket_edges(df: DataFrame, columns: list[str], buckets: int) -> dict[str, l
     return {c: sorted(set(row[f"e{i}"] or [])) for i, c in enumerate(columns)}
 
 
-def _ordinary(c: str) -> Column:
-    v = F.col(quoted(c))
-    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(INF))
-
-
 def with_buckets(
     df: DataFrame, edges: dict[str, list[float]], suffix: str = "_bucket"
 ) -> DataFrame:
@@ -105,8 +101,8 @@ def with_buckets(
         outputCols=[c + suffix for c in cols],
         handleInvalid="keep",
     )
-    typed = df.withColumns({c: F.col(quoted(c)).cast("double") for c in cols})
-    return stage.transform(typed).withColumns({c + suffix: F.col(quoted(c + suffix)).cast("int") for c in cols})
+    typed = df.withColumns({c: F.expr(f"CAST({quoted(c)} AS DOUBLE)") for c in cols})
+    return stage.transform(typed).withColumns({c + suffix: F.expr(f"CAST({quoted(c + suffix)} AS INT)") for c in cols})
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -151,7 +147,7 @@ def global_rank(df: DataFrame, score: str, name: str, rank: str = "rank", seed:
     token buckets, so neither a long table nor one frequent score ends up in a single task.
     Fitting the score buckets is one aggregate.
     """
-    valued = df.where(_ordinary(score)).withColumn("_score", -F.col(quoted(score)).cast("double"))
+    valued = df.where(is_finite(score)).withColumn("_score", -F.col(quoted(score)).cast("double"))
     edges = bucket_edges(valued, ["_score"], bucket_count(df))
     counts = with_buckets(valued.select("_score"), edges).groupBy("_score_bucket", "_score").agg(
         F.count(F.lit(1)).alias("_n")

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowcairn.functions.numeric import is_finite, quoted
+from flowcairn.functions.numeric import finite_sql, quoted, sql_literal
 from flowcairn.operators.ordering import bucket_count, bucket_edges, running_sums, with_buckets
 
 SINGLE_PASS_ROWS = 20_000_000
@@ -36,8 +36,10 @@ def quantiles(
         return {}
     if mode not in ("exact", "approx"):
         raise ValueError(f"unknown quantile mode {mode!r}")
-    counted = is_finite if finite else _is_present
-    values = df.select(*[F.when(counted(c), F.col(quoted(c)).cast("double")).alias(c) for c in columns])
+    counted = finite_sql if finite else (lambda c: f"NOT isnan({quoted(c)})")
+    values = df.selectExpr(
+        *[f"CASE WHEN {counted(c)} THEN CAST({quoted(c)} AS DOUBLE) END AS {quoted(c)}" for c in columns]
+    )
     if mode == "approx":
         return _one_aggregate(values, columns, probs, approximate=True)
     if values.select(F.count(F.lit(1))).first()[0] <= single_pass_rows:
@@ -45,18 +47,15 @@ def quantiles(
     return _by_selection(values, columns, probs)
 
 
-def _is_present(c: str) -> Column:
-    return F.col(quoted(c)).isNotNull() & ~F.isnan(F.col(quoted(c)).cast("double"))
-
-
 def _one_aggregate(df, columns, probs, approximate):
     out = {}
+    shares = ", ".join(sql_literal(p) for p in probs)
     for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
         part = columns[start : start + COLUMNS_PER_AGGREGATE]
         aggregates = []
         for i, c in enumerate(part):
-            quantile = (F.percentile_approx if approximate else F.percentile)(quoted(c), probs)
-            aggregates.append(quantile.alias(f"q{i}"))
+            function = "percentile_approx" if approximate else "percentile"
+            aggregates.append(F.expr(f"{function}({quoted(c)}, array({shares})) AS q{i}"))
         row = df.agg(*aggregates).first()
         out.update({c: list(row[f"q{i}"]) if row[f"q{i}"] else [None] * len(probs) for i, c in enumerate(part)})
     return out

@@ -65,8 +65,8 @@ def search(
 ) -> DataFrame:
     """Accuracy of a quick linear model per grid point on a 20 % stratified hold-out.
 
-    The split is written once; every distinct preparation is fitted on the 80 % only. Rows: the grid
-    with ``score`` and ``error``.
+    The split is written once; every distinct stage is fitted once, on the 80 % only, and points that
+    mean the same on this table are trained once. Rows: the grid with ``score`` and ``error``.
     """
     spark = df.sparkSession
     grid = grid or preparation_grid()
@@ -77,11 +77,12 @@ def search(
     )
     train = parted.where("split = 'train'").drop("split")
     test = parted.where("split = 'test'").drop("split")
+    memo: dict = {}
     leaves = list(dict.fromkeys(effective(c, len(features), has_text) for c in grid))
 
     def score(config: PrepareConfig) -> tuple[float | None, str | None]:
         try:
-            fitted = Preparation(config, label, seed).fit(train, features)
+            fitted = Preparation(config, label, seed, memo=memo).fit(train, features)
             ready = cut_lineage(fitted.transform_train(train, keys))
             model = train_model("LR", ready, fitted.features, label, {"max_iter": max_iter}, seed=seed)
             predicted = model.score(fitted.transform(test)).select(label, "prediction")
@@ -89,6 +90,16 @@ def search(
         except Exception as error:  # a failing point keeps its place in the result
             return None, f"{type(error).__name__}: {str(error)[:200]}"
 
+    # Shared stages first, one by one, so the parallel points find them fitted.
+    seen = set()
+    for config in leaves:
+        stages = (config.apply_cleaning, config.apply_encoding, config.apply_feature_selection, config.scaling_method)
+        if stages not in seen:
+            seen.add(stages)
+            try:
+                Preparation(config, label, seed, memo=memo).fit(train, features)
+            except Exception:  # the point itself reports the error below
+                continue
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         found = dict(zip(leaves, pool.map(score, leaves)))
     scored = [(i, *found[effective(c, len(features), has_text)]) for i, c in enumerate(grid)]

@@ -79,12 +79,13 @@ def _forest(p, features, classes, rows, common, weight):
 
 
 def _boosted(p, features, classes, rows, common, weight):
-    common = dict(common)
-    probability = common.pop("probabilityCol")  # a parameter, but not of the constructor
+    # These two are parameters of the estimator, but not of its constructor.
+    probability, raw = common["probabilityCol"], common["rawPredictionCol"]
+    common = {c: n for c, n in common.items() if n not in (probability, raw)}
     return GBTClassifier(
         maxIter=int(p.get("n_estimators", 100)), maxDepth=min(p.get("max_depth") or 6, MLLIB_MAX_DEPTH),
         stepSize=float(p.get("learning_rate", 0.3)), seed=p["seed"], **common, **weight,
-    ).setProbabilityCol(probability)
+    ).setProbabilityCol(probability).setRawPredictionCol(raw)
 
 
 def _network(p, features, classes, rows, common, weight):
