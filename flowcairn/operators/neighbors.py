@@ -75,7 +75,7 @@ def _matches(queries: pd.DataFrame, refs: pd.DataFrame, k: int, skip_self: bool,
     """Top-k rows (query_id, neighbor_id, distance, payload…); ``refs`` is sorted by id."""
     names = ["query_id", "neighbor_id", "distance", *payload]
     if queries.empty or refs.empty:
-        return pd.DataFrame({n: [] for n in names})
+        return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
     q = np.stack(queries["_vec"].to_numpy()).astype(float)
     r = np.stack(refs["_vec"].to_numpy()).astype(float)
     same = None
