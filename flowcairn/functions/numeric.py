@@ -31,19 +31,24 @@ def sql_literal(value: float) -> str:
     return f"{float(value)!r}D"
 
 
-def number_sql(name: str, text: bool = True) -> str:
-    """SQL of ``as_number``. Wide tables use SQL text: one call per column instead of one per node."""
+def raw_number_sql(name: str, text: bool = True) -> str:
+    """SQL of a column as double, NaN still in it."""
     q = quoted(name)
     value = f"try_cast({q} AS DOUBLE)"
-    if text:
-        value = f"CASE WHEN NOT (CAST({q} AS STRING) RLIKE '[0-9.][dDfF] *$') THEN {value} END"
-    return f"nullif({value}, double('NaN'))"
+    return f"CASE WHEN NOT (CAST({q} AS STRING) RLIKE '[0-9.][dDfF] *$') THEN {value} END" if text else value
+
+
+def number_sql(name: str, text: bool = True) -> str:
+    """SQL of ``as_number``. Wide tables use SQL text: one call per column instead of one per node."""
+    return f"nullif({raw_number_sql(name, text)}, double('NaN'))"
 
 
 def finite_sql(name: str) -> str:
-    """SQL of ``is_finite``."""
-    q = quoted(name)
-    return f"coalesce(NOT isnan({q}) AND abs({q}) < double('Infinity'), false)"
+    """SQL of ``is_finite``; NaN sorts above infinity, so one comparison covers both.
+
+    Kept short on purpose: a filter pushed through projections repeats the text it tests.
+    """
+    return f"coalesce(abs({quoted(name)}) < double('Infinity'), false)"
 
 
 def as_number(c: Column | str, text: bool = True) -> Column:

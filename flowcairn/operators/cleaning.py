@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowcairn.functions.numeric import INF, as_number, clip_sql, finite_sql, number_sql, quoted, sql_literal
+from flowcairn.functions.numeric import INF, as_number, clip_sql, finite_sql, quoted, raw_number_sql, sql_literal
 from flowcairn.operators.ordering import running_sums
 from flowcairn.operators.quantiles import COLUMNS_PER_AGGREGATE, quantiles
 from flowcairn.session import cut_lineage
@@ -42,15 +42,16 @@ class CleanModel:
     medians: dict[str, float] = field(default_factory=dict)
 
     def expression(self, c: str, value: str, outliers: bool) -> str:
-        """SQL of the cleaned column; ``value`` is the SQL of its number."""
+        """SQL of the cleaned column; ``value`` is the SQL of its number, NaN allowed."""
         if self.inf_as_extreme:
             low, high = self.extremes[c]
+            value = f"nullif({value}, double('NaN'))"
             value = (
                 f"CASE {value} WHEN double('Infinity') THEN {sql_literal(high)} "
                 f"WHEN double('-Infinity') THEN {sql_literal(low)} ELSE {value} END"
             )
         else:
-            value = f"nullif(nullif({value}, double('Infinity')), double('-Infinity'))"
+            value = f"CASE WHEN abs({value}) < double('Infinity') THEN {value} END"
         limits = self.limits(c) if outliers else None
         if limits:
             value = clip_sql(value, *limits)
@@ -72,7 +73,7 @@ class CleanModel:
         kept = df.drop(*self.dropped)
         return _replace(
             kept,
-            {c: F.expr(self.expression(c, number_sql(c, types[c] == "string"), outliers)) for c in self.columns},
+            {c: F.expr(self.expression(c, raw_number_sql(c, types[c] == "string"), outliers)) for c in self.columns},
         )
 
 
@@ -88,14 +89,14 @@ class Cleaner:
 
     def fit(self, df: DataFrame, columns: list[str]) -> CleanModel:
         types = dict(df.dtypes)
-        numbers = df.select(*[as_number(c, text=types[c] == "string").alias(c) for c in columns])
+        numbers = df.selectExpr(*[f"{raw_number_sql(c, types[c] == 'string')} AS {quoted(c)}" for c in columns])
         extremes: dict[str, tuple[float, float]] = {}
         dropped: list[str] = []
         for part in _in_chunks(columns):
             aggregates = []
             for i, c in enumerate(part):
                 finite = f"CASE WHEN {finite_sql(c)} THEN {quoted(c)} END"
-                present = quoted(c) if self.inf_as_extreme else finite
+                present = f"nullif({quoted(c)}, double('NaN'))" if self.inf_as_extreme else finite
                 aggregates += [
                     F.expr(f"count({present}) AS n{i}"),
                     F.expr(f"min({finite}) AS l{i}"),

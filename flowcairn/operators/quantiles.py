@@ -1,23 +1,25 @@
 """Quantiles of many columns: exact with linear interpolation, or approximate from a sketch.
 
-The exact form takes one of two ways. Below ``single_pass_rows`` one aggregate holds the value counts
-of all columns. Above it no task ever holds a column: approximate edges cut each column into buckets,
-the bucket counts tell which bucket holds each wanted rank, and only those buckets are counted value
-by value.
+Short tables take one aggregate. On longer ones no task ever holds a column: a sketch brackets every
+wanted rank, counting places the bracket exactly, and the bracket is narrowed until its distinct
+values are few. Each round shrinks a bracket about 2500-fold, so one or two rounds serve any table.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowcairn.functions.numeric import finite_sql, quoted, sql_literal
-from flowcairn.operators.ordering import bucket_count, bucket_edges, running_sums, with_buckets
+from flowcairn.functions.numeric import INF, quoted, sql_literal
 
-SINGLE_PASS_ROWS = 20_000_000
+SINGLE_PASS_ROWS = 50_000
 COLUMNS_PER_AGGREGATE = 200
+ACCURACY = 10_000  # rank error of the sketch: rows / ACCURACY
+BRACKET_ROWS = 200_000
+MOST_ROUNDS = 4  # beyond it a bracket is wide only because single values are frequent
 
 
 def quantiles(
@@ -27,6 +29,7 @@ def quantiles(
     mode: str = "exact",
     single_pass_rows: int = SINGLE_PASS_ROWS,
     finite: bool = True,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
     """Quantiles of the present values per column (an action); all-missing columns give None.
 
@@ -36,102 +39,137 @@ def quantiles(
         return {}
     if mode not in ("exact", "approx"):
         raise ValueError(f"unknown quantile mode {mode!r}")
-    counted = finite_sql if finite else (lambda c: f"NOT isnan({quoted(c)})")
+    test = "abs({0}) < double('Infinity')" if finite else "NOT isnan({0})"
     values = df.selectExpr(
-        *[f"CASE WHEN {counted(c)} THEN CAST({quoted(c)} AS DOUBLE) END AS {quoted(c)}" for c in columns]
+        *[f"CASE WHEN {test.format(quoted(c))} THEN CAST({quoted(c)} AS DOUBLE) END AS {quoted(c)}" for c in columns]
     )
     if mode == "approx":
-        return _one_aggregate(values, columns, probs, approximate=True)
+        return _one_aggregate(values, columns, probs, "percentile_approx")
     if values.select(F.count(F.lit(1))).first()[0] <= single_pass_rows:
-        return _one_aggregate(values, columns, probs, approximate=False)
-    return _by_selection(values, columns, probs)
+        return _one_aggregate(values, columns, probs, "percentile")
+    out: dict[str, list[float | None]] = {}
+    for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
+        part = columns[start : start + COLUMNS_PER_AGGREGATE]
+        out.update(_by_narrowing(values.select(*[quoted(c) for c in part]), part, probs, bracket_rows))
+    return out
 
 
-def _one_aggregate(df, columns, probs, approximate):
+def _one_aggregate(df, columns, probs, function):
     out = {}
     shares = ", ".join(sql_literal(p) for p in probs)
     for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
         part = columns[start : start + COLUMNS_PER_AGGREGATE]
-        aggregates = []
-        for i, c in enumerate(part):
-            function = "percentile_approx" if approximate else "percentile"
-            aggregates.append(F.expr(f"{function}({quoted(c)}, array({shares})) AS q{i}"))
-        row = df.agg(*aggregates).first()
+        row = df.agg(*[F.expr(f"{function}({quoted(c)}, array({shares})) AS q{i}") for i, c in enumerate(part)]).first()
         out.update({c: list(row[f"q{i}"]) if row[f"q{i}"] else [None] * len(probs) for i, c in enumerate(part)})
     return out
 
 
-def _by_selection(df, columns, probs):
-    edges = bucket_edges(df, columns, bucket_count(df))
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("column"),
-                    F.col(quoted(c)).alias("value"),
-                    F.col(quoted(c + "_bucket")).alias("bucket"),
-                )
-                for i, c in enumerate(columns)
-            ]
-        )
-    ).alias("p")
-    long = with_buckets(df, edges).select(pairs).select("p.*").where(F.col("value").isNotNull())
-    counted: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(columns))}
-    for r in long.groupBy("column", "bucket").count().collect():  # columns × buckets rows
-        counted[r["column"]].append((r["bucket"], r["count"]))
-
-    wanted: dict[int, set[int]] = {}  # column → zero-based ranks
-    holders = None  # rows of (column, bucket) that hold a wanted rank
-    offsets: dict[tuple[int, int], int] = {}
-    for i, buckets in counted.items():
-        n = sum(k for _, k in buckets)
-        if n == 0:
-            continue
-        ranks = {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)}
-        wanted[i] = ranks
-        seen = 0
-        hit = []
-        for b, k in sorted(buckets):
-            if any(seen <= r < seen + k for r in ranks):
-                hit.append(b)
-                offsets[i, b] = seen
-            seen += k
-        test = (F.col("column") == i) & F.col("bucket").isin(hit)
-        holders = test if holders is None else holders | test
-    if holders is None:
-        return {c: [None] * len(probs) for c in columns}
-
-    per_value = long.where(holders).groupBy("column", "bucket", "value").count()
-    # Two levels again, so a bucket is summed in its own task only; offsets are added on the driver.
-    ranked = running_sums(per_value, ["column", "bucket"], "bucket", "value", {"upto": "count"})
-    tests = None
-    for (i, b), seen in offsets.items():
-        local = sorted(r - seen for r in wanted[i])
-        here = (F.col("column") == i) & (F.col("bucket") == b)
-        covers = F.lit(False)
-        for r in local:
-            covers = covers | ((F.col("upto") > r) & (F.col("upto") - F.col("count") <= r))
-        tests = here & covers if tests is None else tests | (here & covers)
-    found: dict[tuple[int, int], float] = {}
-    for r in ranked.where(tests).collect():  # at most two rows per column and quantile
-        seen = offsets[r["column"], r["bucket"]]
-        for rank in wanted[r["column"]]:
-            if seen + r["upto"] - r["count"] <= rank < seen + r["upto"]:
-                found[r["column"], rank] = r["value"]
+@dataclass
+class _Bracket:
+    """Values in [low, high] hold the ranks first..last; ``below`` rows lie under low."""
 
-    out = {}
-    for i, c in enumerate(columns):
-        n = sum(k for _, k in counted[i])
-        if n == 0:
-            out[c] = [None] * len(probs)
-            continue
-        row = []
+    column: str
+    first: int
+    last: int
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    def test(self) -> str:
+        q = quoted(self.column)
+        return f"({q} >= {sql_literal(self.low)} AND {q} <= {sql_literal(self.high)})"
+
+    def settled(self, bracket_rows: int) -> bool:
+        return self.low == self.high or self.inside <= bracket_rows
+
+
+def _by_narrowing(df, columns, probs, bracket_rows):
+    counts = df.agg(*[F.expr(f"count({quoted(c)}) AS n{i}") for i, c in enumerate(columns)]).first()
+    rows = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
+    brackets = {}
+    for c in columns:
         for p in probs:
-            at = p * (n - 1)
-            low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
-            row.append(low + (high - low) * (at - math.floor(at)))
-        out[c] = row
-    return out
+            if rows[c]:
+                at = p * (rows[c] - 1)
+                brackets[c, p] = _Bracket(c, math.floor(at), math.ceil(at), -INF, INF, 0, rows[c])
+    for _ in range(MOST_ROUNDS):
+        wide = [b for b in brackets.values() if not b.settled(bracket_rows)]
+        if not wide:
+            break
+        _narrow(df, wide)
+
+    found = {(b.column, p): (b.low, b.low) for (_, p), b in brackets.items() if b.low == b.high}
+    open_ = [(k, b) for k, b in brackets.items() if b.low != b.high]
+    if open_:
+        hits = ", ".join(
+            f"named_struct('no', {i}, 'v', CASE WHEN {b.test()} THEN {quoted(b.column)} END)" for i, (_, b) in enumerate(open_)
+        )
+        near = (
+            # No row filter ahead of this: pushed through projections, it would repeat their text per bracket.
+            df.selectExpr(f"explode(array({hits})) AS h")
+            .where("h.v IS NOT NULL")
+            .groupBy("h.no", "h.v")
+            .count()
+        )
+        seen: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(open_))}
+        for r in near.collect():  # bounded: distinct values of settled brackets
+            seen[r["no"]].append((r["v"], r["count"]))
+        for i, (key, b) in enumerate(open_):
+            pair = []
+            for rank in (b.first, b.last):
+                upto = b.below
+                for v, k in sorted(seen[i]):
+                    upto += k
+                    if rank < upto:
+                        pair.append(v)
+                        break
+            found[key] = tuple(pair)
+
+    def value(c: str, p: float) -> float | None:
+        if not rows[c]:
+            return None
+        low, high = found[c, p]
+        part = p * (rows[c] - 1) - math.floor(p * (rows[c] - 1))
+        return low if low == high or part == 0 else low + (high - low) * part
+
+    return {c: [value(c, p) for p in probs] for c in columns}
+
+
+def _narrow(df: DataFrame, wide: list[_Bracket]) -> None:
+    """One sketch pass over the brackets and one counting pass over the proposed new ones."""
+    groups: dict[tuple[str, float, float], list[_Bracket]] = {}
+    for b in wide:
+        groups.setdefault((b.column, b.low, b.high), []).append(b)
+    sketches = []
+    for i, ((c, low, high), members) in enumerate(groups.items()):
+        shares = []
+        for b in members:
+            under, over = (b.first - b.below) / b.inside, (b.last - b.below + 1) / b.inside
+            shares += [max(0.0, under - 2 / ACCURACY), min(1.0, over + 2 / ACCURACY)]
+        value = f"CASE WHEN {members[0].test()} THEN {quoted(c)} END"
+        asked = ", ".join(sql_literal(s) for s in shares)
+        sketches.append(F.expr(f"percentile_approx({value}, array({asked}), {ACCURACY}) AS s{i}"))
+    row = df.agg(*sketches).first()
+    proposed: list[tuple[_Bracket, float, float]] = []
+    for i, members in enumerate(groups.values()):
+        for j, b in enumerate(members):
+            proposed.append((b, row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1]))
+    counters = []
+    for i, (b, low, high) in enumerate(proposed):
+        q = quoted(b.column)
+        counters += [
+            F.expr(f"count_if({q} < {sql_literal(low)}) AS u{i}"), F.expr(f"count_if({q} <= {sql_literal(high)}) AS o{i}")
+        ]
+    row = df.agg(*counters).first()
+    for i, (b, low, high) in enumerate(proposed):
+        under, upto = row[f"u{i}"], row[f"o{i}"]
+        above = b.below + b.inside
+        if under <= b.first:  # a side the sketch misplaced keeps its old bound
+            b.low, b.below = low, under
+        if upto > b.last:
+            b.high, above = high, upto
+        b.inside = above - b.below
 
 
 def medians(df: DataFrame, columns: list[str], mode: str = "exact", finite: bool = True) -> dict[str, float | None]:

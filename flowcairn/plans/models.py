@@ -42,6 +42,7 @@ TUNING_GRIDS: dict[str, dict[str, list[Any]]] = {
     "TabNet": {"hidden": [8, 16, 32]},
     "CNN": {"lr": [0.001, 0.01], "epochs": [10, 20]},
 }
+SPREAD_ROWS = 2_000_000
 MLLIB_MAX_DEPTH = 30  # deepest tree MLlib grows; stands in for "no limit"
 
 
@@ -171,10 +172,13 @@ def train_model(
             "probabilityCol": "_probability", "rawPredictionCol": "_raw",
         }
         weighted = {"weightCol": weight} if weight else {}
-        rows = train.count() if key == "LR" else 0
+        rows = train.count()
         estimator = BUILDERS[key](p, len(features), classes, rows, common, weighted)
         data = _assemble(train.withColumn("_label", F.col(quoted(label)).cast("double")), features)
-        model = estimator.fit(data.select("_features", "_label", *([weight] if weight else [])))
+        data = data.select("_features", "_label", *([weight] if weight else []))
+        if rows <= SPREAD_ROWS:  # a short table may sit in one partition, which would train in one task
+            data = data.repartition(train.sparkSession.sparkContext.defaultParallelism)
+        model = estimator.fit(data)
     else:
         raise KeyError(f"unknown model {name!r}; known are {REGISTRY}")
     return Trained(key, features, model, time.perf_counter() - start, p)

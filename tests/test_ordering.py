@@ -54,19 +54,19 @@ def test_global_rank_orders_ties_once(skewed):
     assert all(a["x"] >= b["x"] for a, b in zip(by_rank, by_rank[1:]))
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_quantiles_both_ways(spark, skewed, limit):
+@pytest.mark.parametrize("limit, bracket", [(10**9, 0), (0, 200_000), (0, 20), (0, 0)])
+def test_quantiles_every_way(spark, skewed, limit, bracket):
     rng = np.random.default_rng(3)
     rows = [(float(v), None if i % 5 == 0 else float(i % 7), None, float("inf") if i == 3 else float(i)) for i, v in enumerate(rng.normal(size=500))]
     df = spark.createDataFrame(rows, "a double, b double, empty double, c double")
     probs = [0.001, 0.25, 0.5, 0.75, 0.999]
-    got = quantiles(df, ["a", "b", "empty", "c"], probs, single_pass_rows=limit)
+    got = quantiles(df, ["a", "b", "empty", "c"], probs, single_pass_rows=limit, bracket_rows=bracket)
     for i, name in enumerate(("a", "b")):
         values = [r[i] for r in rows if r[i] is not None]
         assert got[name] == pytest.approx(list(np.quantile(values, probs)))
     assert got["empty"] == [None] * 5
     assert got["c"] == pytest.approx(list(np.quantile([r[3] for r in rows if np.isfinite(r[3])], probs)))
-    hot = quantiles(skewed, ["x"], probs, single_pass_rows=limit)["x"]
+    hot = quantiles(skewed, ["x"], probs, single_pass_rows=limit, bracket_rows=bracket)["x"]
     assert hot == pytest.approx(list(np.quantile([r["x"] for r in skewed.collect()], probs)))
     assert quantiles(df, ["a"], [0.5], "approx")["a"][0] == pytest.approx(np.median([r[0] for r in rows]), abs=0.05)
 
