@@ -167,6 +167,26 @@ def fold_aggregation(spark, sf_dir):
     return out.withColumns({c: rounded(c) for c in out.columns if c.endswith(("_mean", "_std"))})
 
 
+_LONG_FOLDS_SQL = " UNION ALL ".join(
+    f"""SELECT algo, '{m}' AS metric, "{m}" AS v FROM ({_FOLD_SQL}) m""" for m in ("f1", "precision", "recall", "accuracy")
+)
+
+
+@query(
+    "fold_boxplot",
+    "SELECT algo, metric, "
+    + ", ".join(
+        f"{_R(f'quantile_cont(v, {q}::DOUBLE)')} AS {n}"
+        for q, n in ((0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1, "high"))
+    )
+    + f" FROM ({_LONG_FOLDS_SQL}) l GROUP BY algo, metric",
+)
+def fold_boxplot(spark, sf_dir):
+    """Quartiles of the metrics over folds: the data of a box plot."""
+    out = stats.box_stats(classification_by_group(scored_events(spark, sf_dir), ["algo", "fold"]))
+    return out.withColumns({c: rounded(c) for c in ("low", "q1", "median", "q3", "high")})
+
+
 @query(
     "best_fold",
     f"""SELECT algo, fold, {_R('f1')} AS f1 FROM ({_FOLD_SQL}) m

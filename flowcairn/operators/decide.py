@@ -147,11 +147,18 @@ def decision_matrix(
     )
 
 
-def rank_models(results: DataFrame, comparisons: dict[tuple[str, str], float] | None = None, **columns) -> DataFrame:
-    """Decision matrix, AHP weights, TOPSIS score and rank of evaluated models."""
-    comparisons = comparisons or DEFAULT_COMPARISONS
+def rank_models(
+    results: DataFrame,
+    comparisons: dict[tuple[str, str], float] | None = None,
+    weights: list[float] | None = None,
+    **columns,
+) -> DataFrame:
+    """Decision matrix, AHP weights, TOPSIS score and rank of evaluated models.
+
+    ``weights`` (performance, resources, explainability) replace the AHP comparisons.
+    """
     criteria = ["Detection Performance", "Resource Efficiency", "Explainability"]
-    weights = ahp(criteria, comparisons).weights
+    weights = weights or ahp(criteria, comparisons or DEFAULT_COMPARISONS).weights
     matrix = cut_lineage(decision_matrix(results, **columns))
     scored = topsis(matrix, ["performance", "resources", "explainability"], weights)
     return rank_alternatives(scored, "alternative").select("alternative", "score", "rank")

@@ -157,6 +157,15 @@ def fold_summary(by_fold: DataFrame, metrics: tuple[str, ...] = ("f1", "precisio
     return by_fold.groupBy("algo").agg(*aggregates)
 
 
+def box_stats(by_fold: DataFrame, metrics: tuple[str, ...] = ("f1", "precision", "recall", "accuracy")) -> DataFrame:
+    """Minimum, quartiles and maximum of every metric per algorithm, over its folds."""
+    long = by_fold.unpivot(["algo"], [m for m in metrics if m in by_fold.columns], "metric", "value")
+    points = F.percentile("value", [0.0, 0.25, 0.5, 0.75, 1.0])  # a few values per algorithm
+    return long.groupBy("algo", "metric").agg(points.alias("_q")).select(
+        "algo", "metric", *[F.col("_q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))]
+    )
+
+
 def phase_timeline(samples: DataFrame, phase: str, ts: str, gauges: list[str]) -> DataFrame:
     """Start, end, duration and mean gauge readings per phase of a monitoring table."""
     t = F.col(quoted(ts))
