@@ -34,3 +34,40 @@ def concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op3_simple8b_tokens")
+def simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    from flowcairn.llm.simple8b import read_tokens, write_tokens
+
+    folder, manifest = write_tokens(table(spark, sf_dir, "documents"))
+    return read_tokens(folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_warc_chunks")
+def warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back as chunk rows; the last chunk has the whole payload's digest."""
+    from flowcairn.llm.warc_chunks import read_archives, write_archives
+
+    folder, files = write_archives(table(spark, sf_dir, "pages"))
+    last = read_archives(folder, files, keep_data=False).where("is_last")
+    return last.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc_chunks"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest AS d, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON d = payload_digest AND payload_bytes >= 100
+"""
+
+
+@query("op7_benchmark_ngrams")
+def benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of every whole document with windows of ten benchmark words."""
+    from flowcairn.llm.decontaminate import find_overlap, overlap_report
+
+    return overlap_report(find_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
