@@ -71,3 +71,18 @@ def benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowcairn.llm.decontaminate import find_overlap, overlap_report
 
     return overlap_report(find_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op1_secret_battery")
+def secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document: base patterns and random strings."""
+    from flowcairn.llm.secret_scan import find_secrets, span_text
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = [
+        F.expr(f"CAST(size(filter(base_spans, x -> x.kind = {i})) AS BIGINT)").alias(f"n_{kind}")
+        for i, kind in enumerate(["assign", "access", "hex"])
+    ]
+    return found.select(
+        "doc_id", *of_kind, F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans")
+    )
