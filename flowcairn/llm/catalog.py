@@ -86,3 +86,24 @@ def secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *of_kind, F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans")
     )
+
+
+@query("op2_toxic_ngrams")
+def toxic_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, from a classifier fitted outside the held-out third."""
+    from flowcairn.llm.toxicity import fit, learnable
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = fit(docs, table(spark, sf_dir, "labels")).score(docs)
+    return scored.select(
+        "doc_id", (F.col("doc_id").isNotNull() & ~learnable()).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_token_group_matrix")
+def token_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles are at least 80 % alike."""
+    from flowcairn.llm.jaccard_groups import similarity_components
+
+    return similarity_components(table(spark, sf_dir, "documents"))
