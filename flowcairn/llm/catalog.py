@@ -107,3 +107,20 @@ def token_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowcairn.llm.jaccard_groups import similarity_components
 
     return similarity_components(table(spark, sf_dir, "documents"))
+
+
+@query("op5_prefix_forest")
+def prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    from flowcairn.llm.prefix_forest import search
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+@query("op6_tag_path_ratios")
+def tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from flowcairn.llm.tag_paths import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
