@@ -124,3 +124,73 @@ def tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowcairn.llm.tag_paths import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+FIRST_DAY, DAYS = "2020-01-01", 1461
+
+
+def listed_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries made from the pages' own hosts and paths by their md5: they grow with the pages."""
+    from flowcairn.llm.url_lists import url_host
+
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int")
+    day = lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int"))
+    part = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1)
+    hosts = pages.where("url IS NOT NULL").select(url_host("url").alias("host"), part.alias("part")).where("host <> ''").distinct()
+    v = F.col("v")
+    single = hosts.select("host").distinct().withColumn("v", number(F.col("host"))).where(v % 3 == 0)
+    steps = F.array(*[F.struct(F.lit(k).alias("after"), F.lit(a).alias("action")) for k, a in ((0, "add"), (200, "remove"), (500, "add"))])
+    malware = single.select(F.lit("malware").alias("list"), F.lit("block").alias("effect"), F.col("host").alias("key"), "v", F.explode(steps).alias("s"))
+    malware = malware.select("list", "effect", "key", day(v % DAYS + F.col("s.after")).alias("day"), F.col("s.action").alias("action"))
+    domain = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("key")).where("key <> ''").distinct()
+    policy = domain.select(F.lit("policy").alias("list"), F.lit("block").alias("effect"), "key", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
+    policy = policy.select("list", "effect", "key", day(F.col("i") * 60).alias("day"), F.when(F.col("i") % 2 == 0, "add").otherwise("remove").alias("action"))
+    allow = hosts.where("part <> ''").select(F.concat_ws("/", "host", "part").alias("key")).distinct().withColumn("v", number(F.col("key"))).where(v % 2 == 0)
+    allow = allow.select(F.lit("allow").alias("list"), F.lit("allow").alias("effect"), "key", day(v % DAYS).alias("day"), F.lit("add").alias("action"))
+    return malware.unionByName(policy).unionByName(allow)
+
+
+@query("op4_temporal_lists")
+def temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as of its fetch day against dated lists; days come from the md5 of the URL."""
+    from flowcairn.llm.url_lists import active_entries
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.conv(F.substring(F.md5("url"), 1, 6), 16, 10).cast("int") % DAYS).cast("int"))
+    found = active_entries(pages.withColumn("fetched", fetched), listed_entries(pages))
+    active = F.array_join(F.transform("active", lambda x: F.concat_ws(":", x["key"], x["list"], x["effect"])), ",")
+    return found.select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "n_active", active.alias("active"), "blocked")
+
+
+ORACLES["op4_temporal_lists"] = r"""
+WITH h AS (
+  SELECT page_id, url, DATE '2020-01-01' + (('0x' || substr(md5(url), 1, 6))::INT % 1461)::INT AS fetched,
+         regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '\.+$', '') AS host,
+         [x FOR x IN string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/') IF x <> ''] AS parts,
+         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS part
+  FROM pages),
+l AS (SELECT *, string_split(host, '.') AS labels FROM h),
+hosts AS (SELECT DISTINCT host, part FROM h WHERE host <> '' AND url IS NOT NULL),
+entries AS (
+  SELECT 'malware' AS list, 'block' AS effect, host AS key, DATE '2020-01-01' + (v % 1461 + after)::INT AS day, action FROM
+    (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 4))::INT AS v FROM hosts),
+    (VALUES (0, 'add'), (200, 'remove'), (500, 'add')) s(after, action) WHERE v % 3 = 0
+  UNION ALL
+  SELECT 'policy', 'block', key, DATE '2020-01-01' + (i * 60)::INT, CASE WHEN i % 2 = 0 THEN 'add' ELSE 'remove' END FROM
+    (SELECT DISTINCT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS key FROM hosts), range(24) r(i) WHERE key <> ''
+  UNION ALL
+  SELECT 'allow', 'allow', key, DATE '2020-01-01' + (v % 1461)::INT, 'add' FROM
+    (SELECT key, ('0x' || substr(md5(key), 1, 4))::INT AS v FROM (SELECT DISTINCT host || '/' || part AS key FROM hosts WHERE part <> '')) WHERE v % 2 = 0),
+spans AS (SELECT list, effect, key, action, day AS since, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS until FROM entries),
+keys AS (
+  SELECT DISTINCT url, fetched, unnest(CASE WHEN host = '' THEN [] ELSE list_concat(
+      CASE WHEN len(labels) <= 2 THEN [host] ELSE [array_to_string(labels[i:], '.') FOR i IN range(1, len(labels))] END,
+      [host || '/' || array_to_string(parts[1:i], '/') FOR i IN range(1, len(parts) + 1)]) END) AS key
+  FROM l WHERE url IS NOT NULL),
+met AS (
+  SELECT url, fetched, count(*) AS n_active, string_agg(key || ':' || list || ':' || effect, ',' ORDER BY key, list, effect) AS active,
+         arg_max(effect = 'block', length(key) * 2 + CAST(effect = 'block' AS INT)) AS blocked
+  FROM keys JOIN spans USING (key) WHERE action = 'add' AND since <= fetched AND (until IS NULL OR fetched < until) GROUP BY url, fetched)
+SELECT h.page_id, h.url, CAST(h.fetched AS VARCHAR) AS fetched, coalesce(n_active, 0) AS n_active, coalesce(active, '') AS active, coalesce(blocked, false) AS blocked
+FROM h LEFT JOIN met ON h.url = met.url
+"""

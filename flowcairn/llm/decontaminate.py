@@ -90,7 +90,7 @@ def _mark(shared, size: int, columns: list[str]):
         grams = state["set"]
         for batch in batches:
             counts, marks, names = [], [], []
-            for text, runs, items in zip(batch["_text"], batch["_runs"], batch["_items"]):
+            for text, runs, items in zip(batch["__text"], batch["__runs"], batch["__items"]):
                 n, hit, found = grams.scan(text)
                 if hit is not None and len(runs):
                     for a, b in zip(runs[::2], runs[1::2]):
@@ -98,7 +98,7 @@ def _mark(shared, size: int, columns: list[str]):
                 counts.append(n)
                 marks.append(list(runs) if hit is None else _runs(hit))
                 names.append(sorted({*items, *map(str, found)}))
-            batch["n_words"], batch["_runs"], batch["_items"] = counts, marks, names
+            batch["__words"], batch["__runs"], batch["__items"] = counts, marks, names
             yield batch[columns]
 
     return run
@@ -108,47 +108,44 @@ def find_overlap(
     docs: DataFrame,
     benchmark: DataFrame,
     size: int = 10,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     most_bytes: int = MOST_BYTES,
+    prefix: str = "",
 ) -> DataFrame:
-    """One row per document: doc_id, text, n_words, spans (word ranges that are hit), items (their ids).
+    """The rows with n_words, spans (word ranges that are hit) and items (their ids) added, after ``prefix``.
 
     A window is ``size`` consecutive words of an item, or all words of a shorter one. Each executor gets
     the windows as a hash set; every window of a document whose words all occur in the benchmark is
     looked up, and a hit is checked word by word. Texts are read whole and nothing is shuffled.
 
     The broadcast is bounded by ``most_bytes`` of benchmark text. A larger benchmark is cut into slices
-    of that size and the documents are scanned once for each, carrying their marks along.
+    and the documents are scanned once for each, carrying their marks along.
 
     Null texts and items have no words; null and repeated document ids stay rows of their own; items
-    with the same id count once; empty tables give no rows or no hits; other columns are ignored.
+    with the same id count once; empty tables give no rows or no hits. Columns of the added names are
+    replaced, all others stay; __text, __runs, __items and __words are reserved.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     items = items.where("text IS NOT NULL AND item IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    marked = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("_runs"), F.array().cast("array<string>").alias("_items"),
+    added = [f"{prefix}n_words", f"{prefix}spans", f"{prefix}items"]
+    marked = docs.drop(*added).select(
+        "*", F.col(text_col).cast("string").alias("__text"), F.lit(0).cast("long").alias("__words"),
+        F.array().cast("array<int>").alias("__runs"), F.array().cast("array<string>").alias("__items"),
     )
-    context = docs.sparkSession.sparkContext
-    if total <= most_bytes:
-        slices = [items]
-    else:
-        slices = _cut(items, most_bytes)
-    for i, part in enumerate(slices):
-        shared = context.broadcast([(r["item"], r["text"]) for r in part.collect()])  # bounded by most_bytes
-        if i:
-            marked = materialise(marked, "marked")
+    for i, part in enumerate([items] if total <= most_bytes else _cut(items, most_bytes)):
+        shared = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])  # bounded by most_bytes
+        marked = materialise(marked, "marked") if i else marked
         marked = marked.mapInPandas(_mark(shared, size, marked.columns), marked.schema)
-    spans = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_runs") - 2, F.lit(0)), F.lit(2)),
-        lambda i: F.struct(F.element_at("_runs", (i + 1).cast("int")).alias("first"), F.element_at("_runs", (i + 2).cast("int")).alias("end")),
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("__runs") - 2, F.lit(0)), F.lit(2)),
+        lambda i: F.struct(F.get("__runs", i).alias("first"), F.get("__runs", i + 1).alias("end")),
     )
-    spans = F.when(F.size("_runs") > 0, spans).otherwise(F.array().cast("array<struct<first:int,end:int>>"))
-    return marked.select("doc_id", F.col("_text").alias("text"), "n_words", spans.alias("spans"), F.col("_items").alias("items"))
+    spans = F.when(F.size("__runs") > 0, pairs).otherwise(F.array().cast("array<struct<first:int,end:int>>"))
+    found = marked.select("*", F.col("__words").alias(added[0]), spans.alias(added[1]), F.col("__items").alias(added[2]))
+    return found.drop("__text", "__words", "__runs", "__items")
 
 
 def _cut(items: DataFrame, most_bytes: int) -> list[DataFrame]:

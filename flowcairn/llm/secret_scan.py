@@ -80,7 +80,7 @@ def _log_tail(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN ln(0.5D) + {log_erfc} ELSE ln(1D - 0.5D * exp({log_erfc})) END)"
 
 
-def _battery(found: Column | str = "_found") -> Column:
+def _battery(found: Column | str = "__found") -> Column:
     """Candidates with their alphabet and the logarithms of the two p-values."""
     case = " ".join(f"WHEN x.token RLIKE '{pattern}' THEN {i}" for i, (_, _, pattern) in enumerate(ALPHABETS))
     names = "array(" + ", ".join(f"'{alphabet}'" for _, alphabet, _ in ALPHABETS) + ")"
@@ -111,19 +111,19 @@ def _battery(found: Column | str = "_found") -> Column:
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with ``_base`` (kind, start, end) and ``_found`` (tested candidates) added."""
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    """The rows with ``__base`` (kind, start, end) and ``__found`` (tested candidates) added."""
+    rows = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     kinds = []
     for number, (pattern, group) in enumerate([(ASSIGN, 2), (ACCESS, 0), (HEX, 0)]):
         keep = "x -> length(x.token) >= 8" if group else "x -> true"
-        kinds.append(f"transform(filter({_matches('_text', pattern, group)}, {keep}), x -> named_struct('start', x.start, 'kind', {number}, 'end', x.end))")
-    rows = rows.withColumn("_base", F.expr(f"array_sort(concat({', '.join(kinds)}))"))
-    return rows.withColumn("_found", F.expr(_matches("_text", CANDIDATE))).withColumn("_found", _battery())
+        kinds.append(f"transform(filter({_matches('__text', pattern, group)}, {keep}), x -> named_struct('start', x.start, 'kind', {number}, 'end', x.end))")
+    rows = rows.withColumn("__base", F.expr(f"array_sort(concat({', '.join(kinds)}))"))
+    return rows.withColumn("__found", F.expr(_matches("__text", CANDIDATE))).withColumn("__found", _battery())
 
 
 def discovery_limits(candidates: DataFrame, q: float = Q) -> dict[int, int]:
     """For each length band, the last p-value bin that Benjamini-Hochberg accepts over all candidates."""
-    tested = candidates.where("size(_found) > 0").select(F.explode("_found").alias("x"))
+    tested = candidates.where("size(__found) > 0").select(F.explode("__found").alias("x"))
     bins = tested.groupBy(F.col("x.band").alias("band"), F.floor(F.col("x.text") / BIN).cast("int").alias("bin")).count()
     upto = W.partitionBy("band").orderBy("bin")  # at most 4,000 bins a band
     ranked = bins.select("band", "bin", F.sum("count").over(upto).alias("k"), F.sum("count").over(W.partitionBy("band")).alias("m"))
@@ -131,16 +131,16 @@ def discovery_limits(candidates: DataFrame, q: float = Q) -> dict[int, int]:
     return {r["band"]: r["limit"] for r in accepted.groupBy("band").agg(F.max("bin").alias("limit")).collect()}
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, q: float = Q) -> DataFrame:
-    """The rows with ``base_spans`` and ``spans`` added: arrays of (start, kind, end) in code points.
+def find_secrets(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, q: float = Q, prefix: str = "") -> DataFrame:
+    """The rows with ``base_spans`` and ``spans`` (after ``prefix``) added: arrays of (start, kind, end) in code points.
 
     ``kind`` numbers ``KINDS``. Base spans are those of the three patterns; ``spans`` adds discoveries
     that lie in no base span, as kind ``random``. Two passes read the texts: the first counts p-values
     for the false-discovery limits, the second applies them.
 
     Null texts are empty and have no spans; a text of any length is scanned whole; repeated rows count
-    once each; an empty table gives no rows. All columns stay; names with ``_`` in front that the scan
-    uses (_text, _base, _found) are replaced.
+    once each; an empty table gives no rows. Columns of the added names are replaced, all others stay;
+    __text, __base and __found are reserved.
     """
     rows = with_candidates(docs, text_col)
     limits = discovery_limits(with_candidates(docs.select(text_col), text_col), q)
@@ -148,11 +148,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA,
         added = F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint>>)")
     else:
         limit = "CASE x.band " + " ".join(f"WHEN {b} THEN {v}" for b, v in sorted(limits.items())) + " END"
-        new = f"""filter(_found, x -> x.random >= ln({alpha}D) AND floor(x.text / {BIN}D) <= {limit}
-          AND NOT exists(_base, b -> b.start <= x.start AND b.end >= x.end))"""
+        new = f"""filter(__found, x -> x.random >= ln({alpha}D) AND floor(x.text / {BIN}D) <= {limit}
+          AND NOT exists(__base, b -> b.start <= x.start AND b.end >= x.end))"""
         added = F.expr(f"transform({new}, x -> named_struct('start', x.start, 'kind', 3, 'end', x.end))")
-    spans = rows.withColumn("base_spans", F.col("_base")).withColumn("spans", F.array_sort(F.concat("_base", added)))
-    return spans.drop("_text", "_base", "_found")
+    spans = rows.withColumn(f"{prefix}base_spans", F.col("__base")).withColumn(f"{prefix}spans", F.array_sort(F.concat("__base", added)))
+    return spans.drop("__text", "__base", "__found")
 
 
 def span_text(spans: str) -> Column:
@@ -161,13 +161,13 @@ def span_text(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat({names}[x.kind], ':', x.start, ':', x.end)), ',')")
 
 
-def redact(found: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact(found: DataFrame, text_col: str = "text", mark: str = "[secret]", prefix: str = "") -> DataFrame:
     """``find_secrets`` rows with every span, or union of overlapping spans, replaced by ``mark``."""
     state = "struct<pos:bigint,out:string>"
     text = f"`{text_col}`"
-    rebuilt = f"""aggregate(spans, CAST(named_struct('pos', 0L, 'out', '') AS {state}), (s, x) -> CAST(
+    rebuilt = f"""aggregate(`{prefix}spans`, CAST(named_struct('pos', 0L, 'out', '') AS {state}), (s, x) -> CAST(
         CASE WHEN x.end <= s.pos THEN s
              WHEN x.start < s.pos THEN named_struct('pos', x.end, 'out', s.out)
              ELSE named_struct('pos', x.end, 'out', concat(s.out, substring({text}, CAST(s.pos + 1 AS INT), CAST(x.start - s.pos AS INT)), '{mark}')) END
         AS {state}), s -> concat(s.out, substring({text}, CAST(s.pos + 1 AS INT))))"""
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, F.expr(rebuilt)).otherwise(F.col(text_col))).drop("base_spans", "spans")
+    return found.withColumn(text_col, F.when(F.size(f"{prefix}spans") > 0, F.expr(rebuilt)).otherwise(F.col(text_col))).drop(f"{prefix}base_spans", f"{prefix}spans")

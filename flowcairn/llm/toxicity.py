@@ -96,12 +96,15 @@ class ToxicityModel:
     intercept: float
     rows: int
 
-    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """The rows with ``score`` (double, 0 to 1) added; a null or empty text has the score of no n-gram."""
+    def score(self, docs: DataFrame, text_col: str = "text", score_col: str = "score") -> DataFrame:
+        """The rows with a score (double, 0 to 1) added; a null or empty text has the score of no n-gram.
+
+        A column of that name is replaced, all others stay, as do repeated rows.
+        """
         key = uuid.uuid4().hex
         shared = docs.sparkSession.sparkContext.broadcast((self.codes, self.weights))  # at most FEATURES entries
-        intercept, columns = self.intercept, [c for c in docs.columns if c != "score"]
-        schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("score", T.DoubleType())])
+        intercept, columns = self.intercept, [c for c in docs.columns if c != score_col]
+        schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(score_col, T.DoubleType())])
 
         def run(batches):
             state = worker_state("toxicity")
@@ -118,8 +121,8 @@ class ToxicityModel:
                     found = found[gate[found >> np.uint64(44)]]
                     margin = intercept + float(weights[_positions(codes, np.unique(found))].sum())
                     scores.append(1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))))
-                batch["score"] = np.array(scores, dtype=np.float64)
-                yield batch[[*columns, "score"]]
+                batch[score_col] = np.array(scores, dtype=np.float64)
+                yield batch[[*columns, score_col]]
 
         return docs.select(*columns).mapInPandas(run, schema)
 
