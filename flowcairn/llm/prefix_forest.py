@@ -192,6 +192,7 @@ def _search_block(forest: Forest, k: int):
             return empty
         stored = np.stack([np.frombuffer(v) for v in rows["v"]])
         ids = rows["id"].to_numpy()
+        single = len(np.unique(ids)) == len(ids)
         tree = int(queries["tree"].iloc[0])
         strings = forest.strings(stored, True)[tree].astype(np.int64)
         order = np.lexsort((ids, strings))
@@ -202,16 +203,20 @@ def _search_block(forest: Forest, k: int):
             low = np.searchsorted(strings, some["low"].to_numpy(), side="left")
             high = np.searchsorted(strings, some["high"].to_numpy(), side="right")
             first, last = int(low.min()), int(high.max())
-            scores = np.stack([np.frombuffer(v) for v in some["v"]]) @ stored[first:last].T
+            asked = np.stack([np.frombuffer(v) for v in some["v"]])
+            scores = asked @ stored[first:last].T
             for i, query in enumerate(some["id"].to_numpy()):
-                a, b = low[i] - first, high[i] - first
-                own, names = scores[i, a:b], ids[first + a : first + b]
-                other = names != query
-                own, names = own[other], names[other]
-                if len(own) > k:  # every row that ties with the k-th stays for the order by id
-                    keep = own >= np.partition(own, len(own) - k)[len(own) - k]
-                    own, names = own[keep], names[keep]
-                best = np.lexsort((names, -own))[:k]
+                at = np.arange(low[i], high[i])
+                at = at[ids[at] != query]
+                if single and len(at) > k:  # the block product rounds a row by its place: near ties stay for the exact score
+                    rough = scores[i, at - first]
+                    edge = np.partition(rough, len(rough) - k)[len(rough) - k]
+                    at = at[rough >= edge - 1e-9 * max(abs(edge), 1e-300)]
+                own, names = (stored[at] * asked[i]).sum(axis=1), ids[at]
+                best = np.lexsort((names, -own))
+                if not single:  # rows that share an id count once, with the best of them
+                    best = best[np.sort(np.unique(names[best], return_index=True)[1])]
+                best = best[:k]
                 out.append(pd.DataFrame({"query_id": query, "vec_id": names[best], "score": own[best]}))
         return pd.concat(out) if out else empty
 
@@ -236,7 +241,7 @@ def search(
 
     Vectors that are null, zero, of another length than the longest, or hold null or non-finite numbers
     take no part, as do rows without an id. Rows that share an id with the query are not its neighbours;
-    equal rows appear once. An empty table gives no rows; other columns are ignored.
+    other rows that share an id are one neighbour. An empty table gives no rows; other columns are ignored.
     """
     stored = clean_vectors(rows, id_col, vector_col)
     asking = clean_vectors(queries, id_col, vector_col)

@@ -114,13 +114,14 @@ class ToxicityModel:
                 gate[codes >> np.uint64(44)] = True
                 state.update(key=key, model=(codes, weights, gate))
             codes, weights, gate = state["model"]
+            np.seterr(over="ignore")  # a margin far below zero scores 0
             for batch in batches:
                 scores = []
                 for text in batch[text_col]:
                     found = ngram_codes(text)
                     found = found[gate[found >> np.uint64(44)]]
                     margin = intercept + float(weights[_positions(codes, np.unique(found))].sum())
-                    scores.append(1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))))
+                    scores.append(1.0 / (1.0 + np.exp(np.float64(min(-margin, 1e3)))))
                 batch[score_col] = np.array(scores, dtype=np.float64)
                 yield batch[[*columns, score_col]]
 
@@ -151,8 +152,8 @@ def learnable(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES, seed: int = 7) -> ToxicityModel:
     """Learn from labelled documents outside the held-out third.
 
-    At most ``per_class`` documents of each class are used, chosen by a seeded hash of their ids over
-    all labels. Their n-grams are counted by document and class, all of them; the log-count ratio of an
+    About ``per_class`` documents of each class are used at most: those whose seeded hash lies below the
+    share that they are of all labels. Their n-grams are counted by document and class, all of them; the log-count ratio of an
     n-gram is that of its smoothed shares in the two classes. The ``features`` n-grams with the largest
     chi-squared statistic go, as presence times ratio, into a logistic regression on Spark.
 
@@ -161,14 +162,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(learnable())
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).where("label IN (0, 1)")
-    order = F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")
-    chosen = [known.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])  # at most 2 * per_class rows of two numbers
+    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    share = F.create_map(*[F.lit(v) for k, n in totals.items() for v in (k, min(1.0, per_class / n))]) if totals else F.lit(None)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(1 << 20)
+    chosen = known.where(drawn < (share[F.col("label")] if totals else F.lit(0.0)))  # about 2 * per_class rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
-    rows = materialise(rows.coalesce(max(8, spark.sparkContext.defaultParallelism)), "toxic-sample")
+    rows = materialise(rows.coalesce(32), "toxic-sample")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -800.0, sum(sizes.values()))
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float("-inf"), sum(sizes.values()))
     counts = rows.mapInPandas(_count_partition, "code long, label int, docs long").groupBy("code").agg(
         F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("q"),
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     cross = p * (n_q - q) - q * (n_p - p)
     chi = cross * cross * (n_p + n_q) / F.greatest((p + q) * (n_p + n_q - p - q) * n_p * n_q, F.lit(1.0))
     ratio = F.log((p + SMOOTHING) / (n_p + 2 * SMOOTHING)) - F.log((q + SMOOTHING) / (n_q + 2 * SMOOTHING))
-    best = counts.select("code", ratio.alias("ratio"), chi.alias("chi")).orderBy(F.desc("chi"), "code").limit(features).toPandas()
+    best = counts.select("code", ratio.alias("ratio"), chi.alias("chi")).coalesce(8).orderBy(F.desc("chi"), "code").limit(features).toPandas()
     codes = best["code"].to_numpy(dtype=np.int64).view(np.uint64)
     by_code = np.argsort(codes)
     codes, ratios = codes[by_code], best["ratio"].to_numpy(dtype=np.float64)[by_code]
