@@ -19,12 +19,12 @@ _R = sql_round
 
 def _ratio_feeds(spark, sf_dir):
     """Both feeds with ratios and binary labels."""
-    cic = with_flow_ratios(multi_file_feed(spark, sf_dir), MULTI_FILE)
-    cic = cic.withColumn("label", attack_label(cic, "Label")).select(*RATIO_COLUMNS, "label")
-    ton = keep_binary_types(single_file_feed(spark, sf_dir))
-    ton = with_flow_ratios(ton, SINGLE_FILE)
-    ton = ton.withColumn("label", ddos_label(ton)).select(*RATIO_COLUMNS, "label")
-    return cic, ton
+    multi = with_flow_ratios(multi_file_feed(spark, sf_dir), MULTI_FILE)
+    multi = multi.withColumn("label", attack_label(multi, "Label")).select(*RATIO_COLUMNS, "label")
+    single = keep_binary_types(single_file_feed(spark, sf_dir))
+    single = with_flow_ratios(single, SINGLE_FILE)
+    single = single.withColumn("label", ddos_label(single)).select(*RATIO_COLUMNS, "label")
+    return multi, single
 
 
 _FUSED_SQL = f"""
@@ -72,10 +72,10 @@ def fused_source_counts(spark, sf_dir):
 )
 def binary_labels(spark, sf_dir):
     """Both label rules on both feeds."""
-    cic = multi_file_feed(spark, sf_dir)
-    ton = keep_binary_types(single_file_feed(spark, sf_dir))
-    both = cic.select(F.col("Label").alias("raw"), attack_label(cic).alias("label")).unionByName(
-        ton.select(F.col("type").alias("raw"), ddos_label(ton).alias("label"))
+    multi = multi_file_feed(spark, sf_dir)
+    single = keep_binary_types(single_file_feed(spark, sf_dir))
+    both = multi.select(F.col("Label").alias("raw"), attack_label(multi).alias("label")).unionByName(
+        single.select(F.col("type").alias("raw"), ddos_label(single).alias("label"))
     )
     return both.groupBy("raw", "label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -97,8 +97,8 @@ _HARMONIZED_SQL = f"""
 )
 def harmonized_fusion(spark, sf_dir):
     """Columns matched by name, harmonized to one schema and fused."""
-    cic, ton, _ = harmonize(multi_file_feed(spark, sf_dir), single_file_feed(spark, sf_dir), label_cic="Label")
-    fused = fuse(cic, ton)
+    multi, single, _ = harmonize(multi_file_feed(spark, sf_dir), single_file_feed(spark, sf_dir), label_multi="Label")
+    fused = fuse(multi, single)
     return fused.groupBy("dataset_source", "label").agg(
         F.count(F.lit(1)).alias("n"),
         rounded(F.avg("duration"), 4).alias("duration"),
@@ -109,12 +109,12 @@ def harmonized_fusion(spark, sf_dir):
 @query("column_match")
 def column_match(spark, sf_dir):
     """Matched column pairs of both feeds with the numeric share of the partners."""
-    cic, ton = multi_file_feed(spark, sf_dir), single_file_feed(spark, sf_dir)
+    multi, single = multi_file_feed(spark, sf_dir), single_file_feed(spark, sf_dir)
     shares = [
         column_profile(df).select(F.col("name").alias(key), (F.col("as_number") / F.col("rows")).alias(out))
-        for df, key, out in ((cic, "cic_name", "cic_share"), (ton, "ton_name", "ton_share"))
+        for df, key, out in ((multi, "multi_name", "multi_share"), (single, "single_name", "single_share"))
     ]
-    return match_columns(ton, cic).join(shares[0], "cic_name").join(shares[1], "ton_name")
+    return match_columns(single, multi).join(shares[0], "multi_name").join(shares[1], "single_name")
 
 
 @query(

@@ -233,22 +233,29 @@ def select_features(spark, sf_dir):
     return df.select(*kept).unpivot([], kept, "feature", "v").groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _survives(column: str) -> str:
+    return f"CASE WHEN count(*) FILTER (WHERE CAST(CAST({column} AS FLOAT) AS DOUBLE) <> {column}) = 0 THEN '{column}' END"
+
+
 @query(
     "narrow_types",
-    """SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS orders, sum(l_linenumber) AS line_sum,
-              'double→float, bigint→int' AS change, 2 AS text_columns FROM lineitem""",
+    f"""SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS orders, sum(l_linenumber) AS line_sum,
+              concat_ws(',', {', '.join(_survives(c) for c in ('l_discount', 'l_extendedprice', 'l_quantity', 'l_tax'))}) AS narrowed,
+              {_R('sum(l_extendedprice)', 2)} AS price_sum, {_R('max(l_tax)', 12)} AS top_tax, 2 AS text_columns FROM lineitem""",
 )
 def narrowed(spark, sf_dir):
-    """Smaller types where the observed range allows it; values stay equal."""
+    """Smaller types where every value survives; the sums show that values stay equal."""
     df = table(spark, sf_dir, "lineitem")
     small, few = narrow_types(df)
     before, after = dict(df.dtypes), dict(small.dtypes)
-    change = ", ".join(sorted({f"{before[c]}→{after[c]}" for c in df.columns if before[c] != after[c]}, reverse=True))
+    names = sorted(c for c in df.columns if (before[c], after[c]) == ("double", "float"))
     return small.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("l_orderkey").alias("orders"),
         F.sum("l_linenumber").alias("line_sum"),
-        F.lit(change).alias("change"),
+        F.lit(",".join(names)).alias("narrowed"),
+        rounded(F.sum("l_extendedprice"), 2).alias("price_sum"),
+        rounded(F.max("l_tax"), 12).alias("top_tax"),
         F.lit(len(few)).alias("text_columns"),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowcairn.functions.numeric import INF, as_number, clip_sql, finite_sql, quoted, raw_number_sql, sql_literal
-from flowcairn.operators.ordering import running_sums
+from flowcairn.operators.ordering import bucket_count, running_sums
 from flowcairn.operators.quantiles import COLUMNS_PER_AGGREGATE, quantiles
 from flowcairn.session import cut_lineage
 
@@ -222,8 +222,12 @@ class Encoder:
                 values = sorted(r["_value"] for r in distinct.collect())  # size checked above
                 maps[c] = {v: code for code, v in enumerate(values)}
             else:
-                # A value's first characters are monotone in sort order, so they serve as bucket.
-                ordered = distinct.select("_value", F.substring("_value", 1, 4).alias("_b"), F.lit(1).alias("_one"))
+                # Edges are values drawn by hash, so buckets are even whatever prefix the values share.
+                distinct = cut_lineage(distinct)
+                drawn = distinct.orderBy(F.xxhash64("_value"), "_value").limit(bucket_count(df)).collect()
+                edges = F.array(*[F.lit(v) for v in sorted(r["_value"] for r in drawn)])
+                bucket = F.size(F.filter(edges, lambda e: e <= F.col("_value")))
+                ordered = distinct.select("_value", bucket.alias("_b"), F.lit(1).alias("_one"))
                 coded = running_sums(ordered, [], "_b", "_value", {"_code": "_one"})
                 table = cut_lineage(coded.select("_value", (F.col("_code") - 1).alias("_code")))
                 tables[c] = (table, table.count())
@@ -231,17 +235,23 @@ class Encoder:
 
 
 def narrow_types(df: DataFrame, share: float = 0.5) -> tuple[DataFrame, list[str]]:
-    """double→float and long→int where the observed range fits, and the low-cardinality text columns."""
+    """double→float and long→int where every value survives, and the low-cardinality text columns.
+
+    A double column is narrowed when all its values come back unchanged from float; missing values and
+    NaN do not count against it.
+    """
     types = dict(df.dtypes)
     wide = [c for c, t in types.items() if t == "bigint"]
+    double = [c for c, t in types.items() if t == "double"]
     text = [c for c, t in types.items() if t == "string"]
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.min(quoted(c)).alias(f"l{i}") for i, c in enumerate(wide)],
         *[F.max(quoted(c)).alias(f"h{i}") for i, c in enumerate(wide)],
         *[F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(text)],
+        *[F.count_if(F.col(quoted(c)).cast("float").cast("double") != F.col(quoted(c))).alias(f"f{i}") for i, c in enumerate(double)],
     ).first()
-    new = {c: F.col(quoted(c)).cast("float") for c, t in types.items() if t == "double"}
+    new = {c: F.col(quoted(c)).cast("float") for i, c in enumerate(double) if row[f"f{i}"] == 0}
     new |= {c: F.col(quoted(c)).cast("int") for c, t in types.items() if t in ("tinyint", "smallint")}
     for i, c in enumerate(wide):
         low, high = row[f"l{i}"], row[f"h{i}"]

@@ -158,7 +158,8 @@ def density_by_label(
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, part in batch.groupby("label"):
+            for key, part in batch.groupby("label", dropna=False):
+                key = None if pd.isna(key) else key
                 if key not in width:
                     continue
                 total = np.zeros(points)

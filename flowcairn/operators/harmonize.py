@@ -27,10 +27,10 @@ def _numeric_shares(df: DataFrame, names: list[str]) -> tuple[int, dict[str, int
 
 
 def harmonize(
-    cic: DataFrame,
-    ton: DataFrame,
-    label_cic: str | None = None,
-    label_ton: str | None = None,
+    multi: DataFrame,
+    single: DataFrame,
+    label_multi: str | None = None,
+    label_single: str | None = None,
     mapping: DataFrame | None = None,
     only_binary_types: bool = True,
     impute: bool = True,
@@ -42,25 +42,25 @@ def harmonize(
     fills gaps with the feed's own median over all rows; leave it off when a later stage imputes from
     training rows. Costs one count aggregate and one quantile pass per feed.
     """
-    if only_binary_types and "type" in ton.columns:
-        ton = keep_binary_types(ton, require_rows=True)
+    if only_binary_types and "type" in single.columns:
+        single = keep_binary_types(single, require_rows=True)
     if mapping is None:
-        mapping = match_columns(ton, cic)
-    rows = required_features(mapping).select("unified_name", "cic_name", "ton_name").collect()  # schema-sized
+        mapping = match_columns(single, multi)
+    rows = required_features(mapping).select("unified_name", "multi_name", "single_name").collect()  # schema-sized
     pairs: dict[str, tuple[str, str]] = {}
     for r in rows:
-        if r["cic_name"] in cic.columns and r["ton_name"] in ton.columns:
-            pairs[r["unified_name"]] = (r["cic_name"], r["ton_name"])
+        if r["multi_name"] in multi.columns and r["single_name"] in single.columns:
+            pairs[r["unified_name"]] = (r["multi_name"], r["single_name"])
     names = list(pairs)
     parts = []
-    for df, side in ((cic, 0), (ton, 1)):
+    for df, side in ((multi, 0), (single, 1)):
         parts.append(_numbers(df, [(n, pairs[n][side]) for n in names]))
     shares = [_numeric_shares(p, names) for p in parts]
     kept = [n for n in names if all(k[n] > NUMERIC_SHARE * total for total, k in shares)]
     out = []
     for df, side, label in (
-        (cic, 0, attack_label(cic, label_cic)),
-        (ton, 1, ddos_label(ton, label_ton)),
+        (multi, 0, attack_label(multi, label_multi)),
+        (single, 1, ddos_label(single, label_single)),
     ):
         types = dict(df.dtypes)
         columns = {n: as_number(pairs[n][side], text=types[pairs[n][side]] == "string") for n in kept}
@@ -71,11 +71,11 @@ def harmonize(
     return out[0], out[1], kept
 
 
-def fuse(cic: DataFrame, ton: DataFrame) -> DataFrame:
+def fuse(multi: DataFrame, single: DataFrame) -> DataFrame:
     """UNION ALL of the shared columns in name order, tagged with ``dataset_source`` 0 and 1."""
-    shared = sorted(set(cic.columns) & set(ton.columns) - {"dataset_source"})
+    shared = sorted(set(multi.columns) & set(single.columns) - {"dataset_source"})
     tagged = [
-        df.select(*[quoted(c) for c in shared], F.lit(tag).alias("dataset_source")) for df, tag in ((cic, 0), (ton, 1))
+        df.select(*[quoted(c) for c in shared], F.lit(tag).alias("dataset_source")) for df, tag in ((multi, 0), (single, 1))
     ]
     return tagged[0].unionByName(tagged[1])
 
@@ -90,10 +90,10 @@ def concat(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def feature_ranges(cic: DataFrame, ton: DataFrame, features: list[str]) -> DataFrame:
+def feature_ranges(multi: DataFrame, single: DataFrame, features: list[str]) -> DataFrame:
     """Statistics of every feature in both feeds, for a look at the scales."""
     tagged = [
-        column_stats(df, features).withColumn("dataset_source", F.lit(tag)) for df, tag in ((cic, 0), (ton, 1))
+        column_stats(df, features).withColumn("dataset_source", F.lit(tag)) for df, tag in ((multi, 0), (single, 1))
     ]
     return tagged[0].unionByName(tagged[1])
 

@@ -79,7 +79,7 @@ NAME_GROUPS = [
 ]
 
 MAPPING_SCHEMA = (
-    "unified_name string, ton_name string, cic_name string, type string, category string, unit string, "
+    "unified_name string, single_name string, multi_name string, type string, category string, unit string, "
     "similarity_score double, confidence string"
 )
 
@@ -107,9 +107,9 @@ def category_of(name: Column, strict: bool = False) -> Column:
     return F.coalesce(_first_hit(F.lower(F.trim(name)), CATEGORY_FRAGMENTS, strict), F.lit("other"))
 
 
-def unified_name(ton: Column, cic: Column) -> Column:
+def unified_name(single: Column, multi: Column) -> Column:
     """The shorter of both names, in lower case, blanks as underscores, other signs removed."""
-    base = F.when(F.length(ton) <= F.length(cic), ton).otherwise(cic)
+    base = F.when(F.length(single) <= F.length(multi), single).otherwise(multi)
     return F.regexp_replace(F.replace(F.lower(base), F.lit(" "), F.lit("_")), "[^a-z0-9_]", "")
 
 
@@ -161,20 +161,20 @@ def sample_values(df: DataFrame, samples: int = 5) -> dict[str, list]:
     return {c: [r[c] for r in rows if r[c] is not None][:samples] for c in df.columns}
 
 
-def match_columns(ton: DataFrame, cic: DataFrame, strict: bool = False) -> DataFrame:
-    """Mapping between the single-file feed ``ton`` and the multi-file feed ``cic``; see MAPPING_SCHEMA.
+def match_columns(single: DataFrame, multi: DataFrame, strict: bool = False) -> DataFrame:
+    """Mapping between the single-file feed ``single`` and the multi-file feed ``multi``; see MAPPING_SCHEMA.
 
     ``strict`` uses whole-word fragments and gives every column to one partner only.
     """
-    spark = ton.sparkSession
-    left = describe_columns(spark, ton.columns, strict)
-    right = describe_columns(spark, cic.columns, strict)
-    both = sorted(set(ton.columns) & set(cic.columns))
+    spark = single.sparkSession
+    left = describe_columns(spark, single.columns, strict)
+    right = describe_columns(spark, multi.columns, strict)
+    both = sorted(set(single.columns) & set(multi.columns))
 
     exact = left.join(right.select("name"), "name").select(
         F.col("name").alias("unified_name"),
-        F.col("name").alias("ton_name"),
-        F.col("name").alias("cic_name"),
+        F.col("name").alias("single_name"),
+        F.col("name").alias("multi_name"),
         F.lit("exact_match").alias("type"),
         "category",
         "unit",
@@ -186,17 +186,17 @@ def match_columns(ton: DataFrame, cic: DataFrame, strict: bool = False) -> DataF
         return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(\w+)"), 1))
 
     a = left.where(~F.col("name").isin(both)).select(
-        F.col("name").alias("ton_name"), "category", F.col("unit").alias("ton_unit"), F.col("position").alias("ton_position")
+        F.col("name").alias("single_name"), "category", F.col("unit").alias("single_unit"), F.col("position").alias("single_position")
     )
     b = right.where(~F.col("name").isin(both)).select(
-        F.col("name").alias("cic_name"), "category", F.col("unit").alias("cic_unit"), F.col("position").alias("cic_position")
+        F.col("name").alias("multi_name"), "category", F.col("unit").alias("multi_unit"), F.col("position").alias("multi_position")
     )
-    wa, wb = words(F.col("ton_name")), words(F.col("cic_name"))
+    wa, wb = words(F.col("single_name")), words(F.col("multi_name"))
     overlap = F.coalesce(
         F.try_divide(F.size(F.array_intersect(wa, wb)), F.size(F.array_union(wa, wb))).cast("double"), F.lit(0.0)
     )
-    same_unit = F.coalesce(F.col("ton_unit") == F.col("cic_unit"), F.lit(False)).cast("double")
-    score = F.when(F.lower("ton_name") == F.lower("cic_name"), F.lit(1.0)).otherwise(
+    same_unit = F.coalesce(F.col("single_unit") == F.col("multi_unit"), F.lit(False)).cast("double")
+    score = F.when(F.lower("single_name") == F.lower("multi_name"), F.lit(1.0)).otherwise(
         F.least(overlap * 0.4 + 0.3 + same_unit * 0.3, F.lit(1.0))
     )
     scored = (
@@ -205,18 +205,18 @@ def match_columns(ton: DataFrame, cic: DataFrame, strict: bool = False) -> DataF
         .withColumn("similarity_score", score)
         .where("similarity_score > 0.5")
     )
-    best = F.row_number().over(W.partitionBy("ton_name").orderBy(F.desc("similarity_score"), "cic_position"))
+    best = F.row_number().over(W.partitionBy("single_name").orderBy(F.desc("similarity_score"), "multi_position"))
     scored = scored.withColumn("_best", best).where("_best = 1")
     if strict:
-        one = F.row_number().over(W.partitionBy("cic_name").orderBy(F.desc("similarity_score"), "ton_position"))
+        one = F.row_number().over(W.partitionBy("multi_name").orderBy(F.desc("similarity_score"), "single_position"))
         scored = scored.withColumn("_one", one).where("_one = 1")
     semantic = scored.select(
-        unified_name(F.col("ton_name"), F.col("cic_name")).alias("unified_name"),
-        "ton_name",
-        "cic_name",
+        unified_name(F.col("single_name"), F.col("multi_name")).alias("unified_name"),
+        "single_name",
+        "multi_name",
         F.lit("semantic_match").alias("type"),
         "category",
-        F.coalesce("ton_unit", "cic_unit").alias("unit"),
+        F.coalesce("single_unit", "multi_unit").alias("unit"),
         "similarity_score",
         F.when(F.col("similarity_score") > 0.7, "medium").otherwise("low").alias("confidence"),
     )
@@ -229,19 +229,19 @@ def match_columns(ton: DataFrame, cic: DataFrame, strict: bool = False) -> DataF
         return F.get(hits, 0)
 
     known = spark.createDataFrame(
-        KNOWN_PAIRS, "unified_name string, ton array<string>, cic array<string>, category string, unit string"
+        KNOWN_PAIRS, "unified_name string, single array<string>, multi array<string>, category string, unit string"
     ).select(
         "unified_name",
-        first_column("ton", ton.columns).alias("ton_name"),
-        first_column("cic", cic.columns).alias("cic_name"),
+        first_column("single", single.columns).alias("single_name"),
+        first_column("multi", multi.columns).alias("multi_name"),
         F.lit("known_mapping").alias("type"),
         "category",
         "unit",
         F.lit(None).cast("double").alias("similarity_score"),
         F.lit("high").alias("confidence"),
-    ).where("ton_name IS NOT NULL AND cic_name IS NOT NULL")
+    ).where("single_name IS NOT NULL AND multi_name IS NOT NULL")
     found = exact.unionByName(semantic)
-    return found.unionByName(known.join(found, ["ton_name", "cic_name"], "left_anti"))
+    return found.unionByName(known.join(found, ["single_name", "multi_name"], "left_anti"))
 
 
 def match_by_groups(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -266,11 +266,11 @@ def match_by_groups(first: DataFrame, second: DataFrame) -> DataFrame:
 
     groups = spark.createDataFrame(NAME_GROUPS, "unified_name string, variants array<string>").select(
         "unified_name",
-        pick(first.columns).alias("cic_name"),
-        pick(second.columns).alias("ton_name"),
+        pick(first.columns).alias("multi_name"),
+        pick(second.columns).alias("single_name"),
         F.lit("semantic_match").alias("type"),
-    ).where("cic_name IS NOT NULL AND ton_name IS NOT NULL")
-    names = spark.createDataFrame(equal, "unified_name string, cic_name string, ton_name string, type string")
+    ).where("multi_name IS NOT NULL AND single_name IS NOT NULL")
+    names = spark.createDataFrame(equal, "unified_name string, multi_name string, single_name string, type string")
     # A group result replaces an equal-name result under the same unified name.
     return names.join(groups, "unified_name", "left_anti").unionByName(groups)
 

@@ -94,6 +94,12 @@ def _matches(queries: pd.DataFrame, refs: pd.DataFrame, k: int, skip_self: bool,
     return pd.DataFrame(out)
 
 
+def _require_unique(df: DataFrame, column: str) -> None:
+    repeated = df.groupBy(column).count().where("count > 1").select(column).first()
+    if repeated is not None:
+        raise ValueError(f"{column} is not unique: {repeated[0]!r} occurs more than once")
+
+
 def knn_join(
     queries: DataFrame,
     references: DataFrame,
@@ -110,8 +116,8 @@ def knn_join(
     """The k nearest references of every query: (query_id, neighbor_id, distance, rank, payload…).
 
     Distances are Euclidean over ``vector`` (array of numbers); ties go to the smaller id.
-    ``skip_self`` leaves out the reference whose id equals the query's. Counting references and
-    reading the vector length is an action.
+    ``skip_self`` leaves out the reference whose id equals the query's. Ids must be unique on either
+    side; repeated ones raise an error. Counting references and reading the vector length is an action.
     """
     payload = list(payload)
     q = queries.select(
@@ -122,6 +128,8 @@ def knn_join(
         F.col(quoted(vector)).cast("array<double>").alias("_vec"),
         *[F.col(quoted(p)) for p in payload],
     )
+    _require_unique(q, "query_id")
+    _require_unique(r, "neighbor_id")
     schema = T.StructType(
         [
             T.StructField("query_id", q.schema["query_id"].dataType),

@@ -27,7 +27,7 @@ def row_token(keys: list[str], seed: int) -> Column:
 def _hex_digits(df: DataFrame) -> int:
     """Digits of the token used as bucket: a few buckets per shuffle partition."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(6, math.ceil(math.log(max(4 * partitions, 2), 16))))
+    return max(1, min(32, math.ceil(math.log(max(4 * partitions, 2), 16))))
 
 
 def shuffled_rank(
@@ -106,9 +106,9 @@ def with_buckets(
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets for value-ordered work: follows the configured shuffle width, within sane bounds."""
+    """Buckets for value-ordered work: follows the configured shuffle width."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4096, 2 * partitions))
+    return max(16, 2 * partitions)
 
 
 def running_sums(
@@ -145,9 +145,9 @@ def global_rank(df: DataFrame, score: str, name: str, rank: str = "rank", seed:
 
     Distinct scores get their offset from two-level running sums, rows of one score are numbered by
     token buckets, so neither a long table nor one frequent score ends up in a single task.
-    Fitting the score buckets is one aggregate.
+    Rows without a finite score come last, in seeded order. Fitting the score buckets is one aggregate.
     """
-    valued = df.where(is_finite(score)).withColumn("_score", -F.col(quoted(score)).cast("double"))
+    valued = df.where(F.coalesce(is_finite(score), F.lit(False))).withColumn("_score", -F.col(quoted(score)).cast("double"))
     edges = bucket_edges(valued, ["_score"], bucket_count(df))
     counts = with_buckets(valued.select("_score"), edges).groupBy("_score_bucket", "_score").agg(
         F.count(F.lit(1)).alias("_n")
@@ -156,6 +156,8 @@ def global_rank(df: DataFrame, score: str, name: str, rank: str = "rank", seed:
         "_score", (F.col("_upto") - F.col("_n")).alias("_before")
     )
     numbered = shuffled_rank(valued, [name], seed, ["_score"], "_inside", None)
-    return numbered.join(offsets, "_score").select(
+    ranked = numbered.join(offsets, "_score").select(
         *[F.col(quoted(c)) for c in df.columns], (F.col("_before") + F.col("_inside")).alias(rank)
     )
+    rest = shuffled_rank(df.where(~F.coalesce(is_finite(score), F.lit(False))), [name], seed, None, rank, None)
+    return ranked.unionByName(rest.withColumn(rank, F.col(rank) + F.lit(valued.count())))

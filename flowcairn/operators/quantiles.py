@@ -19,7 +19,6 @@ SINGLE_PASS_ROWS = 50_000
 COLUMNS_PER_AGGREGATE = 200
 ACCURACY = 10_000  # rank error of the sketch: rows / ACCURACY
 BRACKET_ROWS = 200_000
-MOST_ROUNDS = 4  # beyond it a bracket is wide only because single values are frequent
 
 
 def quantiles(
@@ -93,11 +92,11 @@ def _by_narrowing(df, columns, probs, bracket_rows):
             if rows[c]:
                 at = p * (rows[c] - 1)
                 brackets[c, p] = _Bracket(c, math.floor(at), math.ceil(at), -INF, INF, 0, rows[c])
-    for _ in range(MOST_ROUNDS):
-        wide = [b for b in brackets.values() if not b.settled(bracket_rows)]
-        if not wide:
-            break
+    while wide := [b for b in brackets.values() if not b.settled(bracket_rows)]:
+        before = [(b.low, b.high) for b in wide]
         _narrow(df, wide)
+        if before == [(b.low, b.high) for b in wide]:
+            break  # the bounds are values of neighbouring sketch ranks: few distinct values lie between
 
     found = {(b.column, p): (b.low, b.low) for (_, p), b in brackets.items() if b.low == b.high}
     open_ = [(k, b) for k, b in brackets.items() if b.low != b.high]

@@ -108,12 +108,12 @@ def sample_fraction(df: DataFrame, fraction: float, keys: list[str] | None = Non
     return df.where(uniform(keys, seed) < fraction)
 
 
-def decimate(df: DataFrame, keys: list[str], ratio: float, seed: int = 42, most: int = 1_000_000) -> DataFrame:
-    """Small-ratio sample: one row in ``int(1/ratio)`` by hash; the size bound is part of the operator."""
+def decimate(df: DataFrame, keys: list[str], ratio: float, seed: int = 42, most: int | None = None) -> DataFrame:
+    """Small-ratio sample: one row in ``int(1/ratio)`` by hash; ``most`` is the caller's own bound, if any."""
     step = max(1, int(1 / ratio))
     token = F.xxhash64(*[F.col(quoted(c)) for c in keys], F.lit(seed))
     thinned = df.where(F.pmod(token, F.lit(step)) == 0)
-    return thinned.orderBy(row_token(keys, seed)).limit(most)
+    return thinned if most is None else sample_exact(thinned, keys, n=most, seed=seed)
 
 
 def cap_per_source(df: DataFrame, source: str, keys: list[str], rows: int, seed: int = 42) -> DataFrame:

@@ -88,7 +88,7 @@ def search(
             predicted = model.score(fitted.transform(test)).select(label, "prediction")
             return classification_by_group(predicted, [], label).first()["accuracy"], None
         except Exception as error:  # a failing point keeps its place in the result
-            return None, f"{type(error).__name__}: {str(error)[:200]}"
+            return None, f"{type(error).__name__}: {error}"
 
     # Shared stages first, one by one, so the parallel points find them fitted.
     seen = set()

@@ -42,7 +42,6 @@ TUNING_GRIDS: dict[str, dict[str, list[Any]]] = {
     "TabNet": {"hidden": [8, 16, 32]},
     "CNN": {"lr": [0.001, 0.01], "epochs": [10, 20]},
 }
-SPREAD_ROWS = 2_000_000
 MLLIB_MAX_DEPTH = 30  # deepest tree MLlib grows; stands in for "no limit"
 
 
@@ -92,9 +91,10 @@ def _boosted(p, features, classes, rows, common, weight):
 def _network(p, features, classes, rows, common, weight):
     # Multilayer perceptron in the slot of the tabular networks; it takes no row weights.
     hidden = int(p.get("hidden", 32))
+    # A learning rate belongs to gradient descent; without one the quasi-Newton solver is used.
+    solver = {"solver": "gd", "stepSize": float(p["lr"])} if "lr" in p else {}
     return MultilayerPerceptronClassifier(
-        layers=[features, 2 * hidden, hidden, classes], maxIter=5 * int(p.get("epochs", 20)),
-        stepSize=float(p.get("lr", 0.03)), seed=p["seed"], **common,
+        layers=[features, 2 * hidden, hidden, classes], maxIter=5 * int(p.get("epochs", 20)), seed=p["seed"], **solver, **common,
     )
 
 
@@ -172,12 +172,13 @@ def train_model(
             "probabilityCol": "_probability", "rawPredictionCol": "_raw",
         }
         weighted = {"weightCol": weight} if weight else {}
-        rows = train.count()
+        rows = train.count() if key == "LR" else 0  # only the ridge strength depends on it
         estimator = BUILDERS[key](p, len(features), classes, rows, common, weighted)
         data = _assemble(train.withColumn("_label", F.col(quoted(label)).cast("double")), features)
-        data = data.select("_features", "_label", *([weight] if weight else []))
-        if rows <= SPREAD_ROWS:  # a short table may sit in one partition, which would train in one task
-            data = data.repartition(train.sparkSession.sparkContext.defaultParallelism)
+        # Dealt by content at every size, so a model does not change with the layout of its table.
+        content = F.xxhash64(*[F.col(quoted(c)) for c in [*features, label]])
+        parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        data = data.repartition(parts, content).select("_features", "_label", *([weight] if weight else []))
         model = estimator.fit(data)
     else:
         raise KeyError(f"unknown model {name!r}; known are {REGISTRY}")

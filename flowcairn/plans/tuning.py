@@ -32,7 +32,7 @@ SWEEP_SCHEMA = "algo string, no int, params string, f1 double, accuracy double,
 
 
 def _table(spark, rows, by):
-    best = max(range(len(rows)), key=lambda i: (rows[i][by], -i))
+    best = max(range(len(rows)), key=lambda i: (rows[i][by] is not None, rows[i][by] or 0.0, -i))
     return spark.createDataFrame([(*r, i == best) for i, r in enumerate(rows)], SWEEP_SCHEMA)
 
 
@@ -65,7 +65,8 @@ def random_search(
         for fold in range(k):
             train, test = fold_pair(folded, fold)
             scores.append(_score(name, train.drop("fold"), test.drop("fold"), features, label, row_id, p, seed))
-        means = [sum(s[j] or 0.0 for s in scores) / k for j in range(3)]
+        present = [[s[j] for s in scores if s[j] is not None] for j in range(3)]  # a fold of one class has no AUC
+        means = [sum(v) / len(v) if v else None for v in present]
         rows.append((name, i, json.dumps(p, sort_keys=True), *means))
     return _table(df.sparkSession, rows, 4)
 

@@ -7,6 +7,7 @@ whose columns come in another order or number are aligned by name.
 from __future__ import annotations
 
 from collections import defaultdict
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from flowcairn.functions.labels import attack_label, ddos_label, keep_binary_typ
 from flowcairn.functions.names import trim_names
 from flowcairn.operators.harmonize import concat
 from flowcairn.operators.matching import match_columns, required_features
-from flowcairn.operators.splits import cap_per_source, decimate, sample_exact, sample_fraction
+from flowcairn.operators.splits import cap_per_source, sample_exact, sample_fraction
 from flowcairn.sources.listing import (
     choose_files,
     list_files,
@@ -62,8 +63,9 @@ def read_files(spark: SparkSession, paths: list[str], with_file: bool = False) -
         headers = list(pool.map(lambda p: tuple(read_header(spark, p)), paths))
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for path, header in zip(paths, headers):
-        if header:
-            groups[header].append(path)
+        if not header:
+            raise ValueError(f"{path} has no header")
+        groups[header].append(path)
     parts = []
     for header, files in groups.items():
         # Malformed numbers become NULL, as with a coercing reader.
@@ -112,37 +114,63 @@ def read_multi_file_feed(
     if max_rows_per_file is not None:
         keys = [c for c in df.columns if c != FILE_COLUMN]
         df = cap_per_source(df, FILE_COLUMN, keys, max_rows_per_file, seed)
-    if manifest:
-        record_loaded(spark.createDataFrame(rows, files.schema), manifest)
     return df if with_file else df.drop(FILE_COLUMN)
 
 
+def load_new_files(spark: SparkSession, folder: str, manifest: str, target: str, **options) -> int:
+    """Append the files that are not in the manifest to the Parquet table ``target``; returns their number.
+
+    Each load is a folder of its own below ``target``, a value of the partition column ``load``. Files
+    enter the manifest only after their rows are written, so a load that fails is done again.
+    """
+    df = read_multi_file_feed(spark, folder, manifest, with_file=True, **options)
+    if df is None:
+        return 0
+    batch = f"{target.rstrip('/')}/load={uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(batch)
+    loaded = spark.read.parquet(batch).select(F.col(FILE_COLUMN).alias("path")).distinct()
+    listing = new_files(without_duplicates(without_documentation(list_files(spark, folder))), manifest)
+    record_loaded(listing.join(loaded, "path", "left_semi"), manifest)
+    return loaded.count()
+
+
 def sample_feed(df: DataFrame, ratio: float, keys: list[str] | None = None, exact: bool = False, seed: int = 42) -> DataFrame:
-    """Sample of a feed: all of it at 1, decimation under 1 %, otherwise exact or by row hash."""
+    """Sample of a feed: all of it at 1, otherwise exact or by row hash, at every ratio alike."""
     keys = keys or df.columns
     if ratio >= 1.0:
         return df
-    if ratio < 0.01:
-        return decimate(df, keys, ratio, seed)
     return sample_exact(df, keys, ratio=ratio, seed=seed) if exact else sample_fraction(df, ratio, keys, seed)
 
 
-def load_both(spark: SparkSession, single_file: list[str], folder: str, ratio: float = 1.0) -> DataFrame:
-    """Both feeds as one lazy table of their shared columns plus ``is_ddos``, ``type`` and ``dataset``."""
+def load_both(
+    spark: SparkSession,
+    single_file: list[str],
+    folder: str,
+    ratio: float = 1.0,
+    tags: tuple[str, str] = ("single_file", "multi_file"),
+    allow_missing: bool = False,
+) -> DataFrame:
+    """Both feeds as one lazy table of their shared columns plus ``is_ddos``, ``type`` and ``dataset``.
+
+    ``tags`` are the values of ``dataset``. A feed without data is an error unless ``allow_missing``.
+    """
     parts = []
     try:
-        ton = read_single_file_feed(spark, single_file)
-        if "type" in ton.columns:
-            ton = keep_binary_types(ton)
-            ton = ton.withColumn("is_ddos", ddos_label(ton)).withColumn("type", F.col("is_ddos"))
-        parts.append(ton.withColumn("dataset", F.lit("ton_iot")))
+        single = read_single_file_feed(spark, single_file)
+        if "type" in single.columns:
+            single = keep_binary_types(single)
+            single = single.withColumn("is_ddos", ddos_label(single)).withColumn("type", F.col("is_ddos"))
+        parts.append(single.withColumn("dataset", F.lit(tags[0])))
     except FileNotFoundError:
-        pass
-    cic = read_multi_file_feed(spark, folder)
-    if cic is not None:
-        if "Label" in cic.columns:
-            cic = cic.withColumn("is_ddos", attack_label(cic, "Label")).withColumn("type", F.col("is_ddos"))
-        parts.append(cic.withColumn("dataset", F.lit("cic_ddos2019")))
+        if not allow_missing:
+            raise
+    multi = read_multi_file_feed(spark, folder)
+    if multi is not None:
+        if "Label" in multi.columns:
+            multi = multi.withColumn("is_ddos", attack_label(multi, "Label")).withColumn("type", F.col("is_ddos"))
+        parts.append(multi.withColumn("dataset", F.lit(tags[1])))
+    elif not allow_missing:
+        raise FileNotFoundError(f"no data file below {folder}")
     if not parts:
         raise FileNotFoundError("neither feed has data")
     if len(parts) == 2:
@@ -155,11 +183,11 @@ def load_both(spark: SparkSession, single_file: list[str], folder: str, ratio: f
 def discover_features(spark: SparkSession, single_file: str, folder: str) -> DataFrame:
     """Mapping of the columns both feeds share, from headers alone; later scans read only these."""
     files = [r["path"] for r in without_documentation(list_files(spark, folder)).orderBy("name").collect()]
-    ton = spark.createDataFrame([], feed_schema(read_header(spark, single_file)))
+    single = spark.createDataFrame([], feed_schema(read_header(spark, single_file)))
     names: dict[str, None] = {}
     for path in files:
         names.update(dict.fromkeys(read_header(spark, path)))
-    return required_features(match_columns(ton, spark.createDataFrame([], feed_schema(list(names)))))
+    return required_features(match_columns(single, spark.createDataFrame([], feed_schema(list(names)))))
 
 
 def head_sample(spark: SparkSession, path: str, rows: int = 1000) -> DataFrame:

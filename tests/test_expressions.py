@@ -56,28 +56,28 @@ def test_labels(spark):
     assert [r[0] for r in text.select(attack_label(text)).collect()] == [0, 0, 1, 1]
     number = spark.createDataFrame([(0.0,), (1.0,), (None,), (NAN,)], "label double")
     assert [r[0] for r in number.select(attack_label(number)).collect()] == [0, 1, 0, 0]
-    ton = spark.createDataFrame([("normal", 1), ("DDoS", 0), ("scanning", 1)], "type string, label int")
-    assert [r[0] for r in ton.select(ddos_label(ton)).collect()] == [0, 1, 0]
-    assert keep_binary_types(ton).count() == 1
+    single = spark.createDataFrame([("normal", 1), ("DDoS", 0), ("scanning", 1)], "type string, label int")
+    assert [r[0] for r in single.select(ddos_label(single)).collect()] == [0, 1, 0]
+    assert keep_binary_types(single).count() == 1
     with pytest.raises(ValueError):
-        keep_binary_types(ton.where("type = 'scanning'"), require_rows=True)
-    assert label_column(ton) == "label"
+        keep_binary_types(single.where("type = 'scanning'"), require_rows=True)
+    assert label_column(single) == "label"
 
 
 def test_flow_ratios(spark):
-    cic = spark.createDataFrame(
+    multi = spark.createDataFrame(
         [(100.0, 50.0, 10.0, 5.0, 2.0), (200.0, 100.0, 20.0, 10.0, 4.0), (1.0, 0.0, 1.0, 0.0, 0.0), (None, 1.0, 1.0, 1.0, None)],
         ["Total Fwd Bytes", " Total Bwd Bytes", "Total Fwd Packets", "Total Bwd Packets", "Flow Duration"],
     )
-    got = with_flow_ratios(cic, MULTI_FILE).collect()
+    got = with_flow_ratios(multi, MULTI_FILE).collect()
     assert [r["Flow_Bytes_s"] for r in got] == [75.0, 75.0, 1e8, None]
     assert [r["Flow_Packets_s"] for r in got][:2] == [7.5, 7.5]
     assert [r["Avg_Packet_Size"] for r in got][:2] == [10.0, 10.0]
     assert got[0]["Traffic_Direction_Ratio"] == pytest.approx(2.0)
     assert {r["dataset_source"] for r in got} == {0}
     for names in (["bytes_in", "bytes_out", "pkts_in", "pkts_out"], ["src_bytes", "dst_bytes", "src_pkts", "dst_pkts"]):
-        ton = spark.createDataFrame([(300.0, 150.0, 30.0, 15.0, 3.0)], [*names, "duration"])
-        row = with_flow_ratios(ton, SINGLE_FILE).first()
+        single = spark.createDataFrame([(300.0, 150.0, 30.0, 15.0, 3.0)], [*names, "duration"])
+        row = with_flow_ratios(single, SINGLE_FILE).first()
         assert (row["Flow_Bytes_s"], row["Flow_Packets_s"], row["Avg_Packet_Size"]) == (150.0, 15.0, 10.0)
         assert row["Traffic_Direction_Ratio"] == pytest.approx(0.5) and row["dataset_source"] == 1
     assert with_flow_ratios(spark.createDataFrame([(1,)], ["x"]), MULTI_FILE).columns == ["x", "dataset_source"]

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowcairn.operators import explain
+from flowcairn.operators.neighbors import knn_join
 from flowcairn.operators.flows import assemble_flows, epoch_time, sessions, with_direction
 from flowcairn.operators.preparation import PrepareConfig, Preparation
 from flowcairn.plans import config_search, evaluate, phases, tuning
@@ -148,11 +149,11 @@ def test_stream_scoring_equals_batch(spark, flows, tmp_path):
 
 def test_phases_end_to_end(spark, tmp_path):
     rng = np.random.default_rng(1)
-    cic = spark.createDataFrame(
+    multi = spark.createDataFrame(
         [(float(50 + 400 * (i % 2) + rng.normal(0, 20)), float(40 + rng.normal(0, 5)), float(5 + 10 * (i % 2)), 3.0 + float(i % 5), 2.0 + float(i % 3), "BENIGN" if i % 2 == 0 else "DrDoS_UDP") for i in range(120)],
         ["Total Length of Fwd Packets", "Total Length of Bwd Packets", "Total Fwd Packets", "Total Backward Packets", "Flow Duration", "Label"],
     )
-    ton = spark.createDataFrame(
+    single = spark.createDataFrame(
         [(float(60 + 300 * (i % 2)), float(45 + i % 7), float(6 + 8 * (i % 2)), 4.0 + i % 2, 1.0 + float(i % 4), i % 2, ["normal", "ddos"][i % 2]) for i in range(80)],
         ["src_bytes", "dst_bytes", "src_pkts", "dst_pkts", "duration", "label", "type"],
     )
@@ -161,15 +162,32 @@ def test_phases_end_to_end(spark, tmp_path):
         grid=(PrepareConfig(apply_encoding=False), PrepareConfig(apply_encoding=False, apply_scaling=False, scaling_method=None)),
         model_params={"DT": {"max_depth": 4}},
     )
-    ranking = phases.run(cic, ton, config).orderBy("rank").collect()
+    ranking = phases.run(multi, single, config).orderBy("rank").collect()
     assert [r["rank"] for r in ranking] == [1, 2] and {r["alternative"] for r in ranking} == {"LR", "DT"}
     assert spark.read.parquet(config.folder("phase1_best")).first()["score"] > 0.8
     stored = spark.read.option("header", "true").option("inferSchema", "true").csv(config.folder("metrics_aggregated"))
     assert stored.agg(F.min("f1_mean")).first()[0] > 0.8
-    again = phases.run(cic, ton, config, phases=(5,)).collect()
+    again = phases.run(multi, single, config, phases=(5,)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, [r for r in ranking])) or len(again) == 2
     data = phases.read_stage(spark, config.folder("phase2"))
     tables = phases.ratio_report(data, config)
     assert {"ratio_validation", "mutual_information", "permutation_importance"} <= set(tables)
     with pytest.raises(ValueError):
         phases.PhaseConfig("x", sample_ratio=0.0)
+
+
+def test_repeated_rows_have_keys_of_their_own(spark):
+    rows = [(1.0, 2.0, 0)] * 40 + [(float(i), None, i % 2) for i in range(20)]
+    table = spark.createDataFrame(rows, "a double, b double, label int")
+    first, second = (phases.with_key(table.repartition(n)).select("row_key").collect() for n in (1, 7))
+    assert len({r[0] for r in first}) == 60 and {r[0] for r in first} == {r[0] for r in second}
+
+
+def test_models_learn_from_repeated_rows(spark):
+    rows = [(float(i % 6), float(i % 4), int(i % 6 > 3)) for i in range(300)]
+    table = phases.with_key(spark.createDataFrame(rows, "a double, b double, label int"))
+    found = evaluate.cross_validate(table, ["LR", "KNN"], ["a", "b"], "label", ["row_key"], k=3).collect()
+    assert len(found) == 6 and all(r["error"] is None for r in found), [r["error"] for r in found]
+    repeated = table.select(F.lit("x").alias("id"), F.array("a", "b").alias("v"))
+    with pytest.raises(ValueError, match="not unique"):
+        knn_join(repeated, repeated, 2, "id", "id", "v")

@@ -106,3 +106,9 @@ def test_class_weights(spark):
     want = {0: 10 / 18, 1: 5.0}
     assert {r["label"]: r["weight"] for r in class_weights(df, "label").collect()} == pytest.approx(want)
     assert {r["label"]: r["weight"] for r in with_class_weight(df, "label").distinct().collect()} == pytest.approx(want)
+
+
+def test_rank_keeps_rows_without_a_score(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0), ("d", float("nan")), ("e", 3.0)], "name string, score double")
+    ranks = {r["name"]: r["rank"] for r in global_rank(df, "score", "name").collect()}
+    assert sorted(ranks.values()) == [1, 2, 3, 4, 5] and ranks["a"] == 3 and {ranks["c"], ranks["e"]} == {1, 2}

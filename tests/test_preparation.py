@@ -150,3 +150,18 @@ def test_stateless_keeps_columns(spark):
     assert out.columns == df.columns
     assert {r["dataset_source"] for r in out.collect()} == {0, 1}
     assert [r["b"] for r in out.orderBy("a").collect()][1] <= 30.0 and out.where("b IS NULL").count() == 1
+
+
+def test_narrowing_keeps_every_value(spark):
+    df = spark.createDataFrame([(0.5, 1e300, 0.1, 1), (None, 2.0, 0.25, 2**40)], "a double, b double, c double, d long")
+    small, _ = narrow_types(df)
+    assert dict(small.dtypes) == {"a": "float", "b": "double", "c": "double", "d": "bigint"}
+    assert {tuple(r) for r in small.collect()} == {tuple(r) for r in df.collect()}
+
+
+def test_codes_of_values_with_one_prefix(spark):
+    values = [f"customer#{i:06d}" for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "name string")
+    coded = Encoder(literal_values=10).fit(df, ["name"]).transform(df.withColumn("text", F.col("name")))
+    codes = {r["text"]: r["name"] for r in coded.collect()}
+    assert [codes[v] for v in values] == [float(i) for i in range(3000)] and codes[None] == 3000.0

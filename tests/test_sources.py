@@ -22,8 +22,8 @@ def write(path, text):
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = str(tmp_path_factory.mktemp("feed"))
-    ton = "ts,duration,src_pkts,dst_pkts,src_bytes,dst_bytes,label,type\n"
-    write(f"{root}-ton/net.csv", ton + "1.5,1,1,1,10,20,0,normal\n2.5,0,3,1,30,10,1,ddos\n3,1,1,1,1,1,1,scanning\n")
+    single = "ts,duration,src_pkts,dst_pkts,src_bytes,dst_bytes,label,type\n"
+    write(f"{root}-single/net.csv", single + "1.5,1,1,1,10,20,0,normal\n2.5,0,3,1,30,10,1,ddos\n3,1,1,1,1,1,1,scanning\n")
     write(f"{root}/01/DrDoS_DNS.csv", "﻿Flow ID, Flow Duration, Total Fwd Packets,Flow Bytes/s, Label\nx,10,1,Infinity,DrDoS_DNS\ny,20,2,3.5,BENIGN\n")
     write(f"{root}/02/deep/Syn.csv", "Label,Flow Duration,Total Fwd Packets\nSyn,30,bad\nSyn,40,4\nSyn,50,5\n")
     write(f"{root}/02/DrDoS_DNS.csv", "Flow ID,Flow Duration\nduplicate,1\n")
@@ -63,51 +63,60 @@ def test_multi_file_feed(spark, folder, tmp_path):
     capped = feeds.read_multi_file_feed(spark, f"{folder}/02/deep", max_rows_per_file=2)
     assert capped.count() == 2
     manifest = str(tmp_path / "manifest")
-    assert feeds.read_multi_file_feed(spark, root, manifest).count() == 2
+    target = str(tmp_path / "loaded")
+    assert feeds.read_multi_file_feed(spark, root, manifest).count() == 2  # reading alone records nothing
+    assert feeds.load_new_files(spark, root, manifest, target) > 0
     assert feeds.read_multi_file_feed(spark, root, manifest) is None
+    assert feeds.load_new_files(spark, root, manifest, target) == 0
     write(f"{root}/late.csv", "Flow ID,Flow Duration\nz,5\n")
     again = feeds.read_multi_file_feed(spark, root, manifest)
     assert [r["Flow ID"] for r in again.collect()] == ["z"]
+    assert feeds.load_new_files(spark, root, manifest, target) == 1
+    assert spark.read.option("mergeSchema", "true").parquet(target).count() == 3
 
 
 def test_single_file_and_both(spark, folder):
-    ton = feeds.read_single_file_feed(spark, [f"{folder}/missing.csv", f"{folder}-ton/net.csv"])
-    assert ton.count() == 3 and dict(ton.dtypes)["ts"] == "double"
+    single = feeds.read_single_file_feed(spark, [f"{folder}/missing.csv", f"{folder}-single/net.csv"])
+    assert single.count() == 3 and dict(single.dtypes)["ts"] == "double"
     with pytest.raises(FileNotFoundError):
         feeds.read_single_file_feed(spark, [f"{folder}/missing.csv"])
-    both = feeds.load_both(spark, [f"{folder}-ton/net.csv"], f"{folder}/02/deep")
+    both = feeds.load_both(spark, [f"{folder}-single/net.csv"], f"{folder}/02/deep")
     assert set(both.columns) == {"is_ddos", "type", "dataset"}
     assert {(r["dataset"], r["is_ddos"]): r["count"] for r in both.groupBy("dataset", "is_ddos").count().collect()} == {
-        ("ton_iot", 0): 1, ("ton_iot", 1): 1, ("cic_ddos2019", 1): 3,
+        ("single_file", 0): 1, ("single_file", 1): 1, ("multi_file", 1): 3,
     }
-    assert feeds.count_rows(spark, f"{folder}-ton/net.csv") == 3
-    assert feeds.head_sample(spark, f"{folder}-ton/net.csv", 2).count() == 2
-    assert feeds.preview(ton, ["ts"]).count() == 2
-    assert feeds.sample_feed(ton, 1.0).count() == 3
+    assert feeds.count_rows(spark, f"{folder}-single/net.csv") == 3
+    assert feeds.head_sample(spark, f"{folder}-single/net.csv", 2).count() == 2
+    assert feeds.preview(single, ["ts"]).count() == 2
+    assert feeds.sample_feed(single, 1.0).count() == 3
     assert feeds.sample_feed(spark.range(5000), 0.5, ["id"], exact=True).count() == 2500
     assert 20 <= feeds.sample_feed(spark.range(10000), 0.005, ["id"]).count() <= 90
-    found = feeds.discover_features(spark, f"{folder}-ton/net.csv", f"{folder}/02/deep")
-    assert ("duration", "Flow Duration") in {(r["ton_name"], r["cic_name"]) for r in found.collect()}
+    with pytest.raises(FileNotFoundError):
+        feeds.load_both(spark, [f"{folder}/missing.csv"], f"{folder}/02/deep")
+    one = feeds.load_both(spark, [f"{folder}/missing.csv"], f"{folder}/02/deep", tags=("a", "b"), allow_missing=True)
+    assert {r["dataset"] for r in one.collect()} == {"b"}
+    found = feeds.discover_features(spark, f"{folder}-single/net.csv", f"{folder}/02/deep")
+    assert ("duration", "Flow Duration") in {(r["single_name"], r["multi_name"]) for r in found.collect()}
 
 
 def test_column_matching(spark):
-    ton = spark.createDataFrame([], "duration double, src_bytes double, proto string, label int, same double")
-    cic = spark.createDataFrame([], "`Flow Duration` double, `Total Length of Fwd Packets` double, Protocol string, Label string, same double")
-    got = match_columns(ton, cic)
+    single = spark.createDataFrame([], "duration double, src_bytes double, proto string, label int, same double")
+    multi = spark.createDataFrame([], "`Flow Duration` double, `Total Length of Fwd Packets` double, Protocol string, Label string, same double")
+    got = match_columns(single, multi)
     assert [f.name for f in got.schema] == [p.split(" ")[0] for p in MAPPING_SCHEMA.split(", ")]
-    pairs = {(r["ton_name"], r["cic_name"]): r for r in got.collect()}
+    pairs = {(r["single_name"], r["multi_name"]): r for r in got.collect()}
     assert pairs[("same", "same")]["type"] == "exact_match"
     semantic = pairs[("duration", "Flow Duration")]
     assert semantic["similarity_score"] == pytest.approx(0.4 * 0.5 + 0.3 + 0.3) and semantic["confidence"] == "medium"
     known = pairs[("src_bytes", "Total Length of Fwd Packets")]
     assert known["unified_name"] in ("fwd_bytes", "src_bytes")
     assert not any("proto" in p for p in pairs)
-    strict = match_columns(ton, cic, strict=True).groupBy("cic_name").count().where("count > 1")
+    strict = match_columns(single, multi, strict=True).groupBy("multi_name").count().where("count > 1")
     assert strict.count() == 0
     assert {r["type"] for r in mapping_report(got).collect()} >= {"exact_match"}
     assert required_features(got).where("unified_name = 'label'").count() == 0
     assert check_requirements(["a"])["all_requirements_met"] and not check_requirements([])["all_requirements_met"]
-    simple = {r["unified_name"]: (r["cic_name"], r["ton_name"]) for r in match_by_groups(cic, ton).collect()}
+    simple = {r["unified_name"]: (r["multi_name"], r["single_name"]) for r in match_by_groups(multi, single).collect()}
     assert simple["same"] == ("same", "same") and simple["proto"] == ("Protocol", "proto")
     assert simple["duration"] == ("Flow Duration", "duration")
     kinds = {r["name"]: (r["unit"], r["category"]) for r in describe_columns(spark, ["Flow Duration", "SYN Flag Count"]).collect()}
@@ -115,17 +124,17 @@ def test_column_matching(spark):
 
 
 def test_harmonize_and_fuse(spark):
-    cic = spark.createDataFrame([(1.0, "7", "Benign"), (None, "x", "DDoS"), (3.0, "9", None), (4.0, "1", "a"), (5.0, "2", "b"), (6.0, "3", "c")], "F1 double, odd string, Label string")
-    ton = spark.createDataFrame([(3.0, 1, "normal"), (4.0, 2, "ddos"), (9.0, 3, "scanning")], "f1 double, odd int, type string")
+    multi = spark.createDataFrame([(1.0, "7", "Benign"), (None, "x", "DDoS"), (3.0, "9", None), (4.0, "1", "a"), (5.0, "2", "b"), (6.0, "3", "c")], "F1 double, odd string, Label string")
+    single = spark.createDataFrame([(3.0, 1, "normal"), (4.0, 2, "ddos"), (9.0, 3, "scanning")], "f1 double, odd int, type string")
     mapping = spark.createDataFrame(
-        [("f1", "f1", "F1"), ("odd", "odd", "odd"), ("gone", "nope", "F1")], "unified_name string, ton_name string, cic_name string"
+        [("f1", "f1", "F1"), ("odd", "odd", "odd"), ("gone", "nope", "F1")], "unified_name string, single_name string, multi_name string"
     )
-    a, b, names = harmonize(cic, ton, "Label", "type", mapping)
+    a, b, names = harmonize(multi, single, "Label", "type", mapping)
     assert names == ["f1", "odd"] and a.columns == ["f1", "odd", "label"]
     assert [r["f1"] for r in a.collect()] == [1.0, 4.0, 3.0, 4.0, 5.0, 6.0] and [r["label"] for r in a.collect()] == [0, 1, 1, 1, 1, 1]
     assert [r["label"] for r in b.collect()] == [0, 1]
-    text = cic.withColumn("odd", F.lit("x"))
-    assert harmonize(text, ton, "Label", "type", mapping)[2] == ["f1"]
+    text = multi.withColumn("odd", F.lit("x"))
+    assert harmonize(text, single, "Label", "type", mapping)[2] == ["f1"]
     fused = fuse(a, b)
     assert fused.columns == ["f1", "label", "odd", "dataset_source"]
     assert [r["dataset_source"] for r in fused.collect()] == [0] * 6 + [1] * 2
