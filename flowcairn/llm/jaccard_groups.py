@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of word shingles through a token-group matrix.
 
-1. Shingles become 64-bit codes. Common ones are found by counting the codes in the lowest part of the
-   code space over all documents; they go to the end of the global order of codes.
+1. Shingles become 64-bit codes, counted over all documents. The common ones go to the end of the global
+   order of codes, the most frequent last.
 2. Each document keeps its head: enough codes, in that order, that two documents which link share one.
+   Of documents with equal sets only the one with the smallest id goes on.
 3. Documents that agree in a pair of min-hashes meet the smallest document of that band; those that
    link to it, checked on whole sets, form the first groups of similar documents.
 4. The token-group matrix has a row for every code in the union of a group's heads. Joining it with the
@@ -17,6 +18,8 @@ No pair of documents within a group is ever listed, and documents of one group a
 from __future__ import annotations
 
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,10 +30,12 @@ from flowcairn.llm.shared import materialise, worker_state
 
 WORDS = 5
 PERCENT = 80
-COUNTED = 0.3  # part of the code space whose codes are counted
-COMMON = 32  # codes in more documents than this are common
+COMMON = 8  # codes in more documents than this are common
+COUNT_BITS = 32  # codes are counted by their high bits; a clash only moves a code in the order
+COUNT_DOCS = 512  # documents' worth of codes that one group counts
 MOST_COMMON = 1 << 20  # common codes broadcast at most, the most frequent ones; the rest keep their place
 CHUNK = 64  # members of a group that are opened together
+TOGETHER = 16  # chunks that a task opens one after another
 QUERIES = 256  # documents that meet a chunk in one task
 SEMI_JOIN_ROWS = 2_000_000  # a list of ids up to this length is broadcast, a longer one is joined by shuffle
 BANDS = 3
@@ -106,66 +111,105 @@ def least_overlap(a, b, percent: int = PERCENT):
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def _count_codes(words: int, edge: int):
+def _packed(codes: np.ndarray) -> bytes:
+    """Sorted distinct numbers as differences, of 16 bits where all of them fit."""
+    steps = np.diff(codes, prepend=np.uint64(0))
+    return b"2" + steps.astype("<u2").tobytes() if steps.max() < 1 << 16 else b"8" + steps.astype("<u8").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype="<u2" if data[:1] == b"2" else "<u8", offset=1).astype(np.uint64))
+
+
+def _count_codes(words: int, bits: int):
+    """Per batch: the codes, cut to their high bits, in ranges of the code space."""
+    rest = np.uint64(COUNT_BITS - bits)
+
     def run(batches):
         for batch in batches:
-            parts = []
-            for text in batch["text"]:
-                codes = shingle_set(text, words)
-                parts.append(codes[: np.searchsorted(codes, np.uint64(edge))])
-            codes, docs = np.unique(np.concatenate(parts), return_counts=True)
-            for at in range(0, len(codes), 100_000):
-                yield pd.DataFrame({"code": codes[at : at + 100_000].view(np.int64), "docs": docs[at : at + 100_000].astype(np.int64)})
+            codes = np.concatenate([shingle_set(t, words) for t in batch["text"]]) >> np.uint64(64 - COUNT_BITS)
+            codes, docs = np.unique(codes, return_counts=True)  # a hot code is one number for each batch
+            docs = docs.astype("<u4")
+            edges = np.searchsorted(codes, np.arange((1 << bits) + 1, dtype=np.uint64) << rest)
+            ranges = np.flatnonzero(edges[1:] > edges[:-1])
+            for at in range(0, len(ranges), 1024):
+                some = ranges[at : at + 1024]
+                data = [_packed(codes[edges[r] : edges[r + 1]] - (np.uint64(r) << rest)) for r in some]
+                held = [docs[edges[r] : edges[r + 1]].tobytes() for r in some]
+                yield pd.DataFrame({"range": some.astype(np.int32), "data": data, "docs": held})
 
     return run
 
 
+def _add_counts(bits: int):
+    rest = np.uint64(COUNT_BITS - bits)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        codes, at = np.unique(np.concatenate([_unpacked(d) for d in rows["data"]]), return_inverse=True)
+        docs = np.bincount(at, weights=np.concatenate([np.frombuffer(d, dtype="<u4") for d in rows["docs"]]))
+        codes, docs = codes[docs > COMMON] + (np.uint64(key[0]) << rest), docs[docs > COMMON]
+        return pd.DataFrame({"code": codes.astype(np.int64), "docs": docs.astype(np.int64)})
+
+    return run
+
+
+def common_codes(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted high bits of the codes that more than ``COMMON`` documents hold, and how many do."""
+    ranges = max(1, docs.count() // COUNT_DOCS)
+    bits = min(20, max(1, (ranges - 1).bit_length()))
+    packed = docs.select("text").mapInPandas(_count_codes(words, bits), "range int, data binary, docs binary")
+    counts = packed.groupBy("range").applyInPandas(_add_counts(bits), "code long, docs long")
+    counts = materialise(counts, "counts")
+    top = counts if counts.count() <= MOST_COMMON else counts.orderBy(F.desc("docs"), "code").limit(MOST_COMMON)
+    top = top.toPandas().sort_values("code")
+    return top["code"].to_numpy(dtype=np.uint32), np.minimum(top["docs"].to_numpy(), (1 << 24) - 1).astype(np.uint32)
+
+
 def _heads(shared, words: int, percent: int):
     def run(batches):
-        common = shared.value
+        common, docs = shared.value
         for batch in batches:
-            sizes, heads, lasts, mins = [], [], [], []
+            sizes, heads, lasts, mins, same = [], [], [], [], []
             for text in batch["text"]:
                 codes = shingle_set(text, words)
                 n = len(codes)
                 sizes.append(n)
+                same.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
                 if n == 0:
                     heads.append([])
                     lasts.append(0)
                     mins.append([])
                     continue
-                late = np.zeros(n, dtype=bool)
+                held = np.zeros(n, dtype=np.int64)
                 if len(common):
-                    late = common[np.minimum(np.searchsorted(common, codes), len(common) - 1)] == codes
-                order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[: n - -(-percent * n // 100) + 1]
+                    short = (codes >> np.uint64(64 - COUNT_BITS)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(common, short), len(common) - 1)
+                    held = np.where(common[at] == short, docs[at], 0).astype(np.int64)
+                order = np.argsort(held, kind="stable")[: n - -(-percent * n // 100) + 1]
                 heads.append(codes[order].view(np.int64).tolist())
-                lasts.append((int(late[order[-1]]) << 62) | (int(codes[order[-1]]) >> 2))
+                lasts.append((int(held[order[-1]]) << 38) | (int(codes[order[-1]]) >> 26))
                 mins.append([int((codes * m).min()) - (1 << 63) for m in MINS])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "head": heads, "last": lasts, "mins": mins})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "head": heads, "last": lasts, "mins": mins, "same": same})
 
     return run
 
 
-def common_codes(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Sorted codes of the counted part that more than ``COMMON`` documents hold."""
-    edge = int(COUNTED * (1 << 64))
-    counts = docs.select("text").mapInPandas(_count_codes(words, edge), "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs"))
-    top = counts.where(F.col("docs") > COMMON).orderBy(F.desc("docs"), "code").limit(MOST_COMMON)
-    return np.sort(top.select("code").toPandas()["code"].to_numpy(dtype=np.int64).view(np.uint64))
-
-
 def document_heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), head (codes), last (place of the last head code in the order), mins."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_codes(docs, words))  # at most MOST_COMMON numbers
-    schema = "doc_id long, n long, head array<long>, last long, mins array<long>"
+    """doc_id, n (set size), head (codes), last (place of the last head code), mins, same (set digest)."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_codes(docs, words))  # at most MOST_COMMON pairs
+    schema = "doc_id long, n long, head array<long>, last long, mins array<long>, same binary"
     return materialise(docs.select("doc_id", "text").mapInPandas(_heads(shared, words, percent), schema), "heads")
 
 
+def _short_list(ids: DataFrame) -> DataFrame:
+    """A list of ids for a semi or anti join: broadcast while it is short, shuffled beyond that."""
+    return F.broadcast(ids) if ids.count() <= SEMI_JOIN_ROWS else ids
+
+
 def star_pairs(heads: DataFrame) -> DataFrame:
     """(query, member): each document with the smallest one that agrees with it in a pair of min-hashes."""
-    rows = heads.where("n > 0 AND doc_id IS NOT NULL")
     bands = F.array(*[F.xxhash64(F.lit(b), F.col("mins")[2 * b], F.col("mins")[2 * b + 1]) for b in range(BANDS)])
-    keyed = rows.select("doc_id", "n", F.explode(bands).alias("band"))
+    keyed = heads.select("doc_id", F.explode(bands).alias("band"))
     lead = keyed.groupBy("band").agg(F.min("doc_id").alias("member"), F.max("doc_id").alias("other")).where("member < other")
     pairs = keyed.join(lead.select("band", "member"), "band").where("doc_id <> member")
     return pairs.select(F.col("doc_id").alias("query"), "member").distinct()
@@ -182,36 +226,41 @@ def _token_rows(words: int):
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(doc_id, codes) of the documents listed in ``ids``."""
-    if ids.count() <= SEMI_JOIN_ROWS:
-        ids = F.broadcast(ids)
-    chosen = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    chosen = docs.select("doc_id", "text").join(_short_list(ids), "doc_id", "left_semi")
     return materialise(chosen.mapInPandas(_token_rows(words), "doc_id long, codes binary"), "sets")
 
 
 def _open_groups(percent: int):
-    """Compare the documents that ask with the members of one chunk of a group."""
+    """Compare the documents that ask with the members of each chunk of a group in this bucket."""
 
     def shared_codes(a: np.ndarray, b: np.ndarray) -> int:
         if len(a) > len(b):
             a, b = b, a
         return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
+    def linked(names: list, sets: list[np.ndarray], asking: list[tuple[int, np.ndarray]]):
+        union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
+        least, most = min(map(len, sets)), max(map(len, sets))
+        for query, own in asking:
+            n = len(own)
+            low, high = max(least, -(-percent * n // 100)), min(most, 100 * n // percent)
+            if low > high or shared_codes(own, union) < least_overlap(n, low, percent):
+                continue
+            for member, other in zip(names, sets):
+                if low <= len(other) <= high and shared_codes(own, other) >= least_overlap(n, len(other), percent):
+                    yield query, member  # the group is connected: one link is enough
+                    break
+
     def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        sets = [np.frombuffer(c, dtype=np.uint64) for c in members["codes"]]
-        if sets and len(queries):
-            union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
-            least, most = min(map(len, sets)), max(map(len, sets))
-            for query, codes in zip(queries["doc_id"], queries["codes"]):
-                own = np.frombuffer(codes, dtype=np.uint64)
-                n = len(own)
-                low, high = max(least, -(-percent * n // 100)), min(most, 100 * n // percent)
-                if low > high or shared_codes(own, union) < least_overlap(n, low, percent):
-                    continue
-                for member, other in zip(members["doc_id"], sets):
-                    if low <= len(other) <= high and shared_codes(own, other) >= least_overlap(n, len(other), percent):
-                        out.append((query, member))  # the group is connected: one link is enough
-                        break
+        held: dict[tuple, tuple[list, list, list]] = {}
+        for unit, chunk, salt, doc, codes in members.itertuples(index=False):
+            names, sets, _ = held.setdefault((unit, chunk, salt), ([], [], []))
+            names.append(doc)
+            sets.append(np.frombuffer(codes, dtype=np.uint64))
+        for unit, chunk, salt, doc, codes in queries.itertuples(index=False):
+            if (unit, chunk, salt) in held:
+                held[unit, chunk, salt][2].append((doc, np.frombuffer(codes, dtype=np.uint64)))
+        out = [pair for parts in held.values() for pair in linked(*parts)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -239,8 +288,10 @@ def open_groups(docs: DataFrame, asks: DataFrame, members: DataFrame, words: int
         "unit", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
         F.pmod(F.xxhash64("query"), F.col("salts")).cast("int").alias("salt"), F.col("query").alias("doc_id"),
     ).join(sets.toDF("doc_id", "codes"), "doc_id")
-    keys = ["unit", "chunk", "salt"]
-    links = placed.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(_open_groups(percent), "a long, b long")
+    total = sized.agg(F.sum(F.col("chunks") * F.col("salts")).alias("n")).first()["n"] or 0
+    bucket = F.pmod(F.xxhash64("unit", "chunk", "salt"), F.lit(total // TOGETHER + 1))
+    columns = ["unit", "chunk", "salt", "doc_id", "codes"]
+    links = placed.select(*columns).groupBy(bucket).cogroup(asking.select(*columns).groupBy(bucket)).applyInPandas(_open_groups(percent), "a long, b long")
     return materialise(links, "links")
 
 
@@ -251,16 +302,16 @@ def matrix_asks(heads: DataFrame, groups: DataFrame, percent: int = PERCENT) ->
     the sets share so far; what is beyond it bounds the rest. For a group of several documents the union
     of heads takes the place of a head, and only a query whose head ends first is bounded.
     """
-    named = heads.where("n > 0 AND doc_id IS NOT NULL").join(groups, "doc_id", "left")
+    named = heads.join(groups, "doc_id", "left")
     named = named.withColumn("unit", F.coalesce("unit", "doc_id"))
     # Sizes of documents that link lie in one class or two neighbouring ones: 1.26 is over 100 / 80.
     ratio = 1.008 * 100 / percent
     rows = named.select(
-        F.col("doc_id").alias("query"), "unit", F.floor(F.log(F.col("n")) / float(np.log(ratio))).cast("byte").alias("class"),
+        F.col("doc_id").alias("query"), F.nullif("unit", F.col("doc_id")).alias("group"), F.floor(F.log(F.col("n")) / float(np.log(ratio))).cast("byte").alias("class"),
         F.explode("head").alias("code"),
     ).repartition("code")
-    matrix = rows.groupBy("code", "unit").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    probe = rows.select("query", F.col("unit").alias("own"), "class", "code")
+    matrix = rows.groupBy("code", F.coalesce("group", "query").alias("unit")).agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    probe = rows.select("query", F.coalesce("group", "query").alias("own"), "class", "code")
     meet = probe.join(matrix, "code").where("own <> unit AND low <= class AND high >= class - 1")
     met = materialise(meet.groupBy("query", "unit").agg(F.count(F.lit(1)).alias("met")), "met")
     size = F.size("head").cast("long")
@@ -288,16 +339,20 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heads = document_heads(docs, words, percent)
-    star = materialise(star_pairs(heads), "star")
+    worded = heads.where("n > 0 AND doc_id IS NOT NULL")
+    least = worded.groupBy("same").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").select("same", "b")
+    copies = materialise(worded.select("same", F.col("doc_id").alias("a")).join(least, "same").where("a <> b").select("a", "b").distinct(), "copies")
+    single = worded.join(_short_list(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti")
+    star = materialise(star_pairs(single), "star")
     first = open_groups(
         docs, star.select("query", F.col("member").alias("unit")), star.select(F.col("member").alias("unit"), "member").distinct(), words, percent
     )
     groups = materialise(connected_components(first), "groups").select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
-    asks = materialise(matrix_asks(heads, groups, percent), "asks")
-    named = heads.where("doc_id IS NOT NULL").select("doc_id").distinct().join(groups, "doc_id", "left")
+    asks = materialise(matrix_asks(single, groups, percent), "asks")
+    named = single.select("doc_id").distinct().join(groups, "doc_id", "left")
     members = named.select(F.coalesce("unit", "doc_id").alias("unit"), F.col("doc_id").alias("member")).join(asks.select("unit").distinct(), "unit", "left_semi")
     second = open_groups(docs, asks, members, words, percent)
-    whole = connected_components(groups.select(F.col("doc_id").alias("a"), F.col("unit").alias("b")).union(second))
+    whole = connected_components(copies.union(groups.select("doc_id", "unit")).union(second))
     found = whole.select(F.col("node").alias("doc_id"), "component")
     return heads.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

@@ -33,6 +33,12 @@ def open_store(uri: str):
 
 
 def worker_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, so tasks in one worker share caches."""
+    """A dictionary that lives as long as the Python worker, so tasks of one operator share caches.
+
+    A worker serves one operator at a time: what others left behind is dropped, to give memory back.
+    """
     module = sys.modules.setdefault("_flowcairn_worker", types.ModuleType("_flowcairn_worker"))
-    return module.__dict__.setdefault(name, {})
+    held = module.__dict__.setdefault("held", {})
+    for other in [k for k in held if k != name]:
+        held.pop(other).clear()
+    return held.setdefault(name, {})
