@@ -106,7 +106,26 @@ def harmonized_fusion(spark, sf_dir):
     )
 
 
-@query("column_match")
+def _matched(single: str, multi: str, name: str, kind: str, category: str, unit: str, score: str, confidence: str) -> str:
+    return f"""SELECT '{single}' AS single_name, '{multi[0]}' AS multi_name, '{name}' AS unified_name, '{kind}' AS type, '{category}' AS category,
+      '{unit}' AS unit, CAST({score} AS DOUBLE) AS similarity_score, '{confidence}' AS confidence,
+      (SELECT count(try_cast({multi[1]} AS DOUBLE)) / count(*) FROM ({MULTI_FILE_SQL})) AS multi_share,
+      (SELECT count(try_cast({single} AS DOUBLE)) / count(*) FROM ({SINGLE_FILE_SQL})) AS single_share"""
+
+
+_FWD, _BWD = ("Total Length of Fwd Packets", "fwd_bytes"), ("Total Length of Bwd Packets", "bwd_bytes")
+
+
+@query(
+    "column_match",
+    " UNION ALL ".join([
+        _matched("dst_pkts", _FWD, "dst_pkts", "semantic_match", "packet", "seconds", "0.6", "low"),
+        _matched("duration", ("Flow Duration", "duration"), "duration", "semantic_match", "temporal", "seconds", "0.8", "medium"),
+        _matched("src_pkts", _FWD, "src_pkts", "semantic_match", "packet", "seconds", "0.6", "low"),
+        _matched("src_bytes", _FWD, "fwd_bytes", "known_mapping", "byte", "bytes", "NULL", "high"),
+        _matched("dst_bytes", _BWD, "bwd_bytes", "known_mapping", "byte", "bytes", "NULL", "high"),
+    ]),
+)
 def column_match(spark, sf_dir):
     """Matched column pairs of both feeds with the numeric share of the partners."""
     multi, single = multi_file_feed(spark, sf_dir), single_file_feed(spark, sf_dir)

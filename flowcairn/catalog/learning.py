@@ -8,9 +8,9 @@ from flowcairn.catalog.bindings import FEATURES, SCORED_EVENTS_SQL, event_featur
 from flowcairn.catalog.registry import query, rounded, sql_round, table
 from flowcairn.operators import explain, metrics
 from flowcairn.operators.neighbors import knn_classify, knn_join
-from flowcairn.operators.ordering import row_token
 from flowcairn.plans import config_search, evaluate, tuning
 from flowcairn.plans.models import importances, train_all, train_model
+from flowcairn.plans.phases import with_key
 
 _R = sql_round
 
@@ -173,15 +173,14 @@ def classify_by_neighbors(spark, sf_dir):
 
 
 def _keyed_lineitem(spark, sf_dir):
-    """Line items with a row key made of all columns."""
-    df = lineitem(spark, sf_dir)
-    return df.withColumn("row_key", row_token([c for c in df.columns if c != "label"], 0))
+    """The line items' features and label with a row key; many rows are equal but for the key."""
+    return with_key(lineitem(spark, sf_dir).select(*FEATURES, "label"))
 
 
-def _cv(spark, sf_dir, names, params=None, width=16, k=3, explained=False):
-    df, features = wide_vectors(spark, sf_dir, width)
-    out = evaluate.cross_validate(df, names, features, "label", ["vec_id"], k, params, explain=explained)
-    return out
+def _cv(spark, sf_dir, names, params=None, explained=False):
+    """Five-fold cross-validation on all dimensions of the embeddings."""
+    df, features = wide_vectors(spark, sf_dir)
+    return evaluate.cross_validate(df, names, features, "label", ["vec_id"], 5, params, explain=explained)
 
 
 @query("lr_cv")
@@ -200,7 +199,7 @@ def tree_cv(spark, sf_dir):
 
 @query("rf_cv")
 def rf_cv(spark, sf_dir):
-    return _cv(spark, sf_dir, ["RF"], {"RF": {"n_estimators": 50, "max_depth": 10}})
+    return _cv(spark, sf_dir, ["RF"], {"RF": {"n_estimators": 100, "max_depth": 10}})
 
 
 @query("gbt_cv")
@@ -221,7 +220,7 @@ def knn_cv(spark, sf_dir):
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
     """Cross-validated models, averaged per model, with explanations."""
-    out = _cv(spark, sf_dir, ["LR", "DT"], {"DT": {"max_depth": 8}}, width=8, k=3, explained=True)
+    out = _cv(spark, sf_dir, ["LR", "DT"], {"DT": {"max_depth": 8}}, explained=True)
     return evaluate.summarize(out)
 
 
@@ -243,8 +242,8 @@ def trained_models(spark, sf_dir):
 @query("native_importance")
 def native_importance(spark, sf_dir):
     """Importances of a forest and coefficients of a linear model on the same table."""
-    df, features = wide_vectors(spark, sf_dir, 16)
-    forest = train_model("RF", df, features, params={"n_estimators": 20, "max_depth": 6})
+    df, features = wide_vectors(spark, sf_dir)
+    forest = train_model("RF", df, features, params={"n_estimators": 100, "max_depth": 6})
     linear = train_model("LR", df, features)
     return importances(forest, spark).unionByName(importances(linear, spark))
 
@@ -254,14 +253,14 @@ def perm_importance(spark, sf_dir):
     """Accuracy drop per shuffled column, ten repeats over the whole table."""
     df, features = event_features(spark, sf_dir)
     df = df.na.fill(0.0)
-    model = train_model("RF", df, features, params={"n_estimators": 20, "max_depth": 8})
+    model = train_model("RF", df, features, params={"n_estimators": 100, "max_depth": 8})
     return explain.permutation_importance(model.score, df, features, "label", "event_id")
 
 
 @query("shapley")
 def shapley(spark, sf_dir):
     """Mean absolute attribution per feature of a boosted model."""
-    df, features = wide_vectors(spark, sf_dir, 8)
+    df, features = wide_vectors(spark, sf_dir)
     model = train_model("GBT", df, features, params={"n_estimators": 10, "max_depth": 3})
     return explain.mean_attribution(explain.shapley(model.score, df, features, "vec_id"))
 
@@ -269,7 +268,7 @@ def shapley(spark, sf_dir):
 @query("lime")
 def lime(spark, sf_dir):
     """Local surrogate weights of ten rows."""
-    df, features = wide_vectors(spark, sf_dir, 8)
+    df, features = wide_vectors(spark, sf_dir)
     model = train_model("LR", df, features)
     return explain.lime(model.score, df, features, "vec_id")
 
@@ -277,16 +276,16 @@ def lime(spark, sf_dir):
 @query("explanation_quality")
 def explanation_quality(spark, sf_dir):
     """Fidelity, stability and complexity of sampled attributions."""
-    df, features = wide_vectors(spark, sf_dir, 8)
+    df, features = wide_vectors(spark, sf_dir)
     model = train_model("LR", df, features)
-    found = explain.shapley(model.score, df, features, "vec_id", rows=40)
+    found = explain.shapley(model.score, df, features, "vec_id")
     return explain.explanation_quality(found, df, features, "vec_id")
 
 
 @query("tuning_sweep")
 def tuning_sweep(spark, sf_dir):
     """Every k-NN grid point, fitted on one part and scored on another."""
-    df, features = wide_vectors(spark, sf_dir, 8)
+    df, features = wide_vectors(spark, sf_dir)
     from flowcairn.operators.splits import stratified_split
 
     parted = stratified_split(df, "label", ["vec_id"])
@@ -298,13 +297,13 @@ def tuning_sweep(spark, sf_dir):
 
 @query("random_search")
 def random_search(spark, sf_dir):
-    """Three seeded grid points of the decision tree, three folds each."""
-    df, features = wide_vectors(spark, sf_dir, 8)
-    return tuning.random_search("DT", df, features, row_id="vec_id", n_iter=3)
+    """Five seeded grid points of the decision tree, three folds each."""
+    df, features = wide_vectors(spark, sf_dir)
+    return tuning.random_search("DT", df, features, row_id="vec_id")
 
 
 @query("config_search")
 def preparation_search(spark, sf_dir):
     """All 108 preparation configurations, best first."""
-    df, features = wide_vectors(spark, sf_dir, 12)
+    df, features = wide_vectors(spark, sf_dir)
     return config_search.ranked(config_search.search(df, features, "label", ["vec_id"], max_iter=50))

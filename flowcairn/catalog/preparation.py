@@ -12,6 +12,7 @@ from flowcairn.operators.balancing import resample
 from flowcairn.operators.cleaning import Cleaner, Encoder, RobustScaler, StandardScaler, narrow_types
 from flowcairn.operators.information import mutual_information, select_top_k
 from flowcairn.operators.preparation import PrepareConfig, prepare, stateless
+from flowcairn.plans.phases import with_key
 
 _R = sql_round
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -170,11 +171,15 @@ def stratified_kfold(spark, sf_dir):
     return splits.stratified_folds(df, "event_type", ["event_id"])
 
 
-@query("random_split")
+@query(
+    "random_split",
+    f"""SELECT event_id, CASE WHEN p < 0.8 THEN 'train' WHEN p < 0.9 THEN 'val' ELSE 'test' END AS split
+        FROM (SELECT event_id, ('0x' || substr({_TOKEN_SQL}, 1, 13))::BIGINT / 4503599627370496.0 AS p FROM events)""",
+)
 def random_split(spark, sf_dir):
-    """80/10/10 by hash of the key; the hash has no SQL twin, so rows per part are reported."""
+    """80/10/10 by hash of the key."""
     df = table(spark, sf_dir, "events").select("event_id")
-    return splits.random_split(df, ["event_id"]).groupBy("split").count()
+    return splits.random_split(df, ["event_id"])
 
 
 @query(
@@ -275,18 +280,64 @@ def prepared_parts(spark, sf_dir):
     return out
 
 
-@query("smote")
+_DIMENSIONS = 64
+_VECTORS_SQL = "SELECT vec_id, CAST(label < 3 AS INT) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+# Synthetic rows lie between rows of their class, so a class keeps the bounds of every feature.
+_BOUNDS_SQL = f"""
+  SELECT label, {_R('sum(low)', 4)} AS low_sum, {_R('sum(high)', 4)} AS high_sum FROM (
+    SELECT label, i, min(x[i]) AS low, max(x[i]) AS high FROM ({_VECTORS_SQL}), range(1, {_DIMENSIONS + 1}) r(i) GROUP BY label, i) GROUP BY label
+"""
+
+
+def _balanced(df, names):
+    """Rows per class and the sums of the lower and upper bounds of its features."""
+    low = [F.min(quoted(c)).alias(f"l{i}") for i, c in enumerate(names)]
+    high = [F.max(quoted(c)).alias(f"h{i}") for i, c in enumerate(names)]
+    out = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *low, *high)
+    total = lambda side: rounded(sum((F.col(f"{side}{i}") for i in range(len(names))), F.lit(0.0)), 4)
+    return out.select("label", "n", total("l").alias("low_sum"), total("h").alias("high_sum"))
+
+
+@query(
+    "smote",
+    f"""SELECT label, (SELECT max(n) FROM (SELECT count(*) AS n FROM ({_VECTORS_SQL}) GROUP BY label)) AS n, low_sum, high_sum
+        FROM ({_BOUNDS_SQL})""",
+)
 def smote(spark, sf_dir):
-    """Balance the embedding classes below 3 against the others."""
-    df, names = wide_vectors(spark, sf_dir, 8)
-    return resample(df, names, "label", ["vec_id"]).groupBy("label").count()
+    """Balance the embedding classes below 3 against the others; every class keeps its feature bounds."""
+    df, names = wide_vectors(spark, sf_dir)
+    return _balanced(resample(df, names, "label", ["vec_id"]), names)
 
 
-@query("adasyn")
+@query(
+    "adasyn",
+    f"""WITH v AS ({_VECTORS_SQL}), c AS (SELECT label, count(*) AS n FROM v GROUP BY label), m AS (SELECT max(n) AS n FROM c),
+        near AS (SELECT q, own, other, row_number() OVER (PARTITION BY q ORDER BY distance, CAST(n AS VARCHAR)) AS rank FROM (
+          SELECT a.vec_id AS q, b.vec_id AS n, a.label AS own, b.label AS other, list_distance(a.x, b.x) AS distance
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id JOIN c ON c.label = a.label WHERE c.n < (SELECT n FROM m))),
+        far AS (SELECT q, own, avg(CAST(own <> other AS INT)) AS f FROM near WHERE rank <= 5 GROUP BY q, own),
+        made AS (SELECT own, sum(round_even(f / t * need, 0)) AS n FROM (
+          SELECT own, f, sum(f) OVER (PARTITION BY own) AS t, (SELECT n FROM m) - c.n AS need FROM far JOIN c ON c.label = own) GROUP BY own)
+        SELECT label, CAST(c.n + coalesce(made.n, 0) AS BIGINT) AS n, low_sum, high_sum
+        FROM c JOIN ({_BOUNDS_SQL}) USING (label) LEFT JOIN made ON own = label""",
+)
 def adasyn(spark, sf_dir):
     """Density-weighted balancing of the same classes."""
-    df, names = wide_vectors(spark, sf_dir, 8)
-    return resample(df, names, "label", ["vec_id"], "ADASYN").groupBy("label").count()
+    df, names = wide_vectors(spark, sf_dir)
+    return _balanced(resample(df, names, "label", ["vec_id"], "ADASYN"), names)
+
+
+@query(
+    "smote_duplicates",
+    f"""SELECT label, max(n) OVER () AS n, low_sum, high_sum FROM (
+          SELECT CAST(l_returnflag <> 'N' AS INT) AS label, count(*) AS n,
+                 {_R(' + '.join(f'min({c})' for c in FEATURES), 4)} AS low_sum, {_R(' + '.join(f'max({c})' for c in FEATURES), 4)} AS high_sum
+          FROM lineitem GROUP BY 1)""",
+)
+def smote_duplicates(spark, sf_dir):
+    """Balance line items seen through four features alone, where many rows are equal."""
+    keyed = with_key(lineitem(spark, sf_dir).select(*FEATURES, "label"))
+    return _balanced(resample(keyed, list(FEATURES), "label", ["row_key"]), list(FEATURES))
 
 
 @query(

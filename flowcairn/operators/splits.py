@@ -53,10 +53,10 @@ def random_split(
     names: tuple[str, ...] = ("train", "val", "test"),
     seed: int = 42,
 ) -> DataFrame:
-    """Add ``split`` by hash of the row key: a projection, no shuffle, repeatable after a lost task."""
+    """Add ``split`` by md5 of the row key: a projection, no shuffle, the same in every engine."""
     if abs(sum(ratios) - 1.0) > 1e-6:
         raise ValueError(f"ratios must sum to 1, got {sum(ratios)}")
-    point = uniform(keys, seed)
+    point = F.conv(F.substring(row_token(keys, seed), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     part = F.lit(names[len(ratios) - 1])
     upto = 1.0
     for name, ratio in reversed(list(zip(names, ratios))[:-1]):
