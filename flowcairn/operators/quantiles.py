@@ -11,6 +11,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowcairn.functions.numeric import INF, quoted, sql_literal
@@ -104,26 +105,19 @@ def _by_narrowing(df, columns, probs, bracket_rows):
         hits = ", ".join(
             f"named_struct('no', {i}, 'v', CASE WHEN {b.test()} THEN {quoted(b.column)} END)" for i, (_, b) in enumerate(open_)
         )
-        near = (
-            # No row filter ahead of this: pushed through projections, it would repeat their text per bracket.
-            df.selectExpr(f"explode(array({hits})) AS h")
-            .where("h.v IS NOT NULL")
-            .groupBy("h.no", "h.v")
-            .count()
+        # No row filter ahead of this: pushed through projections, it would repeat their text per bracket.
+        near = df.selectExpr(f"explode(filter(array({hits}), h -> h.v IS NOT NULL)) AS h").groupBy("h.no", "h.v").count()
+        ranks = df.sparkSession.createDataFrame(
+            [(i, b.below, b.first, b.last) for i, (_, b) in enumerate(open_)], "no int, below long, first long, last long"
+        )  # a row per column and probability
+        upto = F.sum("count").over(W.partitionBy("no").orderBy("v")) + F.col("below")
+        placed = near.join(F.broadcast(ranks), "no").withColumn("upto", upto)
+        picked = placed.groupBy("no").agg(
+            F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("low"),
+            F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("high"),
         )
-        seen: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(open_))}
-        for r in near.collect():  # bounded: distinct values of settled brackets
-            seen[r["no"]].append((r["v"], r["count"]))
-        for i, (key, b) in enumerate(open_):
-            pair = []
-            for rank in (b.first, b.last):
-                upto = b.below
-                for v, k in sorted(seen[i]):
-                    upto += k
-                    if rank < upto:
-                        pair.append(v)
-                        break
-            found[key] = tuple(pair)
+        for r in picked.collect():  # two numbers per bracket
+            found[open_[r["no"]][0]] = (r["low"], r["high"])
 
     def value(c: str, p: float) -> float | None:
         if not rows[c]:
