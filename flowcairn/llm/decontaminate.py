@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowcairn.llm.shared import materialise, worker_state
+from flowcairn.llm.shared import lean, materialise, worker_state
 
 # Words are runs of digits, ASCII letters and everything beyond ASCII, whose UTF-8 bytes are all above 7F.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -138,7 +138,7 @@ def find_overlap(
     for i, part in enumerate([items] if total <= most_bytes else _cut(items, most_bytes)):
         shared = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])  # bounded by most_bytes
         marked = materialise(marked, "marked") if i else marked
-        marked = marked.mapInPandas(_mark(shared, size, marked.columns), marked.schema)
+        marked = marked.mapInPandas(lean("ngram_sets", _mark(shared, size, marked.columns)), marked.schema)
     pairs = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("__runs") - 2, F.lit(0)), F.lit(2)),
         lambda i: F.struct(F.get("__runs", i).alias("first"), F.get("__runs", i + 1).alias("end")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowcairn.llm.shared import materialise
+from flowcairn.llm.shared import lean, materialise
 from flowcairn.llm.tokens import encoder, text_slices, tokenizer_path
 
 ENCODED = "doc_id {id}, part int, local long, n_tokens long, ids binary"
@@ -38,7 +38,7 @@ def encode_partitions(docs: DataFrame, path: str, end_id: int, id_col: str, text
     """First pass: ids of every document with its offset inside its partition, kept as a table."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = rows.mapInPandas(_encode_partition(path, end_id), ENCODED.format(id=kind))
+    coded = rows.mapInPandas(lean("encoders", _encode_partition(path, end_id)), ENCODED.format(id=kind))
     return materialise(coded, "encoded")
 
 

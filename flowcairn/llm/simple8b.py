@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowcairn.llm.shared import materialise, open_store, shared_folder
+from flowcairn.llm.shared import lean, materialise, open_store, shared_folder
 from flowcairn.llm.tokens import encoder, text_slices, tokenizer_path
 
 # Fixed values of the Simple-8b format: ids per word and bits per id, by selector.
@@ -198,7 +198,7 @@ def write_tokens(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     shards = ordered.mapInPandas(
-        _write_shards(folder, path or tokenizer_path(), end_id), "shard int, file string, n_docs long, n_ids long"
+        lean("encoders", _write_shards(folder, path or tokenizer_path(), end_id)), "shard int, file string, n_docs long, n_ids long"
     )
     manifest = materialise(shards, "shards")
     earlier = F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # a row per file
@@ -231,4 +231,4 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
     """
     spread = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = manifest.select("file", "first_id").repartition(spread, "file")
-    return files.mapInPandas(_read_shards(folder), "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInPandas(lean("shards", _read_shards(folder)), "doc_id long, start long, n_tokens long, ids binary")

@@ -6,7 +6,7 @@ import numpy as np
 
 from flowcairn.llm.shared import worker_state
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 TOGETHER = 200
 # ASCII marks that end a word: they never fall into one token with the letters before them.
 MARKS = ".,;:!?*$%&#"

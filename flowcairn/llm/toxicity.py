@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowcairn.llm.shared import materialise, worker_state
+from flowcairn.llm.shared import lean, materialise, worker_state
 
 SIZES = (4, 5, 6, 7, 8)
 PER_CLASS = 4_000  # labelled documents of each class that the classifier is fitted on, at most
@@ -125,7 +125,7 @@ class ToxicityModel:
                 batch[score_col] = np.array(scores, dtype=np.float64)
                 yield batch[[*columns, score_col]]
 
-        return docs.select(*columns).mapInPandas(run, schema)
+        return docs.select(*columns).mapInPandas(lean("toxicity", run), schema)
 
 
 def _boundary_shift(fitted: DataFrame) -> float:
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float("-inf"), sum(sizes.values()))
-    counts = rows.mapInPandas(_count_partition, "code long, label int, docs long").groupBy("code").agg(
+    counts = rows.mapInPandas(lean("toxicity", _count_partition), "code long, label int, docs long").groupBy("code").agg(
         F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("q"),
     )
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     codes = best["code"].to_numpy(dtype=np.int64).view(np.uint64)
     by_code = np.argsort(codes)
     codes, ratios = codes[by_code], best["ratio"].to_numpy(dtype=np.float64)[by_code]
-    placed = rows.mapInPandas(_vector_partition(codes, ratios), "label double, at array<int>, value array<double>")
+    placed = rows.mapInPandas(lean("toxicity", _vector_partition(codes, ratios)), "label double, at array<int>, value array<double>")
     n = len(codes)
     vector = F.udf(lambda at, value: SparseVector(n, at, value), VectorUDT())
     table = materialise(placed, "toxic-vectors").select("label", vector("at", "value").alias("features"))
