@@ -4,8 +4,9 @@
    order of codes, the most frequent last.
 2. Each document keeps its head: enough codes, in that order, that two documents which link share one.
    Of documents with equal sets only the one with the smallest id goes on.
-3. Documents that agree in a pair of min-hashes meet the smallest document of that band; those that
-   link to it, checked on whole sets, form the first groups of similar documents.
+3. Documents that agree in a pair of min-hashes meet the smallest documents of that band; those that
+   link to one, checked on whole sets, form the first groups of similar documents.
+   Documents near a large group ask its smallest members too, so that few parts of it are left.
 4. The token-group matrix has a row for every code in the union of a group's heads. Joining it with the
    heads counts how much of a document's head lies in each other group; the count bounds the overlap.
 5. Only groups whose bound allows a link are opened: the union of their whole sets bounds the overlap
@@ -23,10 +24,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowcairn.llm.components import connected_components
-from flowcairn.llm.shared import materialise, worker_state
+from flowcairn.llm.shared import lean, materialise, worker_state
 
 WORDS = 5
 PERCENT = 80
@@ -39,6 +41,9 @@ TOGETHER = 16  # chunks that a task opens one after another
 QUERIES = 256  # documents that meet a chunk in one task
 SEMI_JOIN_ROWS = 2_000_000  # a list of ids up to this length is broadcast, a longer one is joined by shuffle
 BANDS = 3
+LARGE = 32  # members of a group that documents near it ask before any other
+TAIL = 8  # codes of a head by which they find it
+LEADERS = 16  # documents of a band that the others are compared with first
 SEGMENT = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
@@ -157,7 +162,7 @@ def common_codes(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.nd
     """Sorted high bits of the codes that more than ``COMMON`` documents hold, and how many do."""
     ranges = max(1, docs.count() // COUNT_DOCS)
     bits = min(20, max(1, (ranges - 1).bit_length()))
-    packed = docs.select("text").mapInPandas(_count_codes(words, bits), "range int, data binary, docs binary")
+    packed = docs.select("text").mapInPandas(lean("powers", _count_codes(words, bits)), "range int, data binary, docs binary")
     counts = packed.groupBy("range").applyInPandas(_add_counts(bits), "code long, docs long")
     counts = materialise(counts, "counts")
     top = counts if counts.count() <= MOST_COMMON else counts.orderBy(F.desc("docs"), "code").limit(MOST_COMMON)
@@ -198,7 +203,7 @@ def document_heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """doc_id, n (set size), head (codes), last (place of the last head code), mins, same (set digest)."""
     shared = docs.sparkSession.sparkContext.broadcast(common_codes(docs, words))  # at most MOST_COMMON pairs
     schema = "doc_id long, n long, head array<long>, last long, mins array<long>, same binary"
-    return materialise(docs.select("doc_id", "text").mapInPandas(_heads(shared, words, percent), schema), "heads")
+    return materialise(docs.select("doc_id", "text").mapInPandas(lean("powers", _heads(shared, words, percent)), schema), "heads")
 
 
 def _short_list(ids: DataFrame) -> DataFrame:
@@ -206,13 +211,20 @@ def _short_list(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SEMI_JOIN_ROWS else ids
 
 
-def star_pairs(heads: DataFrame) -> DataFrame:
-    """(query, member): each document with the smallest one that agrees with it in a pair of min-hashes."""
+def star_groups(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, unit) and (unit, member): documents that agree in a pair of min-hashes, and their leaders.
+
+    The leaders are the ``LEADERS`` smallest documents of a band. Several of them are needed where copies
+    of one text each differ a little: two such copies need not link, while each links to many others.
+    """
     bands = F.array(*[F.xxhash64(F.lit(b), F.col("mins")[2 * b], F.col("mins")[2 * b + 1]) for b in range(BANDS)])
     keyed = heads.select("doc_id", F.explode(bands).alias("band"))
-    lead = keyed.groupBy("band").agg(F.min("doc_id").alias("member"), F.max("doc_id").alias("other")).where("member < other")
-    pairs = keyed.join(lead.select("band", "member"), "band").where("doc_id <> member")
-    return pairs.select(F.col("doc_id").alias("query"), "member").distinct()
+    place = F.row_number().over(W.partitionBy("band").orderBy("doc_id"))
+    lead = keyed.withColumn("place", place).where(F.col("place") <= LEADERS)
+    lists = lead.groupBy("band").agg(F.array_sort(F.collect_set("doc_id")).alias("leaders")).where(F.size("leaders") > 1)
+    lists = materialise(lists.withColumn("unit", F.xxhash64("leaders")), "leaders")  # bands with the same leaders are one unit
+    asks = keyed.join(lists, "band").where(F.col("doc_id") > F.col("leaders")[0]).select(F.col("doc_id").alias("query"), "unit")
+    return materialise(asks.distinct(), "star"), lists.select("unit", F.explode("leaders").alias("member")).distinct()
 
 
 def _token_rows(words: int):
@@ -227,10 +239,10 @@ def _token_rows(words: int):
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(doc_id, codes) of the documents listed in ``ids``."""
     chosen = docs.select("doc_id", "text").join(_short_list(ids), "doc_id", "left_semi")
-    return materialise(chosen.mapInPandas(_token_rows(words), "doc_id long, codes binary"), "sets")
+    return materialise(chosen.mapInPandas(lean("powers", _token_rows(words)), "doc_id long, codes binary"), "sets")
 
 
-def _open_groups(percent: int):
+def _open_groups(percent: int, below: bool):
     """Compare the documents that ask with the members of each chunk of a group in this bucket."""
 
     def shared_codes(a: np.ndarray, b: np.ndarray) -> int:
@@ -247,8 +259,10 @@ def _open_groups(percent: int):
             if low > high or shared_codes(own, union) < least_overlap(n, low, percent):
                 continue
             for member, other in zip(names, sets):
+                if below and member >= query:
+                    continue
                 if low <= len(other) <= high and shared_codes(own, other) >= least_overlap(n, len(other), percent):
-                    yield query, member  # the group is connected: one link is enough
+                    yield query, member  # groups are connected, leaders need only a start: one link is enough
                     break
 
     def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -266,11 +280,12 @@ def _open_groups(percent: int):
     return run
 
 
-def open_groups(docs: DataFrame, asks: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+def open_groups(docs: DataFrame, asks: DataFrame, members: DataFrame, words: int, percent: int, below: bool = False) -> DataFrame:
     """Links (a, b) between documents that ask and groups.
 
     ``asks`` has (query, unit), ``members`` (unit, member). Groups are cut into chunks of about ``CHUNK``
-    members, and the documents that ask a chunk are dealt to tasks by ``QUERIES``.
+    members, and the documents that ask a chunk are dealt to tasks by ``QUERIES``. With ``below`` a
+    document meets smaller members only.
     """
     wanted = asks.groupBy("unit").agg(F.count(F.lit(1)).alias("asked"))
     sized = members.join(wanted, "unit").groupBy("unit").agg(F.count(F.lit(1)).alias("size"), F.first("asked").alias("asked"))
@@ -291,10 +306,33 @@ def open_groups(docs: DataFrame, asks: DataFrame, members: DataFrame, words: int
     total = sized.agg(F.sum(F.col("chunks") * F.col("salts")).alias("n")).first()["n"] or 0
     bucket = F.pmod(F.xxhash64("unit", "chunk", "salt"), F.lit(total // TOGETHER + 1))
     columns = ["unit", "chunk", "salt", "doc_id", "codes"]
-    links = placed.select(*columns).groupBy(bucket).cogroup(asking.select(*columns).groupBy(bucket)).applyInPandas(_open_groups(percent), "a long, b long")
+    links = placed.select(*columns).groupBy(bucket).cogroup(asking.select(*columns).groupBy(bucket)).applyInPandas(_open_groups(percent, below), "a long, b long")
     return materialise(links, "links")
 
 
+def large_group_asks(heads: DataFrame, groups: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(query, unit) and (unit, member): documents near a large group, and the smallest members of it.
+
+    Copies of one text that differ a little each fall into several bands, so a large group is found in
+    parts. A document asks the largest group that holds one of the last, most frequent codes of its head.
+    """
+    sizes = groups.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
+    large = heads.join(groups.join(sizes, "unit"), "doc_id")
+    kind = F.floor(F.log(F.col("n")) / float(np.log(1.008 * 100 / percent))).cast("int")
+    held = large.select("unit", "size", kind.alias("class"), F.explode("head").alias("code"))
+    best = held.groupBy("code", "class").agg(F.max_by("unit", F.struct("size", "unit")).alias("unit"))
+    tail = F.slice("head", -F.least(F.size("head"), F.lit(TAIL)), F.lit(TAIL))
+    probe = heads.join(groups.withColumnRenamed("unit", "own"), "doc_id", "left").select(
+        F.col("doc_id").alias("query"), F.coalesce("own", "doc_id").alias("own"), F.explode(tail).alias("code"),
+        kind.alias("class"),
+    )
+    near = best.select("code", "unit", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    asks = probe.join(near, ["code", "class"]).where("own <> unit").select("query", "unit").distinct()
+    place = F.row_number().over(W.partitionBy("unit").orderBy("doc_id"))
+    members = large.select("unit", "doc_id", place.alias("place")).where(F.col("place") <= CHUNK)
+    return materialise(asks, "near-large"), members.select("unit", F.col("doc_id").alias("member"))
+
+
 def matrix_asks(heads: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(query, unit) for every other group that the token-group matrix cannot rule out.
 
@@ -343,14 +381,17 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
     least = worded.groupBy("same").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").select("same", "b")
     copies = materialise(worded.select("same", F.col("doc_id").alias("a")).join(least, "same").where("a <> b").select("a", "b").distinct(), "copies")
     single = worded.join(_short_list(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti")
-    star = materialise(star_pairs(single), "star")
-    first = open_groups(
-        docs, star.select("query", F.col("member").alias("unit")), star.select(F.col("member").alias("unit"), "member").distinct(), words, percent
-    )
-    groups = materialise(connected_components(first), "groups").select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
+    star, leaders = star_groups(single)
+    first = open_groups(docs, star, leaders, words, percent, below=True)
+    named = lambda links: materialise(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("unit")), "groups")
+    groups = named(first)
+    near, leaders = large_group_asks(single, groups, percent)
+    if not near.isEmpty():
+        more = open_groups(docs, near, leaders, words, percent)
+        groups = named(groups.toDF("a", "b").union(more))
     asks = materialise(matrix_asks(single, groups, percent), "asks")
-    named = single.select("doc_id").distinct().join(groups, "doc_id", "left")
-    members = named.select(F.coalesce("unit", "doc_id").alias("unit"), F.col("doc_id").alias("member")).join(asks.select("unit").distinct(), "unit", "left_semi")
+    owned = single.select("doc_id").distinct().join(groups, "doc_id", "left")
+    members = owned.select(F.coalesce("unit", "doc_id").alias("unit"), F.col("doc_id").alias("member")).join(asks.select("unit").distinct(), "unit", "left_semi")
     second = open_groups(docs, asks, members, words, percent)
     whole = connected_components(copies.union(groups.select("doc_id", "unit")).union(second))
     found = whole.select(F.col("node").alias("doc_id"), "component")
