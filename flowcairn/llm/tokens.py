@@ -45,7 +45,8 @@ class TextEncoder:
         """Words of letters go to the library many at a time: each ends with one end-of-word token."""
         words = [w.decode("utf-8") for w in missing]
         cores = [w.rstrip(MARKS) for w in words]
-        split = [core.isalpha() for core in cores]
+        # A letter that lower-cases to a letter and a mark would join the marks that follow it.
+        split = [core.isalpha() and (core.isascii() or core.lower().isalpha()) for core in cores]
         letters = list(dict.fromkeys(core for core, ok in zip(cores, split) if ok))
         rest = [w for w, ok in zip(words, split) if not ok]
         known: dict[str, bytes] = {}
