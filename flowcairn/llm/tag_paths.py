@@ -5,7 +5,8 @@ the punctuation of its nodes are summed and divided by their number: boilerplate
 links, hold many short nodes without punctuation, content paths fewer and longer ones. The two ratios are
 fused by their product, smoothed over neighbouring nodes in page order, and paths above a threshold taken
 from their spread are content. The part of the page that holds most of the content is its article; the
-blocks in it that are not marked as something else make up the text.
+blocks in it that are not marked as something else make up the text. On a page without ``article`` or
+``main`` the content outside that part, the text it stands in and the headings above it belong to it too.
 """
 
 from __future__ import annotations
@@ -44,6 +45,14 @@ CLOSES = {
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 FENCES = {"table", "ul", "ol", "dl", "td", "th", "div", "article", "section", "body", "html", "main", "blockquote"}
+# Elements that may stand in a head; any other start tag, or text, ends a head that was left open.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Elements that stand in a run of text, and those beside one of them that are of the same run.
+FLOW = {
+    "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "figure", "figcaption",
+}
+BESIDE = HEADINGS | {"p", "pre"} | FLOW - {"ul", "ol", "li", "td"}
 # Words in class, id or role that mark an element as something else than the article.
 MARKED = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tions?)?|banners?|nav|navbar|navigation|menus?|"
@@ -69,6 +78,7 @@ class _Page(HTMLParser):
         self.elements = [(-1, "", 0)]  # parent element, tag, depth
         self.nodes: list[tuple[int, int, str, bool]] = []  # element, block, text, marked
         self.block = 0
+        self.in_head = False
 
     def _marked(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
@@ -86,7 +96,18 @@ class _Page(HTMLParser):
             if self.stack[at][0] in fences:
                 return
 
+    def _leave_head(self, tag: str) -> None:
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] == "head":
+                self._pop_to(at)
+                break
+            if self.stack[at][0] in ("title", "noscript", "template") and tag != "body":
+                return
+        self.in_head = False
+
     def handle_starttag(self, tag, attrs):
+        if self.in_head and tag not in IN_HEAD:
+            self._leave_head(tag)
         if tag in ENDS_P:
             self._end_open({"p"}, FENCES | {"button"})
         if tag in CLOSES:
@@ -116,6 +137,7 @@ class _Page(HTMLParser):
         if not marked and "style" in names:
             marked = bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", names["style"], re.IGNORECASE))
         self.stack.append((tag, marked, number))
+        self.in_head = self.in_head or tag == "head"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -137,6 +159,8 @@ class _Page(HTMLParser):
             self.block += 1
 
     def handle_data(self, data):
+        if self.in_head and self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._leave_head("")
         if not self._marked():
             self.nodes.append((self.stack[-1][2] if self.stack else 0, self.block, data, False))
 
@@ -147,6 +171,43 @@ def _smoothed(values: np.ndarray, width: int = SMOOTH) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def _holds(page: _Page, outer: int, element: int) -> bool:
+    while element > outer:  # an element's number is above its parent's
+        element = page.elements[element][0]
+    return element == outer
+
+
+def _add_beside(page: _Page, article: int, blocks: list[tuple[int, str]], kept: list[bool]) -> None:
+    """Keep the blocks of the run of text that a list, table or quotation stands in."""
+    run = article
+    while run > 0 and page.elements[run][1] in FLOW:
+        run = page.elements[run][0]
+    if run == article:
+        return
+    for i, (element, _) in enumerate(blocks):
+        while element > run and page.elements[element][1] in INLINE | BESIDE:
+            element = page.elements[element][0]
+        kept[i] = kept[i] or element == run
+
+
+def _add_headings(page: _Page, blocks: list[tuple[int, str]], kept: list[bool], scope: int) -> None:
+    """Keep the headings in ``scope`` between kept blocks, right before one, or above one in the same element."""
+    first = kept.index(True)
+    holders: set[int] = set()  # elements that hold a kept block further on
+    for i in range(len(blocks) - 1, -1, -1):
+        element = blocks[i][0]
+        if not kept[i] and holders:
+            heading = element
+            while heading > 0 and page.elements[heading][1] in INLINE:
+                heading = page.elements[heading][0]
+            if page.elements[heading][1] in HEADINGS and _holds(page, scope, heading):
+                kept[i] = i > first or kept[i + 1] or page.elements[heading][0] in holders
+        if kept[i]:
+            while element >= 0 and element not in holders:
+                holders.add(element)
+                element = page.elements[element][0]
+
+
 def content_blocks(html: str | None) -> list[str]:
     """Texts of the blocks of a page's article, in page order."""
     page = _Page()
@@ -197,19 +258,22 @@ def content_blocks(html: str | None) -> list[str]:
     while article > 0 and page.elements[article][1] in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre"}:
         article = page.elements[article][0]
     # Whole articles: an element that is one is never cut inside.
-    up = article
-    while up > 0:
-        if page.elements[up][1] in ("article", "main"):
-            article = up
-            break
-        up = page.elements[up][0]
-    out = []
-    for element, text in blocks:
-        while element > article:
-            element = page.elements[element][0]
-        if element == article:
-            out.append(text)
-    return out
+    up, whole = article, False
+    while up > 0 and not whole:
+        whole = page.elements[up][1] in ("article", "main")
+        article, up = up if whole else article, page.elements[up][0]
+    kept = [_holds(page, article, element) for element, _ in blocks]
+    scope = 0
+    if whole:
+        scope = article
+        while scope > 0 and page.elements[scope][1] != "main":
+            scope = page.elements[scope][0]
+    else:
+        kept = [inside or bool(yes) for inside, yes in zip(kept, chosen | (fused >= threshold))]
+        _add_beside(page, article, blocks, kept)
+    if not whole or scope:
+        _add_headings(page, blocks, kept, scope)
+    return [text for (_, text), yes in zip(blocks, kept) if yes]
 
 
 def _extract(columns: list[str]):

@@ -207,3 +207,32 @@ def test_articles_of_the_pages(spark, sf_dir):
         article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+LONG = "A long sentence of the page, with words; and more of them, as pages have. " * 12
+PLAIN_LAYOUTS = [
+    (f"<body><div><h1>Title</h1><div class=text><p>{LONG}<p>{LONG}</div></div></body>", ["Title", LONG, LONG]),
+    (f"<body><div><div><h1><b>Title</b></h1></div><div class=text><p>{LONG}<p>{LONG}</div></div></body>", ["Title", LONG, LONG]),
+    (f"<body><div><p>{LONG * 6}</p></div><h2>More</h2><div><p>{LONG[:74]}</p></div></body>", [LONG * 6, "More", LONG[:74]]),
+    (f"<body><div><p>What follows</p><ul><li>{LONG}<li>{LONG}</ul></div></body>", ["What follows", LONG, LONG]),
+    (f"<body><div>What follows<blockquote><p>{LONG}<p>{LONG}</blockquote><p>So said</div></body>", ["What follows", LONG, LONG, "So said"]),
+    (f"<body><p>What follows</p><table><tr><th>Head<tr><td>Short<tr><td>{LONG * 6}</table></body>", ["What follows", "Head", "Short", LONG * 6]),
+    (f"<body><main><h1>Title</h1><article><p>{LONG}</article></main></body>", ["Title", LONG]),
+    (f"<body><h1>Site</h1><article><p>{LONG}</article></body>", [LONG]),
+]
+
+
+def test_main_text_without_article():
+    for page, want in PLAIN_LAYOUTS:
+        assert tag_paths.content_blocks(page) == [w.strip() for w in want], page[:80]
+    links = "<div><a>Home</a></div>" * 8
+    assert tag_paths.content_blocks(f"<body>{links}<div class=text><p>{LONG}<p>{LONG}<p>{LONG}</div></body>")[-3:] == [LONG.strip()] * 3
+
+
+def test_main_text_without_head_end():
+    body = f"<body><p>{LONG}</body>"
+    for head in ("<head><title>T</title>", "<head><meta charset=utf-8><title>T <b> x</title><script>1</script>", "<head><noscript><img src=x></noscript><title>T"):
+        assert tag_paths.content_blocks(f"<html>{head}{body}</html>") == [LONG.strip()], head
+    assert tag_paths.content_blocks(f"<head><title>T</title><p>{LONG}") == [LONG.strip()]
+    assert tag_paths.content_blocks(f"<head><title>T</title>\n{LONG}") == [LONG.strip()]
+    assert tag_paths.content_blocks("<head><title>T</title></head><body></body>") == []
