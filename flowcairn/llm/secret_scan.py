@@ -1,7 +1,10 @@
 """Secret scans: fixed patterns plus a randomness test battery with false-discovery control.
 
 Everything runs as built-in expressions over whole texts. Candidates are runs of at least 20 letters,
-digits and ``+ / _ -``. Each is read in the smallest alphabet that has all its characters and tested:
+digits and ``+ / _ -``. No alphabet has both ``+ /`` and ``_ -``; a run that mixes them is cut at the one
+pair and at the other, and its parts of at least 20 are candidates in its place, so that a key behind a
+path is tested whichever pair the path or the key has. Of parts found inside each other the longest
+counts. Each candidate is read in the smallest alphabet that has all its characters and tested:
 
 * chi-squared uniformity over the alphabet, one-sided;
 * the runs test on lower and upper half of the alphabet, two-sided;
@@ -28,6 +31,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "random"]
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+# Parts of a run that mixes both pairs of signs.
+PARTS = [r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9+/]{20,}"]
 # Alphabets from small to large; a candidate is read in the first that holds it.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = [
@@ -68,6 +73,16 @@ def _matches(text: str, pattern: str, group: int = 0) -> str:
       s -> s.out) ELSE CAST(array() AS {SPAN}) END"""
 
 
+def _parts(found: str) -> str:
+    """The runs, with those that no alphabet holds replaced by their parts."""
+    parts = [
+        f"transform({_matches('w.token', p)}, v -> named_struct('start', w.start + v.start, 'end', w.start + v.end, 'token', v.token))"
+        for p in PARTS
+    ]
+    return f"""flatten(transform({found}, w -> CASE WHEN w.token RLIKE '[+/]' AND w.token RLIKE '[_-]' THEN concat({', '.join(parts)})
+      ELSE array(w) END))"""
+
+
 def _log_tail(z: str) -> str:
     """Logarithm of the upper tail of the normal distribution, to seven digits anywhere."""
     # Coefficients of the rational Chebyshev fit of erfc.
@@ -118,7 +133,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         keep = "x -> length(x.token) >= 8" if group else "x -> true"
         kinds.append(f"transform(filter({_matches('__text', pattern, group)}, {keep}), x -> named_struct('start', x.start, 'kind', {number}, 'end', x.end))")
     rows = rows.withColumn("__base", F.expr(f"array_sort(concat({', '.join(kinds)}))"))
-    return rows.withColumn("__found", F.expr(_matches("__text", CANDIDATE))).withColumn("__found", _battery())
+    return rows.withColumn("__found", F.expr(_parts(_matches("__text", CANDIDATE)))).withColumn("__found", _battery())
 
 
 def discovery_limits(candidates: DataFrame, q: float = Q) -> dict[int, int]:
@@ -150,7 +165,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA,
         limit = "CASE x.band " + " ".join(f"WHEN {b} THEN {v}" for b, v in sorted(limits.items())) + " END"
         new = f"""filter(__found, x -> x.random >= ln({alpha}D) AND floor(x.text / {BIN}D) <= {limit}
           AND NOT exists(__base, b -> b.start <= x.start AND b.end >= x.end))"""
-        added = F.expr(f"transform({new}, x -> named_struct('start', x.start, 'kind', 3, 'end', x.end))")
+        # By start, the longer first: what ends no further than an earlier one lies inside it.
+        placed = f"array_sort(transform({new}, x -> named_struct('start', x.start, 'back', -x.end)))"
+        state = "struct<reach:bigint,out:array<struct<start:bigint,kind:int,end:bigint>>>"
+        added = F.expr(f"""aggregate({placed}, CAST(named_struct('reach', 0L, 'out', array()) AS {state}), (s, x) -> CAST(
+          CASE WHEN -x.back <= s.reach THEN s ELSE named_struct('reach', -x.back, 'out', array_append(s.out,
+            named_struct('start', x.start, 'kind', 3, 'end', -x.back))) END AS {state}), s -> s.out)""")
     spans = rows.withColumn(f"{prefix}base_spans", F.col("__base")).withColumn(f"{prefix}spans", F.array_sort(F.concat("__base", added)))
     return spans.drop("__text", "__base", "__found")
 

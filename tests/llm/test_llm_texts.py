@@ -109,6 +109,26 @@ def test_secret_query(spark, sf_dir):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
 
 
+def test_secrets_in_mixed_runs(spark):
+    key, dashed = drawn(32), drawn(14) + "-" + drawn(11) + "_" + drawn(12)
+    slashed = drawn(15) + "/" + drawn(12) + "+" + drawn(13)
+    texts = [
+        f"see /services/my-team/{key} now", f"see /a/b/c/d/{dashed} now", f"see my-own_long-name-of-it_{slashed} now", f"{key}-_/+{key[::-1]}",
+        "see /services/of-the-team/that-has_no/secret-in_the/path-at-all now", "é" * 9 + f" /x-y/{key}", *[f"/only-words/in_this-text/{w}" for w in "abcdefgh"],
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(secret_scan.find_secrets(docs).collect(), key=lambda r: r["doc_id"])
+    for r, secret in zip(rows, [key, dashed, slashed, None, None, key]):
+        if secret:
+            at = r["text"].index(secret)
+            assert any(s["start"] <= at and s["end"] >= at + len(secret) and s["kind"] == 3 for s in r["spans"]), r["text"]
+    assert len(rows[3]["spans"]) == 2 and not any(r["spans"] for r in [rows[4], *rows[6:]])
+    for r in rows:  # none inside another
+        assert not any(a != b and a["start"] <= b["start"] and a["end"] >= b["end"] for a in r["spans"] for b in r["spans"])
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(secret_scan.find_secrets(docs)).collect()}
+    assert all(x not in clean[i] for i, x in ((0, key), (1, dashed), (2, slashed), (5, key))) and clean[4] == texts[4]
+
+
 def test_toxicity(spark):
     words = ["river", "stone", "cloud", "garden", "window", "letter", "candle", "harbor", "meadow", "silver"]
     rows = []
