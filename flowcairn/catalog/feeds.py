@@ -130,7 +130,7 @@ def column_match(spark, sf_dir):
     """Matched column pairs of both feeds with the numeric share of the partners."""
     multi, single = multi_file_feed(spark, sf_dir), single_file_feed(spark, sf_dir)
     shares = [
-        column_profile(df).select(F.col("name").alias(key), (F.col("as_number") / F.col("rows")).alias(out))
+        column_profile(df, samples=0).select(F.col("name").alias(key), (F.col("as_number") / F.col("rows")).alias(out))
         for df, key, out in ((multi, "multi_name", "multi_share"), (single, "single_name", "single_share"))
     ]
     return match_columns(single, multi).join(shares[0], "multi_name").join(shares[1], "single_name")
@@ -165,7 +165,7 @@ def profiled_columns(spark, sf_dir):
 def feature_category_scores(spark, sf_dir):
     """Criteria scores of the feed's columns, with the number of rows they describe."""
     feed = multi_file_feed(spark, sf_dir).drop("l_orderkey", "l_linenumber")
-    profile = column_profile(feed)
+    profile = column_profile(feed, samples=0)
     return category_scores(categorize(profile)).withColumn("rows", profile.agg(F.max("rows")).scalar())
 
 

@@ -125,7 +125,9 @@ def describe_columns(spark: SparkSession, columns: list[str], strict: bool = Fal
 def column_profile(df: DataFrame, samples: int = 5) -> DataFrame:
     """Per column: type, numeric flag, unit, category, rows, present and numeric counts, and examples.
 
-    Counts and the smallest ``samples`` distinct examples come from one pass over the table.
+    ``examples`` holds the smallest ``samples`` distinct values as text, in rising order; a column without
+    values has an empty array. Counts are one aggregate; the examples are a second pass over the table, which
+    0 samples leave out.
     """
     types = dict(df.dtypes)
     numeric = set(numeric_columns(df))
@@ -139,7 +141,6 @@ def column_profile(df: DataFrame, samples: int = 5) -> DataFrame:
                 F.col(f"n{i}").alias("present"),
                 F.col(f"k{i}").alias("as_number"),
                 F.col("_rows").alias("rows"),
-                F.col(f"x{i}").alias("example"),
             )
             for i, c in enumerate(df.columns)
         ]
@@ -149,9 +150,22 @@ def column_profile(df: DataFrame, samples: int = 5) -> DataFrame:
         aggregates += [
             F.count(quoted(c)).alias(f"n{i}"),
             F.count(as_number(c) if types[c] == "string" else (as_number(c, text=False) if c in numeric else F.lit(None))).alias(f"k{i}"),
-            F.min(F.col(quoted(c)).cast("string")).alias(f"x{i}"),
         ]
     profile = df.agg(*aggregates).select(F.explode(entry).alias("e")).select("e.*")
+    if samples > 0:
+        values = [F.struct(F.lit(i).alias("position"), F.col(quoted(c)).cast("string").alias("x")) for i, c in enumerate(df.columns)]
+        distinct = df.select(F.explode(F.array(*values)).alias("v")).select("v.*").where("x IS NOT NULL").distinct()
+        # Every task keeps its first few values of a column before they meet.
+        place = F.row_number().over(W.partitionBy("position").orderBy("x"))
+        first = distinct.withColumn("_place", place).where(F.col("_place") <= samples)
+        found = first.groupBy("position").agg(F.array_sort(F.collect_list("x")).alias("examples"))
+        profile = profile.join(F.broadcast(found), "position", "left")  # a row per column
+    else:
+        profile = profile.withColumn("examples", F.lit(None))
+    profile = profile.select(
+        "name", "position", "data_type", "is_numeric", "present", "as_number", "rows",
+        F.coalesce(F.col("examples").cast("array<string>"), F.array().cast("array<string>")).alias("examples"),
+    )
     return profile.withColumns({"unit": unit_of(F.col("name")), "category": category_of(F.col("name"))})
 
 
