@@ -97,7 +97,8 @@ def _mark(shared, size: int, columns: list[str]):
                         hit[a:b] = True
                 counts.append(n)
                 marks.append(list(runs) if hit is None else _runs(hit))
-                names.append(sorted({*items, *map(str, found)}))
+                named = {x for x in items if x is not None} | {str(x) for x in found if x is not None}
+                names.append(sorted(named) + [None] * (None in found or None in list(items)))
             batch["__words"], batch["__runs"], batch["__items"] = counts, marks, names
             yield batch[columns]
 
@@ -114,7 +115,7 @@ def find_overlap(
     most_bytes: int = MOST_BYTES,
     prefix: str = "",
 ) -> DataFrame:
-    """The rows with n_words, spans (word ranges that are hit) and items (their ids) added, after ``prefix``.
+    """The rows with n_words, spans (word ranges that are hit), items (their ids) and n_items added, after ``prefix``.
 
     A window is ``size`` consecutive words of an item, or all words of a shorter one. Each executor gets
     the windows as a hash set; every window of a document whose words all occur in the benchmark is
@@ -124,13 +125,14 @@ def find_overlap(
     and the documents are scanned once for each, carrying their marks along.
 
     Null texts and items have no words; null and repeated document ids stay rows of their own; items
-    with the same id count once; empty tables give no rows or no hits. Columns of the added names are
+    with the same id count once. Items without an id hit words like all others; together they are one of
+    ``n_items`` and have no name in ``items``. Empty tables give no rows or no hits. Columns of the added names are
     replaced, all others stay; __text, __runs, __items and __words are reserved.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    items = items.where("text IS NOT NULL AND item IS NOT NULL")
+    items = items.where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    added = [f"{prefix}n_words", f"{prefix}spans", f"{prefix}items"]
+    added = [f"{prefix}n_words", f"{prefix}spans", f"{prefix}items", f"{prefix}n_items"]
     marked = docs.drop(*added).select(
         "*", F.col(text_col).cast("string").alias("__text"), F.lit(0).cast("long").alias("__words"),
         F.array().cast("array<int>").alias("__runs"), F.array().cast("array<string>").alias("__items"),
@@ -144,7 +146,10 @@ def find_overlap(
         lambda i: F.struct(F.get("__runs", i).alias("first"), F.get("__runs", i + 1).alias("end")),
     )
     spans = F.when(F.size("__runs") > 0, pairs).otherwise(F.array().cast("array<struct<first:int,end:int>>"))
-    found = marked.select("*", F.col("__words").alias(added[0]), spans.alias(added[1]), F.col("__items").alias(added[2]))
+    named = F.filter("__items", lambda x: x.isNotNull())
+    found = marked.select(
+        "*", F.col("__words").alias(added[0]), spans.alias(added[1]), named.alias(added[2]), F.size("__items").cast("long").alias(added[3])
+    )
     return found.drop("__text", "__words", "__runs", "__items")
 
 
@@ -160,7 +165,7 @@ def overlap_report(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated from ``find_overlap``."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + (s["end"] - s["first"]))
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 

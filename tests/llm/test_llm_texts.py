@@ -201,6 +201,17 @@ def test_overlap(spark, most_bytes):
     assert {r["n_hit"] for r in decontaminate.overlap_report(decontaminate.find_overlap(docs, bench.limit(0))).collect()} == {0}
 
 
+def test_overlap_without_item_ids(spark):
+    docs = spark.createDataFrame([(1, "x no id here y"), (2, "two three no ID here"), (3, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "no id here"), (None, "No id"), (9, "two three")], "item_id long, text string")
+    for most_bytes in (1 << 20, 8):
+        found = decontaminate.find_overlap(docs, bench, most_bytes=most_bytes)
+        got = {r["doc_id"]: ([tuple(s) for s in r["spans"]], r["items"]) for r in found.collect()}
+        assert got == {1: ([(1, 4)], []), 2: ([(0, 5)], ["9"]), 3: ([], [])}
+        report = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.overlap_report(found).collect()}
+        assert report == {1: (3, 1, True), 2: (5, 2, True), 3: (0, 0, False)}  # as the query's SQL counts
+
+
 PAGE = """<html><head><title>T</title></head><body><header id=top><h1>Site</h1><ul><li><a>x</a></ul></header>
 <div class="cookie-notice">We use cookies, ok? Yes.</div><div id="content"><div class=post><h2>Title &amp; more</h2>
 <p>First para, with text.<p>Second &#8212; para <b>bold</b>text; it goes on
