@@ -69,8 +69,10 @@ def active_entries(captures: DataFrame, entries: DataFrame, url_col: str = "url"
     keyed = seen.select("_url", "_day", F.explode(url_keys("_url")).alias("key"))
     asked = keyed.select("key", "_day").distinct().withColumn("year", F.year("_day"))
     intervals = validity_intervals(entries)
-    last = F.coalesce(F.year(F.date_sub("until", 1)), F.year(F.current_date()) + 1)
-    by_year = intervals.withColumn("year", F.explode(F.sequence(F.year("since"), F.greatest(last, F.year("since")))))
+    # Only the years that captures have, so an interval still open reaches the last of them.
+    years = rows.where("_url IS NOT NULL AND _day IS NOT NULL").agg(F.collect_set(F.year("_day")).alias("_years"))
+    met_years = F.expr("filter(_years, y -> y >= year(since) AND (until IS NULL OR y <= year(date_sub(until, 1))))")
+    by_year = intervals.crossJoin(F.broadcast(years)).withColumn("year", F.explode(met_years)).drop("_years")
     in_force = asked.join(by_year, ["key", "year"]).where("since <= _day AND (until IS NULL OR _day < until)").select("key", "_day", "list", "effect")
     met = keyed.join(in_force, ["key", "_day"]).groupBy("_url", "_day").agg(F.array_sort(F.collect_set(F.struct("key", "list", "effect"))).alias("active"))
     joined = rows.join(met, ["_url", "_day"], "left")

@@ -188,6 +188,19 @@ def test_lists_as_of_the_fetch_day(spark):
         F.lit("l").alias("list"), F.lit("block").alias("effect"), F.col("url").alias("key"), F.col("fetched").alias("day"), F.lit("add").alias("action"))).count() == 0
 
 
+def test_captures_after_today(spark):
+    day = dt.date
+    entries = spark.createDataFrame(
+        [("l", "block", "a.com", day(2020, 1, 1), "add"), ("l", "block", "b.com", day(2020, 1, 1), "add"), ("l", "block", "b.com", day(2150, 1, 1), "remove"),
+         ("l", "block", "c.com", day(2500, 5, 1), "add")],
+        "list string, effect string, key string, day date, action string",
+    )
+    days = {"a.com": [day(2019, 12, 31), day(2020, 1, 1), day(2100, 6, 1), day(9999, 12, 31)], "b.com": [day(2149, 12, 31), day(2150, 1, 1)], "c.com": [day(2500, 4, 30), day(2500, 5, 1)]}
+    captures = spark.createDataFrame([(f"http://{h}/", d) for h, ds in days.items() for d in ds], "url string, fetched date")
+    got = sorted((r["url"][7:12], r["fetched"]) for r in url_lists.active_entries(captures, entries).collect() if r["blocked"])
+    assert got == sorted((h, d) for h, d in [*(("a.com", d) for d in days["a.com"][1:]), ("b.com", days["b.com"][0]), ("c.com", days["c.com"][1])])
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage on its predecessor's rows, against plain versions; then the whole run."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
