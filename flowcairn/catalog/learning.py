@@ -188,6 +188,7 @@ def _cv(spark, sf_dir, names, params=None, explained=False):
 def _checked(results):
     """Per model and fold: test rows, and whether the metrics are those of the stored confusion cells.
 
+    Two classes are checked by the positive class, more by the means over classes weighted by their rows.
     A fold that failed has no rows and is not consistent.
     """
     cells = "confusion_matrix"
@@ -201,7 +202,16 @@ def _checked(results):
     precision, recall = share(F.col("_tp"), F.col("_tp") + F.col("_fp")), share(F.col("_tp"), F.col("_tp") + F.col("_fn"))
     binary = (F.abs(F.col("precision") - precision) < 1e-9) & (F.abs(F.col("recall") - recall) < 1e-9)
     binary = binary & (F.abs(F.col("f1") - share(2 * precision * recall, precision + recall)) < 1e-9)
-    same = (F.abs(F.col("accuracy") - F.col("_right") / F.col("_n")) < 1e-9) & (binary | (F.size(cells) > 2)) & F.col("error").isNull()
+    # Of class i: rows, hits and predictions.
+    held, hit = f"aggregate({cells}[i], 0L, (s, x) -> s + x)", f"{cells}[i][i]"
+    called = f"aggregate(transform({cells}, r -> r[i]), 0L, (s, x) -> s + x)"
+    several = F.lit(True)
+    for name, top, bottom in (("precision", hit, called), ("recall", hit, held), ("f1", f"2 * {hit}", f"({held} + {called})")):
+        of_class = f"coalesce(try_divide(CAST({top} AS DOUBLE), CAST({bottom} AS DOUBLE)), 0D) * {held}"
+        total = F.expr(f"aggregate(transform(sequence(0, size({cells}) - 1), i -> {of_class}), 0D, (s, x) -> s + x)")
+        several = several & (F.abs(F.col(name) - F.try_divide(total, F.col("_n"))) < 1e-9)
+    right = F.when(F.size(cells) > 2, several).otherwise(binary)
+    same = (F.abs(F.col("accuracy") - F.col("_right") / F.col("_n")) < 1e-9) & right & F.col("error").isNull()
     return out.select("algo", F.col("fold").cast("int").alias("fold"), F.col("_n").alias("n"), F.coalesce(same, F.lit(False)).alias("consistent"))
 
 
@@ -215,45 +225,91 @@ _FLOW_LABELS = "SELECT CAST(l_returnflag <> 'N' AS INT) AS label FROM lineitem"
 _VECTOR_LABELS = "SELECT CAST(label < 3 AS INT) AS label FROM embeddings"
 
 
+def _lr_cv(spark, sf_dir):
+    return evaluate.cross_validate(_keyed_lineitem(spark, sf_dir), ["LR"], FEATURES, "label", ["row_key"], 5)
+
+
 @query("lr_cv", _folds_sql("LR", _FLOW_LABELS))
 def lr_cv(spark, sf_dir):
     """Five-fold logistic regression on the line items, balanced and scaled inside the fold."""
-    return _checked(evaluate.cross_validate(_keyed_lineitem(spark, sf_dir), ["LR"], FEATURES, "label", ["row_key"], 5))
+    return _checked(_lr_cv(spark, sf_dir))
+
+
+def _tree_cv(spark, sf_dir):
+    df = _keyed_lineitem(spark, sf_dir)
+    return evaluate.cross_validate(df, ["DT"], FEATURES, "label", ["row_key"], 5, {"DT": {"max_depth": 10}})
 
 
 @query("tree_cv", _folds_sql("DT", _FLOW_LABELS))
 def tree_cv(spark, sf_dir):
     """Five-fold decision tree on the line items with class weights."""
-    df = _keyed_lineitem(spark, sf_dir)
-    return _checked(evaluate.cross_validate(df, ["DT"], FEATURES, "label", ["row_key"], 5, {"DT": {"max_depth": 10}}))
+    return _checked(_tree_cv(spark, sf_dir))
+
+
+def _rf_cv(spark, sf_dir):
+    return _cv(spark, sf_dir, ["RF"], {"RF": {"n_estimators": 100, "max_depth": 10}})
 
 
 @query("rf_cv", _folds_sql("RF", _VECTOR_LABELS))
 def rf_cv(spark, sf_dir):
-    return _checked(_cv(spark, sf_dir, ["RF"], {"RF": {"n_estimators": 100, "max_depth": 10}}))
+    return _checked(_rf_cv(spark, sf_dir))
+
+
+def _gbt_cv(spark, sf_dir):
+    return _cv(spark, sf_dir, ["GBT"], {"GBT": {"n_estimators": 100, "max_depth": 4}})
 
 
 @query("gbt_cv", _folds_sql("GBT", _VECTOR_LABELS))
 def gbt_cv(spark, sf_dir):
-    return _checked(_cv(spark, sf_dir, ["GBT"], {"GBT": {"n_estimators": 100, "max_depth": 4}}))
+    return _checked(_gbt_cv(spark, sf_dir))
+
+
+def _mlp_cv(spark, sf_dir):
+    return _cv(spark, sf_dir, ["CNN"])
 
 
 @query("mlp_cv", _folds_sql("CNN", _VECTOR_LABELS))
 def mlp_cv(spark, sf_dir):
-    return _checked(_cv(spark, sf_dir, ["CNN"]))
+    return _checked(_mlp_cv(spark, sf_dir))
+
+
+def _knn_cv(spark, sf_dir):
+    return _cv(spark, sf_dir, ["KNN"])
 
 
 @query("knn_cv", _folds_sql("KNN", _VECTOR_LABELS))
 def knn_cv(spark, sf_dir):
-    return _checked(_cv(spark, sf_dir, ["KNN"]))
+    return _checked(_knn_cv(spark, sf_dir))
+
+
+def _multiclass_cv(spark, sf_dir):
+    df, features = wide_vectors(spark, sf_dir)
+    df = df.drop("label").join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label")), "vec_id")
+    return evaluate.cross_validate(df, ["DT"], features, "label", ["vec_id"], 5, {"DT": {"max_depth": 8}})
 
 
 @query("multiclass_cv", _folds_sql("DT", "SELECT label FROM embeddings"))
 def multiclass_cv(spark, sf_dir):
     """Five-fold decision tree over all ten classes of the embeddings."""
-    df, features = wide_vectors(spark, sf_dir)
-    df = df.drop("label").join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label")), "vec_id")
-    return _checked(evaluate.cross_validate(df, ["DT"], features, "label", ["vec_id"], 5, {"DT": {"max_depth": 8}}))
+    return _checked(_multiclass_cv(spark, sf_dir))
+
+
+CROSS_VALIDATIONS = {
+    "lr_cv": _lr_cv, "tree_cv": _tree_cv, "rf_cv": _rf_cv, "gbt_cv": _gbt_cv, "mlp_cv": _mlp_cv, "knn_cv": _knn_cv, "multiclass_cv": _multiclass_cv,
+}
+
+
+@query("cv_metrics")
+def cv_metrics(spark, sf_dir):
+    """Accuracy, precision, recall, F1 and AUC of the cross-validations, a row per query, model and fold."""
+    parts = [
+        results(spark, sf_dir).select(F.lit(name).alias("query"), "algo", "fold", "accuracy", "precision", "recall", "f1", "auc", "confusion_matrix", "error")
+        for name, results in CROSS_VALIDATIONS.items()
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("model_comparison")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flowcairn.catalog import learning
 from flowcairn.operators.matching import column_profile
+from flowcairn.plans.evaluate import RESULT_SCHEMA
 from flowcairn.plans.models import REGISTRY
 
 
@@ -50,3 +51,14 @@ def test_profile_examples(spark):
     assert {r["name"]: r["examples"] for r in column_profile(df, 2).collect()}["c"] == ["v0", "v1"]
     assert {len(r["examples"]) for r in column_profile(df, 0).collect()} == {0}
     assert [r["examples"] for r in column_profile(df.limit(0)).collect()] == [[], [], []]
+
+
+def test_metrics_of_several_classes_are_checked(spark, sf_dir, monkeypatch):
+    cells = [[3, 1, 0], [1, 4, 1], [0, 0, 0]]
+    precision, recall, f1 = (4 * 3 / 4 + 6 * 4 / 5) / 10, 0.7, (4 * 6 / 8 + 6 * 8 / 11) / 10
+    row = lambda fold, p: ("DT", fold, f1, 0.7, p, recall, None, cells, *[None] * 8)
+    results = spark.createDataFrame([row(0, precision), row(1, precision + 0.1)], RESULT_SCHEMA)
+    assert {r["fold"]: (r["n"], r["consistent"]) for r in learning._checked(results).collect()} == {0: (10, True), 1: (10, False)}
+    monkeypatch.setattr(learning, "CROSS_VALIDATIONS", {"a": lambda *_: results, "b": lambda *_: results})
+    kept = learning.cv_metrics(spark, sf_dir).collect()
+    assert len(kept) == 4 and {(r["query"], r["fold"], r["precision"]) for r in kept} == {(q, i, p) for q in "ab" for i, p in ((0, precision), (1, precision + 0.1))}
