@@ -1,7 +1,8 @@
 """WARC archives as a chunked record table: payloads travel as numbered chunks with running digests.
 
-Reading and writing never hold a whole compressed record: a payload is written chunk by chunk, and read
-back as rows (record, chunk number, bytes) whose digest covers everything up to that chunk.
+Reading and writing never hold a whole compressed record: a payload is compressed chunk by chunk, and read
+back as rows (record, chunk number, bytes) whose digest covers everything up to that chunk. The writer does
+take a record's payload as one string, and its digest and the digest join work on whole payloads.
 """
 
 from __future__ import annotations
