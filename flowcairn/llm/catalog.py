@@ -223,3 +223,26 @@ r AS (SELECT a AS node, b AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(first, doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS first FROM r GROUP BY node) USING (doc_id)
 """
+
+
+@query("op11_fingerprint_collocations", rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+cuts AS (SELECT lang, m, phrase, f AS a, w, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM f, range(1, 4) r(k) WHERE k < m),
+scored AS (SELECT c.lang, c.m, c.phrase, c.a, min({{'score': CAST(2000000 * CAST(c.a AS HUGEINT) // (l.f + r.f) AS BIGINT), 'k': k, 'l': l.f, 'r': r.f}}) AS cut
+           FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = x JOIN f r ON r.lang = c.lang AND r.phrase = y GROUP BY ALL),
+inside AS (SELECT lang, sub, max(f) AS outer_f FROM (
+             SELECT lang, f, unnest([array_to_string(w[i:i + s - 1], ' ') FOR i IN range(1, m - s + 2)]) AS sub FROM f, range(2, 4) r(s) WHERE s < m) GROUP BY lang, sub),
+kept AS (SELECT s.lang, phrase, a, cut.l AS l, cut.r AS r, cut.score AS score FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND sub = phrase
+         WHERE outer_f IS NULL OR 100 * CAST(outer_f AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def fingerprint_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two to four words whose parts go together, of every language."""
+    from flowcairn.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
