@@ -32,11 +32,37 @@ GROUP_IDS = 1 << 20
 MAGIC = b"S8G1"
 
 
+_SHORT = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.int8)
+
+
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits of values below 2**60; at most one too many near powers of two above 2**53."""
+    if not len(values) or values.max() < len(_SHORT):
+        return _SHORT[values.astype(np.uint16)]
     return np.minimum(np.frexp(values.astype(np.float64))[1], 60).astype(np.int8)
 
 
+def _widest(bits: np.ndarray, count: int) -> np.ndarray:
+    """The most bits of every ``count`` neighbouring ids."""
+    span = 1
+    while 2 * span <= count:
+        bits, span = np.maximum(bits[:-span], bits[span:]), 2 * span
+    rest = count - span
+    return np.maximum(bits[:-rest], bits[rest:]) if rest else bits
+
+
+def _narrowest_runs(bits: np.ndarray) -> dict[int, int]:
+    """By length 1, 2, 4 ...: the fewest bits that hold all ids of an aligned run of that length.
+
+    Ids in a row, c of them, hold an aligned run of the power of two below (c + 1) / 2 or equal to it.
+    """
+    found, span = {1: int(bits.min())}, 1
+    while len(bits) > 1:
+        bits, span = np.maximum(bits[: len(bits) // 2 * 2 : 2], bits[1::2]), 2 * span
+        found[span] = int(bits.min())
+    return found
+
+
 def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the first word of every block, and the positions of escaped values."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
@@ -48,15 +74,16 @@ def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if n == 0:
         return np.zeros(0, "<u8"), np.zeros(0, "<u4"), escapes
     bits = _bit_lengths(values)
-    room = BLOCK - np.arange(n, dtype=np.int64) % BLOCK  # ids left in the block
+    room = np.resize(np.arange(BLOCK, 0, -1, dtype=np.int16), n)  # ids left in the block
     selector = np.full(n, 15, dtype=np.int8)
-    wide_before = np.zeros(n + 1, dtype=np.int32)
+    runs = _narrowest_runs(bits)
     for s in range(14, -1, -1):  # the last that fits is the one with most ids
         count = int(COUNTS[s])
         if count > n:
             break
-        np.cumsum(bits > WIDTHS[s], out=wide_before[1:])
-        fits = wide_before[count:] == wide_before[:-count]
+        if runs[1 << ((count + 1) // 2).bit_length() - 1] > WIDTHS[s]:
+            continue  # no ids in a row fit
+        fits = _widest(bits, count) <= WIDTHS[s]
         fits &= room[: n - count + 1] >= count
         np.copyto(selector[: n - count + 1], np.int8(s), where=fits)
     # Every block takes its words one step at a time, all blocks together.
