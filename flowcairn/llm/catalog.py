@@ -246,3 +246,40 @@ def fingerprint_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowcairn.llm.collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_pareto_mix", r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || coalesce(text, '') || '|12'), 1, 12) AS BIGINT) AS DOUBLE)
+                   + 0.5::DOUBLE) / 281474976710656::DOUBLE AS random FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+o AS (SELECT *, 3 * s AS most, row_number() OVER (ORDER BY 3 * s / w, source NULLS LAST) AS i FROM s),
+c AS (SELECT *, sum(s) OVER () AS words, sum(most) OVER (ORDER BY i) - most AS full_words, sum(w) OVER () - (sum(w) OVER (ORDER BY i) - w) AS rest FROM o),
+k AS (SELECT min(i) AS first_open FROM c WHERE CAST(words - full_words AS DOUBLE) * w / rest <= most),
+l AS (SELECT words - full_words AS left_words, rest FROM c, k WHERE i = first_open),
+t AS (SELECT source AS t_source, s, CASE WHEN i < first_open THEN CAST(most AS DOUBLE) ELSE CAST(left_words AS DOUBLE) * w / rest END AS target FROM o, k, l),
+e AS (SELECT d.*, s AS source_size, target, CASE WHEN s > 0 THEN least(3.0::DOUBLE, target * 1.0::DOUBLE / CAST(s AS DOUBLE)) ELSE 0.0::DOUBLE END AS expected
+      FROM d JOIN t ON source IS NOT DISTINCT FROM t_source),
+f AS (SELECT *, floor(expected) AS sure, expected - floor(expected) AS chance FROM e),
+q AS (SELECT *, (random / (1 - random)) / (chance / (1 - chance)) AS odds FROM f WHERE chance > 0 AND size > 0),
+r AS (SELECT *, floor(odds / (1 + odds) * 281474976710656::DOUBLE) AS rank FROM q),
+n AS (SELECT source AS n_source, (sum(CAST(floor(size * chance * 1048576::DOUBLE) AS HUGEINT)) + 524288) // 1048576 AS lack FROM r GROUP BY source),
+u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM r),
+x AS (SELECT u.*, CASE WHEN upto < lack THEN 1 WHEN upto - size < lack AND 2 * (lack - (upto - size)) >= size THEN 1 ELSE 0 END AS extra
+      FROM u JOIN n ON source IS NOT DISTINCT FROM n_source)
+SELECT doc_id, size, source_size, target, CAST((sure + extra) * size AS BIGINT) AS taken FROM x
+UNION ALL SELECT doc_id, size, source_size, target, CAST(sure * size AS BIGINT) FROM f WHERE NOT (chance > 0 AND size > 0)
+""")
+def pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document go into a mix of all sources."""
+    from flowcairn.llm.pareto_mix import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens for every document."""
+    from flowcairn.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
