@@ -286,8 +286,9 @@ def _long_grams(range_bits: int, key_bits: int):
             pairs = (pointers[pointers % ORDERS == 1] // ORDERS).astype(np.int64)
             frequent = np.sort(words.prints(pairs, 2))
             starts = np.zeros(len(words.starts) + 1, dtype=bool)
-            # Pairs that a line repeats count as well: they are inside longer n-grams that end beyond them.
+            # A pair that a line repeats was counted in another slice: it may be frequent.
             every = np.flatnonzero(words.line[:-1] == words.line[1:])
+            starts[every[~words.fresh[every + 1]]] = True
             if len(frequent) and len(every):
                 codes = words.prints(every, 2)
                 starts[every[frequent[np.minimum(np.searchsorted(frequent, codes), len(frequent) - 1)] == codes]] = True
@@ -335,7 +336,7 @@ def _as_text(key, slices: pd.DataFrame, pointed: pd.DataFrame) -> pd.DataFrame:
             out["lang"] += [words.langs[i] for i in words.lang[first].tolist()]
             out["n_words"] += n.tolist()
             out["f"] += np.frombuffer(counts, dtype="<u4").tolist()
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, dtype=None if out["f"] else object)  # empty columns of numbers are no strings
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, slice_bytes: int = SLICE_BYTES) -> tuple[DataFrame, DataFrame]:
