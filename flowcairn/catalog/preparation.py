@@ -11,6 +11,7 @@ from flowcairn.operators import splits
 from flowcairn.operators.balancing import resample
 from flowcairn.operators.cleaning import Cleaner, Encoder, RobustScaler, StandardScaler, narrow_types
 from flowcairn.operators.information import mutual_information, select_top_k
+from flowcairn.operators.neighbor_information import neighbor_information
 from flowcairn.operators.preparation import PrepareConfig, prepare, stateless
 from flowcairn.plans.phases import with_key
 
@@ -238,6 +239,58 @@ def select_features(spark, sf_dir):
     return df.select(*kept).unpivot([], kept, "feature", "v").groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
 
 
+_NEIGHBOR_FEATURES = {"value": "value", "user": "CAST(user_id AS DOUBLE)", "hour": "fmod(epoch_us(CAST(ts AS TIMESTAMP)) / 1e6, 86400.0) / 3600.0"}
+
+
+def _neighbor_information_sql(features: dict[str, str], k: int = 3) -> str:
+    """The estimator by brute force: every row against every row of its feature."""
+    columns = " UNION ALL ".join(f"SELECT '{name}' AS feature, event_type AS label, event_id, CAST({x} AS DOUBLE) AS x, u FROM e" for name, x in features.items())
+    beside = ", ".join(f"x - lag(x, {i}) OVER c, lead(x, {i}) OVER c - x" for i in range(1, k + 1))
+    return f"""
+      WITH e AS (SELECT *, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|42'), 1, 12) AS BIGINT) AS DOUBLE) / 140737488355328.0::DOUBLE - 1.0::DOUBLE AS u FROM events),
+      long AS (SELECT * FROM ({columns}) t WHERE x IS NOT NULL AND label IS NOT NULL),
+      scale AS (SELECT feature AS f, pow(2, floor(log2(greatest(stddev_pop(x), avg(abs(x)))))) AS scale FROM long GROUP BY feature),
+      p AS (SELECT feature, label, event_id, x + u * (1e-10::DOUBLE * scale) AS x, count(*) OVER (PARTITION BY feature, label) AS nc FROM long JOIN scale ON f = feature),
+      w AS (SELECT *, list_sort([{beside}], 'ASC', 'NULLS LAST')[least({k}, nc - 1)] AS r FROM p WHERE nc > 1
+            WINDOW c AS (PARTITION BY feature, label ORDER BY x)),
+      m AS (SELECT a.feature, a.event_id, a.nc, count(*) AS m, CASE WHEN a.r > 0 THEN least({k}, a.nc - 1) ELSE count(*) FILTER (WHERE a.label = b.label) END AS k
+            FROM w a JOIN w b ON a.feature = b.feature AND abs(b.x - a.x) < CASE WHEN a.r > 0 THEN a.r ELSE 1e-300 END GROUP BY a.feature, a.event_id, a.nc, a.label, a.r),
+      psi AS (SELECT n, sum(CASE WHEN n > 1 THEN 1.0::DOUBLE / (n - 1) ELSE 0 END) OVER (ORDER BY n) - 0.5772156649015329 AS psi FROM range(1, (SELECT count(*) + 1 FROM events)) r(n)),
+      total AS (SELECT feature, count(*) AS n FROM m GROUP BY feature)
+      SELECT t.feature, greatest(pn.psi + avg(pk.psi) - avg(pc.psi) - avg(pm.psi), 0.0) AS mi
+      FROM m JOIN total t ON t.feature = m.feature JOIN psi pn ON pn.n = t.n JOIN psi pk ON pk.n = m.k JOIN psi pc ON pc.n = m.nc JOIN psi pm ON pm.n = m.m
+      GROUP BY t.feature, pn.psi"""
+
+
+def _typed_events(spark, sf_dir):
+    df, _ = event_features(spark, sf_dir)
+    kinds = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return df.drop("label").join(kinds, "event_id")
+
+
+@query("neighbor_information", f"SELECT feature, {_R('mi', 6)} AS mutual_information FROM ({_neighbor_information_sql(_NEIGHBOR_FEATURES)}) m")
+def neighbor_information_of_features(spark, sf_dir):
+    """Information of three event features about the event type, by nearest neighbours inside each type."""
+    out = neighbor_information(_typed_events(spark, sf_dir), list(_NEIGHBOR_FEATURES), "event_type", ["event_id"])
+    return out.withColumn("mutual_information", rounded("mutual_information", 6))
+
+
+@query(
+    "select_top_k_neighbors",
+    f"""SELECT feature, count(*) AS rows, {_R('sum(x)', 3)} AS total FROM (
+          SELECT 'value' AS feature, value AS x FROM events UNION ALL SELECT 'user', CAST(user_id AS DOUBLE) FROM events
+          UNION ALL SELECT 'hour', {_NEIGHBOR_FEATURES['hour']} FROM events) v
+        WHERE feature IN (SELECT feature FROM ({_neighbor_information_sql(_NEIGHBOR_FEATURES)}) m ORDER BY mi DESC, CASE feature WHEN 'value' THEN 0 WHEN 'user' THEN 1 ELSE 2 END LIMIT 2)
+        GROUP BY feature""",
+)
+def select_features_by_neighbors(spark, sf_dir):
+    """The two most informative of three event features by the neighbour estimate, with their sums over all rows."""
+    df = _typed_events(spark, sf_dir)
+    kept = select_top_k(df, list(_NEIGHBOR_FEATURES), "event_type", 2, keys=["event_id"])
+    long = df.select(*kept).unpivot([], kept, "feature", "v")
+    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), rounded(F.sum("v"), 3).alias("total"))
+
+
 def _survives(column: str) -> str:
     return f"CASE WHEN count(*) FILTER (WHERE CAST(CAST({column} AS FLOAT) AS DOUBLE) <> {column}) = 0 THEN '{column}' END"
 

@@ -1,7 +1,8 @@
 """Mutual information of numeric features with a label, and top-k selection on it.
 
-Features are binned at their own quantiles (ties share a bin), then only the contingency table
-``features × bins × labels`` is shuffled.
+Two estimators. ``bins``: features are binned at their own quantiles (ties share a bin), then only the
+contingency table ``features × bins × labels`` is shuffled. ``neighbors``: the mixed estimator on the
+distance to the k-th neighbour of the same class, see ``operators.neighbor_information``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowcairn.functions.numeric import as_number, quoted
+from flowcairn.operators.neighbor_information import neighbor_information
 from flowcairn.operators.ordering import with_buckets
 from flowcairn.operators.quantiles import quantiles
 
@@ -50,17 +52,23 @@ def dynamic_k(features: int) -> int:
     return min(60, max(10, int(0.3 * features)))
 
 
-def rank_features(df: DataFrame, columns: list[str], label: str, bins: int = 10, mode: str = "exact") -> list[str]:
-    """Features by falling information about the label, ties in input order (an action)."""
-    scores = {r["feature"]: r["mutual_information"] for r in mutual_information(df, columns, label, bins, mode).collect()}
+def rank_features(
+    df: DataFrame, columns: list[str], label: str, bins: int = 10, mode: str = "exact", keys: list[str] | None = None
+) -> list[str]:
+    """Features by falling information about the label, ties in input order (an action).
+
+    With ``keys``, which identify a row, the estimate is the one by neighbours.
+    """
+    found = neighbor_information(df, columns, label, keys) if keys else mutual_information(df, columns, label, bins, mode)
+    scores = {r["feature"]: r["mutual_information"] for r in found.collect()}
     return sorted(columns, key=lambda c: (-scores.get(c, 0.0), columns.index(c)))
 
 
 def select_top_k(
-    df: DataFrame, columns: list[str], label: str, k: int, bins: int = 10, mode: str = "exact"
+    df: DataFrame, columns: list[str], label: str, k: int, bins: int = 10, mode: str = "exact", keys: list[str] | None = None
 ) -> list[str]:
     """The k features with most information about the label, in input order (an action)."""
     if k >= len(columns):
         return list(columns)
-    kept = set(rank_features(df, columns, label, bins, mode)[:k])
+    kept = set(rank_features(df, columns, label, bins, mode, keys)[:k])
     return [c for c in columns if c in kept]
