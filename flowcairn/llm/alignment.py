@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the same bytes, and how often their ids go together.
 
-1. A text falls into units at single spaces between visible characters. Both tokenizers end a token before
-   such a space, so a unit is encoded alone, once, while it stays in the worker's cache.
-2. Inside a unit a common token end near the middle is found by bisection and both halves are done the
-   same way; an interval without a common end is a group.
+1. A text falls into units at single spaces between visible characters, and before marks behind a letter.
+   Both tokenizers end a token there, so a unit is encoded once while it stays in the worker's cache.
+2. Between these shared cuts, a common token end near the middle is found by bisection and both halves are
+   done the same way; an interval without a common end is a group. Many units go through this at once.
 3. A slice of documents sends each pair of ids it links once, with the number of its documents. Sums over
    all slices and the highest sum of each first id come back to the slices that hold the pair.
 """
@@ -13,8 +13,6 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from bisect import bisect_left
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -29,35 +27,40 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 ID_BITS = 20  # of the second id in the code of a pair
 SLICE_CHARS = 3_000_000
 CHUNK_CHARS = 1_000_000  # of a text that is cut into units at once
-CACHE_BYTES = 120_000_000
+CACHE_BYTES = 150_000_000
+LARGE_GROUP = 4096  # links of a group beyond which only its distinct ids are paired
+MARKS = ".,;:!?"
+LAST_LATIN = "\u024f"
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def shared_cuts(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups (a from, a to, b from, b to) between neighbouring common ends of two ascending lists.
+def shared_cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Groups (a from, a to, b from, b to) between neighbouring common ends of two ascending arrays.
 
-    Both lists end at the same place. An interval is cut at the common end nearest to its middle end of
-    ``a``, each candidate looked up in ``b`` by bisection; an interval without one is a group.
+    Both end at the same place. An interval is cut at a common end near its middle end of ``a``: the middle
+    is looked up in ``b`` by bisection, then its neighbours, further and further out. Both halves are cut
+    the same way; an interval without a common end inside is a group. All intervals of a depth go together.
     """
-    groups, open_ = [], [(0, len(a), 0, len(b))]
-    while open_:
-        a0, a1, b0, b1 = open_.pop()
-        middle, cut = (a0 + a1 - 1) // 2, None
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            for step in range(a1 - a0):  # middle, then one to the left and one to the right of it, and so on
-                i = middle + (step + 1) // 2 * (1 if step % 2 else -1)
-                if not a0 <= i < a1 - 1:
-                    continue
-                j = bisect_left(b, a[i], b0, b1 - 1)
-                if j < b1 - 1 and b[j] == a[i]:
-                    cut = i, j
-                    break
-        if cut is None:
-            groups.append((a0, a1, b0, b1))
-        else:
-            open_.append((cut[0] + 1, a1, cut[1] + 1, b1))
-            open_.append((a0, cut[0] + 1, b0, cut[1] + 1))
-    return groups
+    groups, open_ = [], np.array([[0, len(a), 0, len(b)]], dtype=np.int64) if len(a) else np.zeros((0, 4), np.int64)
+    while len(open_):
+        leaf = (open_[:, 1] - open_[:, 0] <= 1) | (open_[:, 3] - open_[:, 2] <= 1)
+        groups.append(open_[leaf])
+        search, halves, step = open_[~leaf], [], 0
+        while len(search):
+            a0, a1, b0, b1 = search.T
+            i = (a0 + a1 - 1) // 2 + (step + 1) // 2 * (1 if step % 2 else -1)
+            inside = (a0 <= i) & (i < a1 - 1)
+            j = np.searchsorted(b, a[np.where(inside, i, 0)])
+            hit = inside & (b0 <= j) & (j < b1 - 1)
+            hit[hit] = b[j[hit]] == a[i[hit]]
+            halves += [np.stack([a0, i + 1, b0, j + 1], 1)[hit], np.stack([i + 1, a1, j + 1, b1], 1)[hit]]
+            step += 1
+            done = ~hit & (step > a1 - a0)
+            groups.append(search[done])
+            search = search[~hit & ~done]
+        open_ = np.concatenate(halves) if halves else np.zeros((0, 4), np.int64)
+    every = np.concatenate(groups) if groups else np.zeros((0, 4), np.int64)
+    return every[np.argsort(every[:, 0])]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -68,31 +71,12 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Unit:
-    """What a unit adds to its document; ``text`` is None where a tokenizer does not give back its bytes."""
+class Units:
+    """What units add to their documents, encoded once while the cache has room.
 
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "text", "pairs", "times")
-
-    def __init__(self, a, b, groups):
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.n_links = sum((a1 - a0) * (b1 - b0) for a0, a1, b0, b1 in groups)
-        self.text = ";".join(
-            ",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])) for a0, a1, b0, b1 in groups
-        )
-        linked: Counter = Counter()
-        for a0, a1, b0, b1 in groups:
-            if a1 - a0 == 1 and b1 - b0 == 1:
-                linked[a[a0] << ID_BITS | b[b0]] += 1
-            else:
-                others = Counter(b[b0:b1]).items()
-                for x, n in Counter(a[a0:a1]).items():
-                    for y, m in others:
-                        linked[x << ID_BITS | y] += n * m
-        self.pairs, self.times = array("q", linked.keys()), array("q", linked.values())
-
-
-class Aligner:
-    """Units of texts by two tokenizers, through a cache whose bytes are bounded."""
+    ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``texts`` and ``pairs`` with ``times`` are lists by unit number;
+    ``whole`` tells whether both tokenizers give a unit's bytes back. Unit 0 adds nothing.
+    """
 
     def __init__(self, first: str, second: str):
         import os
@@ -105,17 +89,28 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         letters = _byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in token)}
-        self.b_bytes = [
-            bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode("utf-8")
-            for i in range(self.b.get_piece_size())
-        ]
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode("utf-8") for i, x in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         # No piece goes on behind a space mark inside it, so a unit's pieces do not depend on its neighbours.
-        self.apart = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
-        self.cache: dict[str, Unit | None] = {}
+        self.apart = not any("▁" in x.lstrip("▁") for x in pieces)
+        joined = {x[i] for x in pieces for i in range(1, len(x)) if x[i] in MARKS and x[i - 1].isalpha()}
+        self.marks = "".join(m for m in MARKS if m not in joined) if self.apart else ""
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.tails: dict[str, int] = {"": 0}
+        self.n = [array("q", [0]) for _ in range(4)]
+        self.whole, self.texts = array("b", [1]), [""]
+        self.pairs, self.times, self.starts = array("q"), array("q"), array("q", [0, 0])
         self.held = 0
 
-    def units(self, text: str):
+    def split(self, text: str):
         """The text's units in parts of bounded size; a single space goes before each."""
         if not self.apart:
             yield [text]
@@ -127,53 +122,91 @@ class Aligner:
             yield UNIT.split(text[start:end])
             start = end + 1
 
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> Unit | None:
-        data = (" " + unit).encode("utf-8")
-        try:
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        except (KeyError, IndexError):
-            return None
-        if b"".join(x) != data or b"".join(y) != data:
-            return None
-        if len(a) == 1 or len(b) == 1:
-            return Unit(a, b, [(0, len(a), 0, len(b))])
-        ends = []
-        for tokens in (x, y):
-            at, own = 0, []
-            for token in tokens:
-                at += len(token)
-                own.append(at)
-            ends.append(own)
-        return Unit(a, b, shared_cuts(*ends))
-
-    def look_up(self, units: list[str]) -> list[Unit | None]:
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
-        missing = [u for u in units if u not in self.cache]
-        fresh: dict[str, Unit | None] = {}
-        size, at = 0, 0
-        while at < len(missing):
-            some = []
-            while at < len(missing) and size < 2_000_000:
-                some.append(missing[at])
-                size, at = size + len(missing[at]), at + 1
-            size = 0
-            coded = self.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False)
-            for unit, a, b in zip(some, coded, self.b.encode(some, num_threads=1)):
-                found = self._aligned(unit, a.ids, b)
-                # Long units are rare and hold much: they are used, not kept.
-                (self.cache if len(unit) <= 200 else fresh)[unit] = found
-                if len(unit) <= 200:
-                    self.held += 420 + 30 * len(unit)
-        return [self.cache[u] if u in self.cache else fresh[u] for u in units]
-
-
-def _aligner(first: str, second: str) -> Aligner:
+    def parts(self, unit: str) -> tuple[str, str]:
+        """A unit and the marks behind its last letter, where both tokenizers end a token between them."""
+        core = unit.rstrip(self.marks) if self.marks else unit
+        return (core, unit[len(core) :]) if core and len(core) < len(unit) and core[-1] <= LAST_LATIN and core[-1].isalpha() else (unit, "")
+
+    def learn(self, words: list[str], tails: list[str]) -> None:
+        some, size = [], 0
+        for word in words:
+            some.append(word)
+            size += len(word)
+            if size >= 20_000:
+                self._learn(some, self.words)
+                some, size = [], 0
+        if some:
+            self._learn(some, self.words)
+        for tail in tails:
+            self._learn([tail], self.tails, "a")
+
+    def _learn(self, units: list[str], into: dict[str, int], before: str = "") -> None:
+        """Encode units joined by spaces in one call each; one by one where bytes are not given back.
+
+        With ``before``, a letter and the one unit follow each other; the letter's own token is left out.
+        """
+        text = before + " ".join(units)
+        data = (" " + text).encode("utf-8")
+        a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, dtype=np.int64)
+        b = np.array(self.b.encode(text, num_threads=1), dtype=np.int64)
+        same = b"".join([self.a_bytes[i] for i in a.tolist()]) == data and b"".join([self.b_bytes[i] for i in b.tolist()]) == data
+        sizes = np.array([len(u.encode("utf-8")) for u in units]) + (0 if before else 1)
+        ends = np.cumsum(sizes) + (2 if before else 0)
+        if same:
+            a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+            if before:  # the first token of each is the letter
+                a, b, a_ends, b_ends = a[1:], b[1:], a_ends[1:], b_ends[1:]
+            a_to, b_to = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+            same = bool((a_to < len(a)).all() and (b_to < len(b)).all() and (a_ends[a_to] == ends).all() and (b_ends[b_to] == ends).all())
+        if not same:
+            if len(units) > 1:
+                for unit in units:
+                    self._learn([unit], into, before)
+                return
+            self._add(units, into, np.zeros((0, 4), np.int64), a, b, np.zeros(1, np.int64), False)
+            return
+        groups = shared_cuts(a_ends, b_ends)
+        self._add(units, into, groups, a, b, np.searchsorted(groups[:, 1], a_to + 1) + 1, True)
+
+    def _add(self, units, into, groups, a, b, upto, whole: bool) -> None:
+        """Units with their groups; ``upto`` is the number of groups up to the end of each unit."""
+        a0, a1, b0, b1 = groups.T
+        starts = np.concatenate([[0], upto[:-1]])
+        links = (a1 - a0) * (b1 - b0)
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], upto])])
+        for held, values in zip(self.n, (total(a1 - a0), total(b1 - b0), upto - starts, total(links))):
+            held.extend(values.tolist())
+        x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        texts = [",".join(x[i:j]) + "|" + ",".join(y[k:m]) for i, j, k, m in groups.tolist()]
+        self.texts += [";".join(texts[i:j]) for i, j in zip(starts.tolist(), upto.tolist())]
+        small = links <= LARGE_GROUP
+        n = links * small
+        group = np.repeat(np.arange(len(n)), n)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        width = (b1 - b0)[group]
+        pairs = a[a0[group] + place // np.maximum(width, 1)] << ID_BITS | b[b0[group] + place % np.maximum(width, 1)]
+        times, owner = np.ones(len(pairs), np.int64), np.searchsorted(upto, group, "right")
+        for g in np.flatnonzero(~small).tolist():  # distinct ids only
+            (p, n_p), (q, n_q) = (np.unique(v, return_counts=True) for v in (a[a0[g] : a1[g]], b[b0[g] : b1[g]]))
+            pairs = np.concatenate([pairs, (p[:, None] << ID_BITS | q).ravel()])
+            times = np.concatenate([times, (n_p[:, None] * n_q).ravel()])
+            owner = np.concatenate([owner, np.full(len(p) * len(q), np.searchsorted(upto, g, "right"))])
+        order = np.argsort(owner, kind="stable")
+        self.pairs.frombytes(pairs[order].tobytes())
+        self.times.frombytes(times[order].tobytes())
+        self.starts.extend((self.starts[-1] + np.cumsum(np.bincount(owner, minlength=len(units)))).tolist())
+        self.whole.extend([int(whole)] * len(units))
+        first = len(self.whole) - len(units)
+        for i, unit in enumerate(units):
+            into[unit] = first + i
+        self.held += 16 * len(pairs) + sum(map(len, texts)) + 260 * len(units) + sum(map(len, units))
+
+
+def _units(first: str, second: str) -> Units:
     state = worker_state("aligner")
-    if "aligner" not in state:
-        state["aligner"] = Aligner(first, second)
-    return state["aligner"]
+    if "units" not in state:
+        state["units"] = Units(first, second)
+    return state["units"]
 
 
 ROWS = "slice long, number int, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary, docs binary"
@@ -182,54 +215,78 @@ NO_TOKENS = (0, 0, 0, 0, "")
 
 
 class _Slice:
-    """Documents of a slice, gathered until it is large enough."""
+    """Documents of a slice, gathered until it is large enough. A long document is worked off part by part."""
+
+    def __init__(self, units: Units):
+        self.units, self.chars, self.rows, self.pairs, self.times = units, 0, [], [], []
+        self._next()
 
-    def __init__(self, aligner: Aligner):
-        self.aligner, self.chars, self.rows, self.pairs, self.times = aligner, 0, [], [], []
+    def _next(self) -> None:
+        self.surfaces: dict[str, int] = {}
+        self.segments: list[tuple[int, array]] = []
+        self.waiting = 0
 
     def add(self, doc_id, text: str | None) -> None:
-        digest, whole, counts, used = hashlib.sha256(), True, [0, 0, 0, 0], Counter()
-        first = True
-        for units in self.aligner.units(text or ""):
-            names = Counter(units)
-            found = dict(zip(names, self.aligner.look_up(list(names))))
-            if any(x is None for x in found.values()):
-                whole = False
-                break
-            digest.update((("" if first else ";") + ";".join([found[u].text for u in units])).encode("ascii"))
-            first = False
-            for unit, n in names.items():
-                x = found[unit]
-                for k, value in enumerate((x.n_a, x.n_b, x.n_groups, x.n_links)):
-                    counts[k] += n * value
-            used[id(units)] = 0
-            pairs = np.frombuffer(b"".join([found[u].pairs.tobytes() for u in names]), dtype=np.int64)
-            times = np.frombuffer(b"".join([found[u].times.tobytes() for u in names]), dtype=np.int64)
-            sizes = np.fromiter((len(found[u].pairs) for u in names), dtype=np.int64, count=len(names))
-            times = times * np.repeat(np.fromiter(names.values(), dtype=np.int64, count=len(names)), sizes)
-            self._keep(pairs, times, len(self.rows))
+        row = len(self.rows)
+        self.rows.append([doc_id, np.zeros(4, dtype=np.int64), None, True])
+        known = self.surfaces
+        for some in self.units.split(text or ""):
+            self.segments.append((row, array("i", [known.setdefault(u, len(known)) for u in some])))
+            self.waiting += sum(map(len, some))
+            if self.waiting > SLICE_CHARS:
+                self.work_off()
+                known = self.surfaces
         self.chars += len(text or "")
-        if not whole or first:
-            self._forget(len(self.rows))
-            self.rows.append((doc_id, *NO_TOKENS))
-        else:
-            self.rows.append((doc_id, *counts, digest.hexdigest()))
-
-    def _keep(self, pairs, times, row) -> None:
-        self.pairs.append((row, pairs))
-        self.times.append(times)
 
-    def _forget(self, row) -> None:
-        while self.pairs and self.pairs[-1][0] == row:
-            self.pairs.pop()
-            self.times.pop()
+    def work_off(self) -> None:
+        """Add what waits to the rows of its documents."""
+        units = self.units
+        if units.held > CACHE_BYTES:
+            units.clear()
+        parts = [units.parts(u) for u in self.surfaces]
+        units.learn([w for w in dict.fromkeys(w for w, _ in parts) if w not in units.words], [t for t in dict.fromkeys(t for _, t in parts) if t not in units.tails])
+        word = np.array([units.words[w] for w, _ in parts], dtype=np.int64)
+        tail = np.array([units.tails[t] for _, t in parts], dtype=np.int64)
+        texts = [units.texts[w] + ";" + units.texts[t] if t else units.texts[w] for w, t in zip(word.tolist(), tail.tolist())]
+        numbers = np.stack([np.frombuffer(x, dtype=np.int64) for x in units.n], axis=1) if parts else np.zeros((1, 4), np.int64)
+        whole = np.frombuffer(units.whole, dtype=np.int8)
+        of_surface, fine = numbers[word] + numbers[tail], (whole[word] & whole[tail]).astype(bool)
+        rows, surfaces = [], []
+        for row, segment in self.segments:
+            held = self.rows[row]
+            at = np.frombuffer(segment, dtype=np.int32)
+            if not len(at) or not held[3]:
+                continue
+            if not fine[at].all():
+                held[3] = False
+                continue
+            held[1] += of_surface[at].sum(axis=0)
+            start = ";" if held[2] else ""
+            held[2] = held[2] or hashlib.sha256()
+            held[2].update((start + ";".join([texts[i] for i in segment])).encode("ascii"))
+            rows.append(np.full(len(at), row, dtype=np.int64))
+            surfaces.append(at)
+        if rows:
+            key, n = np.unique(np.concatenate(rows) * len(parts) + np.concatenate(surfaces), return_counts=True)
+            row, surface = np.divmod(key, len(parts))
+            starts, pairs, times = (np.frombuffer(x, dtype=np.int64) for x in (units.starts, units.pairs, units.times))
+            for unit in (word[surface], tail[surface]):
+                sizes = starts[unit + 1] - starts[unit]
+                at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[unit], sizes)
+                self.pairs.append((np.repeat(row, sizes), pairs[at]))
+                self.times.append(times[at] * np.repeat(n, sizes))
+            del starts, pairs, times
+        del numbers, whole
+        self._next()
 
     def frames(self, slice_id: int):
         """A row for each document, with its pairs as places in the slice's list, and that list as a last row."""
+        self.work_off()
         n = len(self.rows)
-        row = np.repeat(np.array([r for r, _ in self.pairs], dtype=np.int64), [len(p) for _, p in self.pairs]) if self.pairs else np.zeros(0, dtype=np.int64)
-        pairs = np.concatenate([p for _, p in self.pairs]) if self.pairs else np.zeros(0, dtype=np.int64)
-        times = np.concatenate(self.times) if self.times else np.zeros(0, dtype=np.int64)
+        row, pairs, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([r for r, _ in self.pairs], [p for _, p in self.pairs], self.times))
+        good = np.array([bool(r[3] and r[2]) for r in self.rows], dtype=bool)
+        row, pairs, times = (x[good[row]] for x in (row, pairs, times))
+        records = [(r[0], *r[1].tolist(), r[2].hexdigest()) if ok else (r[0], *NO_TOKENS) for r, ok in zip(self.rows, good)]
         codes, place = np.unique(pairs, return_inverse=True)
         key = row * max(1, len(codes)) + place
         order = np.argsort(key, kind="stable")
@@ -242,7 +299,7 @@ class _Slice:
         place, times = place.astype("<u4"), times.astype("<u4" if not len(times) or times.max() < 1 << 32 else "<u8")
         width = b"4" if times.dtype.itemsize == 4 else b"8"
         for a in range(0, n, 2000):
-            some = self.rows[a : a + 2000]
+            some = records[a : a + 2000]
             spans = list(zip(cuts[a : a + 2000], cuts[a + 1 : a + 2001]))
             out = pd.DataFrame(some, columns=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
             out.insert(0, "slice", slice_id)
@@ -259,7 +316,7 @@ def _align(first: str, second: str, columns: list[str]):
         part, number, held = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                held = held or _Slice(_aligner(first, second))
+                held = held or _Slice(_units(first, second))
                 held.add(doc_id, text)
                 if held.chars >= SLICE_CHARS:
                     yield from (x[columns] for x in held.frames(part << 32 | number))

@@ -257,6 +257,6 @@ def test_cuts_of_random_ends():
         n = RANDOM.randrange(1, 60)
         a = sorted({*RANDOM.sample(range(1, n + 1), RANDOM.randrange(0, n)), n})
         b = sorted({*RANDOM.sample(range(1, n + 1), RANDOM.randrange(0, n)), n})
-        cuts, groups = sorted(set(a) & set(b)), alignment.shared_cuts(a, b)
+        cuts, groups = sorted(set(a) & set(b)), alignment.shared_cuts(np.array(a), np.array(b)).tolist()
         assert [a[x[1] - 1] for x in groups] == [b[x[3] - 1] for x in groups] == cuts
         assert all(x[1] == y[0] and x[3] == y[2] for x, y in zip(groups, groups[1:]))
