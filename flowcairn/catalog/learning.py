@@ -282,9 +282,13 @@ def knn_cv(spark, sf_dir):
     return _checked(_knn_cv(spark, sf_dir))
 
 
-def _multiclass_cv(spark, sf_dir):
+def _ten_labels(spark, sf_dir):
     df, features = wide_vectors(spark, sf_dir)
-    df = df.drop("label").join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label")), "vec_id")
+    return df.drop("label").join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label")), "vec_id"), features
+
+
+def _multiclass_cv(spark, sf_dir):
+    df, features = _ten_labels(spark, sf_dir)
     return evaluate.cross_validate(df, ["DT"], features, "label", ["vec_id"], 5, {"DT": {"max_depth": 8}})
 
 
@@ -294,6 +298,41 @@ def multiclass_cv(spark, sf_dir):
     return _checked(_multiclass_cv(spark, sf_dir))
 
 
+def _gbt_multiclass_cv(spark, sf_dir):
+    df, features = _ten_labels(spark, sf_dir)
+    return evaluate.cross_validate(df, ["GBT"], features, "label", ["vec_id"], 5, {"GBT": {"n_estimators": 100, "max_depth": 4}})
+
+
+@query("gbt_multiclass_cv", _folds_sql("GBT", "SELECT label FROM embeddings"))
+def gbt_multiclass_cv(spark, sf_dir):
+    """Five-fold softmax boosting over all ten classes of the embeddings."""
+    return _checked(_gbt_multiclass_cv(spark, sf_dir))
+
+
+@query(
+    "softmax_boosting",
+    f"""SELECT round, CASE WHEN round = 0 THEN {_R('entropy', 9)} END AS start_loss, true AS falls, true AS gradients_cancel, true AS beats_majority
+        FROM range(0, 101) r(round), (SELECT -sum(n / total * ln(n / total)) AS entropy FROM (
+          SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM embeddings GROUP BY label) c) e""",
+)
+def softmax_boosting(spark, sf_dir):
+    """Log loss of ten-class boosting round by round: it starts at the entropy of the classes and always falls.
+
+    In every round the gradients of a row over its classes cancel; at the end the training rows are told
+    apart better than by their largest class.
+    """
+    df, features = _ten_labels(spark, sf_dir)
+    model = train_model("GBT", df, features, params={"n_estimators": 100, "max_depth": 4}, classes=10).model
+    scored = model.score(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right"))
+    largest = df.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("share"))
+    rows = [(n, loss, loss < model.history[n - 1][1] if n else True, drift < 1e-9) for n, loss, drift in model.history]
+    history = spark.createDataFrame(rows, "round long, loss double, falls boolean, gradients_cancel boolean")
+    beats = scored.crossJoin(largest).select((F.col("right") > F.col("share")).alias("beats_majority"))  # one row each
+    return history.crossJoin(F.broadcast(beats)).select(
+        "round", F.when(F.col("round") == 0, rounded("loss", 9)).alias("start_loss"), "falls", "gradients_cancel", "beats_majority"
+    )
+
+
 CROSS_VALIDATIONS = {
     "lr_cv": _lr_cv, "tree_cv": _tree_cv, "rf_cv": _rf_cv, "gbt_cv": _gbt_cv, "mlp_cv": _mlp_cv, "knn_cv": _knn_cv, "multiclass_cv": _multiclass_cv,
 }

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowcairn.functions.numeric import quoted
+from flowcairn.operators.boosting import SoftmaxBoosting, fit_softmax_boosting
 from flowcairn.operators.neighbors import knn_classify, vector_of
 
 # Long names of the registry's short names.
@@ -116,6 +117,8 @@ class Trained:
         """Add ``prediction`` (int) and ``score``, the probability of class 1."""
         if isinstance(self.model, KnnState):
             return self.model.score(df, row_id)
+        if isinstance(self.model, SoftmaxBoosting):
+            return self.model.score(df)
         out = self.model.transform(_assemble(df, self.features))
         return out.withColumns(
             {"score": vector_to_array("_probability")[1], "prediction": F.col("_prediction").cast("int")}
@@ -166,6 +169,10 @@ def train_model(
             raise ValueError("k-NN needs a row id")
         rows = train.select(F.col(quoted(row_id)), F.col(quoted(label)).cast("int").alias(label), vector_of(features).alias("_vec"))
         model: Any = KnnState(rows, features, label, row_id, int(p.get("n_neighbors", 5)), p.get("weights", "uniform"))
+    elif key == "GBT" and classes > 2:  # MLlib's boosted trees take two classes
+        model = fit_softmax_boosting(
+            train, features, label, classes, int(p.get("n_estimators", 100)), p.get("max_depth") or 6, float(p.get("learning_rate", 0.3)), weight
+        )
     elif key in BUILDERS:
         common = {
             "featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction",
@@ -200,7 +207,9 @@ def train_all(
 def importances(trained: Trained, spark) -> DataFrame:
     """Native importances of trees, or coefficients of a linear model: (algo, feature, importance)."""
     model = trained.model
-    if hasattr(model, "featureImportances"):
+    if isinstance(model, SoftmaxBoosting):
+        values = model.importances
+    elif hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
     elif hasattr(model, "coefficients"):
         values = model.coefficients.toArray()
@@ -212,6 +221,6 @@ def importances(trained: Trained, spark) -> DataFrame:
 
 def is_native(trained: Trained) -> bool:
     """Whether a model explains itself by importances or coefficients."""
-    return hasattr(trained.model, "featureImportances") or hasattr(trained.model, "coefficients")
+    return isinstance(trained.model, SoftmaxBoosting) or hasattr(trained.model, "featureImportances") or hasattr(trained.model, "coefficients")
 
 
