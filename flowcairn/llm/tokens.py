@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from flowcairn.llm.shared import worker_state
 
@@ -66,19 +68,33 @@ class TextEncoder:
             self.cache[key] = known[core] + known[tail] if tail else known[word]
 
     def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
-        rows = []
-        for text in texts:
-            data = (text or "").encode("utf-8")
-            # Special tokens are matched before lower-casing.
-            rows.append(data.split() if b"<|" in data else data.lower().split())
+        if not texts:
+            return []
+        plain = pa.array(texts, pa.large_string()).fill_null("")
+        lowered = pc.ascii_lower(plain)
+        special = pc.match_substring(plain, "<|")
+        if pc.any(special).as_py():  # special tokens are matched before lower-casing
+            lowered = pc.if_else(special, plain, lowered)
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        missing = [w for w in set().union(*rows) if w not in cache]
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        missing = [w for w in words if w not in cache]
         for at in range(0, len(missing), 50_000):
             self._learn(missing[at : at + 50_000])
-        get = cache.__getitem__
-        return [b"".join(map(get, row)) + end for row in rows]
+        # Ids of the slice's distinct words in a row, then copied to the places where the words stand.
+        known = list(map(cache.__getitem__, words))
+        pool = np.frombuffer(b"".join(known), dtype="<u4")
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(upto[-1]) + np.repeat(starts[at] - upto[:-1], n)].tobytes()
+        cuts = (4 * upto[split.offsets.to_numpy()]).tolist()
+        return [ids[a:b] + end for a, b in zip(cuts, cuts[1:])]
 
 
 def encoder(path: str) -> TextEncoder:
