@@ -7,8 +7,11 @@
 3. Documents that agree in a pair of min-hashes meet the smallest documents of that band; those that
    link to one, checked on whole sets, form the first groups of similar documents.
    Documents near a large group ask its smallest members too, so that few parts of it are left.
+   Documents that link with nothing so far, but share a frequent code of their heads, form groups of
+   similar documents, cut into chunks.
 4. The token-group matrix has a row for every code in the union of a group's heads. Joining it with the
    heads counts how much of a document's head lies in each other group; the count bounds the overlap.
+   A qualifying chunk of similar documents is opened on heads alone: they bound it member by member.
 5. Only groups whose bound allows a link are opened: the union of their whole sets bounds the overlap
    once more, then members are compared one by one until one links.
 6. Links are contracted to components.
@@ -40,9 +43,12 @@ CHUNK = 64  # members of a group that are opened together
 TOGETHER = 16  # chunks that a task opens one after another
 QUERIES = 256  # documents that meet a chunk in one task
 SEMI_JOIN_ROWS = 2_000_000  # a list of ids up to this length is broadcast, a longer one is joined by shuffle
+COPIED_SETS = 200_000  # digests of sets held twice that are broadcast at most
 BANDS = 3
 LARGE = 32  # members of a group that documents near it ask before any other
 TAIL = 8  # codes of a head by which they find it
+SIMILAR = 32  # documents that share a code, and single ones of a group of similar documents
+SIMILAR_CHUNK = 256  # documents of such a group that are asked together
 LEADERS = 16  # documents of a band that the others are compared with first
 SEGMENT = 1 << 20
 
@@ -174,7 +180,7 @@ def _heads(shared, words: int, percent: int):
     def run(batches):
         common, docs = shared.value
         for batch in batches:
-            sizes, heads, lasts, mins, same = [], [], [], [], []
+            sizes, heads, lasts, mins, same, families = [], [], [], [], [], []
             for text in batch["text"]:
                 codes = shingle_set(text, words)
                 n = len(codes)
@@ -184,6 +190,7 @@ def _heads(shared, words: int, percent: int):
                     heads.append([])
                     lasts.append(0)
                     mins.append([])
+                    families.append(None)
                     continue
                 held = np.zeros(n, dtype=np.int64)
                 if len(common):
@@ -192,18 +199,23 @@ def _heads(shared, words: int, percent: int):
                     held = np.where(common[at] == short, docs[at], 0).astype(np.int64)
                 order = np.argsort(held, kind="stable")[: n - -(-percent * n // 100) + 1]
                 heads.append(codes[order].view(np.int64).tolist())
+                # The rarest of the codes that many hold: copies of one text agree in it whatever else they changed.
+                often = order[held[order] >= SIMILAR]
+                families.append(int(codes[often[0]].view(np.int64)) if len(often) else None)
                 lasts.append((int(held[order[-1]]) << 38) | (int(codes[order[-1]]) >> 26))
                 mins.append([int((codes * m).min()) - (1 << 63) for m in MINS])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "head": heads, "last": lasts, "mins": mins, "same": same})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "head": heads, "last": lasts, "mins": mins, "same": same, "family": pd.array(families, dtype="Int64")})
 
     return run
 
 
 def document_heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), head (codes), last (place of the last head code), mins, same (set digest)."""
+    """doc_id, n (set size), head (codes), last (place of the last head code), mins, same (set digest), family (a code)."""
     shared = docs.sparkSession.sparkContext.broadcast(common_codes(docs, words))  # at most MOST_COMMON pairs
-    schema = "doc_id long, n long, head array<long>, last long, mins array<long>, same binary"
-    return materialise(docs.select("doc_id", "text").mapInPandas(lean("powers", _heads(shared, words, percent)), schema), "heads")
+    schema = "doc_id long, n long, head array<long>, last long, mins array<long>, same binary, family long"
+    heads = materialise(docs.select("doc_id", "text").mapInPandas(lean("powers", _heads(shared, words, percent)), schema), "heads")
+    shared.destroy()
+    return heads
 
 
 def _short_list(ids: DataFrame) -> DataFrame:
@@ -333,37 +345,93 @@ def large_group_asks(heads: DataFrame, groups: DataFrame, percent: int = PERCENT
     return materialise(asks, "near-large"), members.select("unit", F.col("doc_id").alias("member"))
 
 
+def similar_groups(named: DataFrame) -> DataFrame:
+    """(doc_id, chunk): single documents that share a frequent code with enough others, in chunks of bounded size."""
+    single = named.where("unit IS NULL AND family IS NOT NULL").select("doc_id", "family")
+    sizes = single.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= SIMILAR)
+    sizes = materialise(sizes, "families")
+    listed = F.broadcast(sizes) if sizes.count() <= SEMI_JOIN_ROWS else sizes
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / SIMILAR_CHUNK))
+    return materialise(single.join(listed, "family").select("doc_id", F.xxhash64("family", part).alias("chunk")), "similar")
+
+
+def _open_heads(percent: int):
+    """(query, unit) for the documents of a chunk that two heads cannot rule out."""
+
+    def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        asked = dict(list(queries.groupby(["chunk", "salt"])))
+        for name, some in members.groupby(["chunk", "salt"]):
+            if name not in asked:
+                continue
+            owner = np.repeat(np.arange(len(some)), [len(h) for h in some["head"]])
+            codes = np.concatenate(some["head"].to_list())
+            order = np.argsort(codes, kind="stable")
+            codes, owner = codes[order], owner[order]
+            ids, n, last, taken = (some[c].to_numpy() for c in ("doc_id", "n", "last", "taken"))
+            for query, q_n, q_last, q_taken, head in asked[name][["doc_id", "n", "last", "taken", "head"]].itertuples(index=False):
+                a, b = np.searchsorted(codes, head), np.searchsorted(codes, head, "right")
+                size = b - a
+                at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+                met = np.bincount(owner[at], minlength=len(ids))
+                bound = np.full(len(ids), 1 << 62)
+                bound = np.where(last <= q_last, met + n - taken, bound)
+                bound = np.where(q_last <= last, np.minimum(bound, met + q_n - q_taken), bound)
+                fits = (bound >= least_overlap(q_n, n, percent)) & (100 * n >= percent * q_n) & (100 * q_n >= percent * n) & (ids != query) & (met > 0)
+                out += [(query, x) for x in ids[fits].tolist()]
+        return pd.DataFrame(out, columns=["query", "unit"], dtype="int64")
+
+    return run
+
+
+def open_similar(info: DataFrame, asks: DataFrame, percent: int) -> DataFrame:
+    """(query, unit): ``asks`` has (query, chunk), ``info`` doc_id, chunk, n, last, taken and head of every document."""
+    sized = materialise(asks.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts")), "chunks")
+    data = ["n", "last", "taken", "head"]
+    members = info.join(sized, "chunk").select("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "doc_id", *data)
+    asking = asks.join(sized, "chunk").select("chunk", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int").alias("salt"), F.col("query").alias("doc_id"))
+    asking = asking.join(info.select("doc_id", *data).toDF("doc_id", *data), "doc_id").select("chunk", "salt", "doc_id", *data)
+    bucket = F.pmod(F.xxhash64("chunk", "salt"), F.lit(1 << 16))
+    return members.groupBy(bucket).cogroup(asking.groupBy(bucket)).applyInPandas(_open_heads(percent), "query long, unit long")
+
+
 def matrix_asks(heads: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(query, unit) for every other group that the token-group matrix cannot rule out.
 
     A head is complete up to its last code, so of two heads the one that ends first shows every code that
     the sets share so far; what is beyond it bounds the rest. For a group of several documents the union
-    of heads takes the place of a head, and only a query whose head ends first is bounded.
+    of heads takes the place of a head, and only a query whose head ends first is bounded. A document meets
+    the chunk it is in as well: its members need not link with each other.
     """
     named = heads.join(groups, "doc_id", "left")
-    named = named.withColumn("unit", F.coalesce("unit", "doc_id"))
+    named = materialise(named.join(similar_groups(named), "doc_id", "left"), "named")
+    kind, own = F.col("chunk").isNotNull(), F.coalesce("chunk", "unit", "doc_id")
     # Sizes of documents that link lie in one class or two neighbouring ones: 1.26 is over 100 / 80.
     ratio = 1.008 * 100 / percent
     rows = named.select(
-        F.col("doc_id").alias("query"), F.nullif("unit", F.col("doc_id")).alias("group"), F.floor(F.log(F.col("n")) / float(np.log(ratio))).cast("byte").alias("class"),
-        F.explode("head").alias("code"),
+        F.col("doc_id").alias("query"), F.nullif(own, F.col("doc_id")).alias("group"), kind.alias("similar"),
+        F.floor(F.log(F.col("n")) / float(np.log(ratio))).cast("byte").alias("class"), F.explode("head").alias("code"),
     ).repartition("code")
-    matrix = rows.groupBy("code", F.coalesce("group", "query").alias("unit")).agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    probe = rows.select("query", F.coalesce("group", "query").alias("own"), "class", "code")
-    meet = probe.join(matrix, "code").where("own <> unit AND low <= class AND high >= class - 1")
-    met = materialise(meet.groupBy("query", "unit").agg(F.count(F.lit(1)).alias("met")), "met")
-    size = F.size("head").cast("long")
-    info = named.select("doc_id", "unit", "n", "last", size.alias("taken"))
-    about = info.groupBy("unit").agg(
+    unit = F.coalesce("group", "query")
+    matrix = rows.groupBy("code", "similar", unit.alias("unit")).agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    probe = rows.select("query", unit.alias("own"), F.col("similar").alias("own_similar"), "class", "code")
+    other = (F.col("own") != F.col("unit")) | F.col("similar") | F.col("own_similar")
+    meet = probe.join(matrix, "code").where(other & (F.col("low") <= F.col("class")) & (F.col("high") >= F.col("class") - 1))
+    met = materialise(meet.groupBy("query", "similar", "unit").agg(F.count(F.lit(1)).alias("met")), "met")
+    info = named.select("doc_id", kind.alias("similar"), own.alias("unit"), "n", "last", F.size("head").cast("long").alias("taken"))
+    about = info.groupBy("similar", "unit").agg(
         F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("last").alias("ends"), F.max("taken").alias("took")
     )
-    joined = met.join(about, "unit").join(info.select(F.col("doc_id").alias("query"), "n", "last", "taken"), "query")
+    joined = met.join(about, ["similar", "unit"]).join(info.select(F.col("doc_id").alias("query"), "n", "last", "taken"), "query")
     low = F.greatest("low", F.ceil(F.col("n") * percent / 100))
     need = F.ceil((F.col("n") + low) * percent / (100 + percent))
     bound = F.when(F.col("last") <= F.col("ends"), F.col("met") + F.col("n") - F.col("taken"))
     bound = bound.when(F.col("members") == 1, F.col("met") + F.col("high") - F.col("took")).otherwise(F.lit((1 << 62)))
     possible = (F.col("low") <= F.col("n") * 100 / percent) & (F.col("high") >= F.col("n") * percent / 100) & (bound >= need)
-    return joined.where(possible).select("query", "unit").distinct()
+    found = materialise(joined.where(possible).select("query", "similar", "unit").distinct(), "qualifying")
+    chunks = found.where("similar").select("query", F.col("unit").alias("chunk"))
+    known = named.select("doc_id", "chunk", "n", "last", F.size("head").cast("long").alias("taken"), "head")
+    return found.where("NOT similar").select("query", "unit").union(open_similar(known, chunks, percent)).distinct()
 
 
 def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -379,6 +447,8 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
     heads = document_heads(docs, words, percent)
     worded = heads.where("n > 0 AND doc_id IS NOT NULL")
     least = worded.groupBy("same").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").select("same", "b")
+    least = materialise(least, "least")
+    least = F.broadcast(least) if least.count() <= COPIED_SETS else least  # a set with many copies is not dealt to one task
     copies = materialise(worded.select("same", F.col("doc_id").alias("a")).join(least, "same").where("a <> b").select("a", "b").distinct(), "copies")
     single = worded.join(_short_list(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti")
     star, leaders = star_groups(single)

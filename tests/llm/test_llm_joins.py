@@ -53,7 +53,8 @@ def changed(words, n):
 
 
 def similar_documents():
-    """Copies, families whose members differ a little or a lot, passages in many documents, chains."""
+    """Copies, families whose members differ a little or a lot, passages in many documents, chains, and one
+    text whose many copies mostly differ too much from each other to link."""
     text = lambda n: [RANDOM.choice(VOCABULARY) for _ in range(n)]
     out = []
     common = [text(40) for _ in range(3)]
@@ -62,6 +63,8 @@ def similar_documents():
     base = text(120)
     out += [changed(base, RANDOM.randrange(6)) for _ in range(80)]
     out += [list(base)] * 15
+    far = text(120)
+    out += [changed(far, RANDOM.randrange(4, 9)) for _ in range(90)]
     chain = text(100)
     for _ in range(25):
         chain = changed(chain, 2)
@@ -76,7 +79,7 @@ def similar_documents():
     return docs + [(1, None), (2, ""), (3, " \n\t"), (None, docs[0][1]), (None, None), docs[1], (docs[2][0], "another text for an id that is there"), (4, "a\x0bb c D É")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"CHUNK": 3, "QUERIES": 2, "TOGETHER": 2, "COMMON": 2, "COUNT_DOCS": 20, "SEMI_JOIN_ROWS": 0, "SEGMENT": 50, "LEADERS": 2, "LARGE": 3, "TAIL": 2}])
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 3, "QUERIES": 2, "TOGETHER": 2, "COMMON": 2, "COUNT_DOCS": 20, "SEMI_JOIN_ROWS": 0, "SEGMENT": 50, "LEADERS": 2, "LARGE": 3, "TAIL": 2, "SIMILAR": 4, "SIMILAR_CHUNK": 3, "COPIED_SETS": 0}])
 def test_similarity_components(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(jaccard_groups, name, value)
@@ -95,7 +98,9 @@ def test_no_documents_have_no_components(spark):
     assert jaccard_groups.similarity_components(empty).count() == 0
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("local_links", [7, 500_000])
+def test_connected_components(spark, monkeypatch, local_links):
+    monkeypatch.setattr(components, "LOCAL_LINKS", local_links)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 100), (300, 300)] + [(1000, 1000 + i) for i in range(1, 50)]
     found = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {found[i] for i in range(1, 61)} == {1} and found[200] == 100 and 300 not in found and found[1049] == 1000
