@@ -1,7 +1,9 @@
 """Quantiles of many columns: exact with linear interpolation, or approximate from a sketch.
 
-Short tables take one aggregate. On longer ones no task ever holds a column: a sketch brackets every
-wanted rank, counting places the bracket exactly, and the bracket is narrowed until its distinct
+One aggregate counts all columns and sketches all wanted ranks. Short tables then take a second exact one.
+On longer ones no task ever holds a column: the sketch brackets every rank, and a second aggregate counts
+below each bracket and picks the value among the few inside. Where those would be too many for one
+aggregate, or the sketch misplaced a rank, the bracket is narrowed round by round until its distinct
 values are few. Each round shrinks a bracket about 2500-fold, so one or two rounds serve any table.
 """
 
@@ -20,6 +22,7 @@ SINGLE_PASS_ROWS = 50_000
 COLUMNS_PER_AGGREGATE = 200
 ACCURACY = 10_000  # rank error of the sketch: rows / ACCURACY
 BRACKET_ROWS = 200_000
+PICKED_VALUES = 2_000_000  # values inside all brackets that one aggregate may hold
 
 
 def quantiles(
@@ -45,15 +48,72 @@ def quantiles(
     )
     if mode == "approx":
         return _one_aggregate(values, columns, probs, "percentile_approx")
-    if values.select(F.count(F.lit(1))).first()[0] <= single_pass_rows:
-        return _one_aggregate(values, columns, probs, "percentile")
     out: dict[str, list[float | None]] = {}
     for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
         part = columns[start : start + COLUMNS_PER_AGGREGATE]
-        out.update(_by_narrowing(values.select(*[quoted(c) for c in part]), part, probs, bracket_rows))
+        some = values.select(*[quoted(c) for c in part])
+        n, rows, brackets = _sketched(some, part, probs)
+        if n <= single_pass_rows:
+            out.update(_one_aggregate(some, part, probs, "percentile"))
+            continue
+        found = _picked(some, brackets) if n * (6 / ACCURACY) * len(brackets) <= PICKED_VALUES and bracket_rows >= n * (6 / ACCURACY) else {}
+        out.update({c: [_interpolated(found.get((c, p)), rows[c], p) for p in probs] for c in part})
+        rest = [c for c in part if any(rows[c] and (c, p) not in found for p in probs)]
+        if rest:
+            out.update(_by_narrowing(some.select(*[quoted(c) for c in rest]), rest, probs, bracket_rows))
     return out
 
 
+def _sketched(df: DataFrame, columns: list[str], probs: list[float]):
+    """Row count, present values per column, and a bracket around the wanted ranks of each column and probability."""
+    shares = ", ".join(sql_literal(x) for p in probs for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)))
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        aggregates += [F.expr(f"count({quoted(c)}) AS n{i}"), F.expr(f"percentile_approx({quoted(c)}, array({shares}), {ACCURACY}) AS s{i}")]
+    row = df.agg(*aggregates).first()
+    rows = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    brackets = {}
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probs):
+            if rows[c]:
+                at = p * (rows[c] - 1)
+                brackets[c, p] = _Bracket(c, math.floor(at), math.ceil(at), row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1], 0, rows[c])
+    return row["n"], rows, brackets
+
+
+def _picked(df: DataFrame, brackets: dict) -> dict:
+    """The values at both ranks of every bracket that holds them, in one aggregate.
+
+    Values equal to a bound are only counted, so a frequent value is never gathered.
+    """
+    if not brackets:
+        return {}
+    held, picks = [], []
+    for i, b in enumerate(brackets.values()):
+        q, low, high = quoted(b.column), sql_literal(b.low), sql_literal(b.high)
+        held += [
+            F.expr(f"count_if({q} < {low}) AS u{i}"), F.expr(f"count_if({q} <= {low}) AS e{i}"), F.expr(f"count_if({q} <= {high}) AS o{i}"),
+            F.expr(f"array_sort(collect_list(CASE WHEN {q} > {low} AND {q} < {high} THEN {q} END)) AS v{i}"),
+        ]
+        for name, rank in (("a", b.first), ("b", b.last)):
+            inside = f"CASE WHEN {rank} < e{i} + size(v{i}) THEN try_element_at(v{i}, CAST({rank} - e{i} + 1 AS INT)) WHEN {rank} < o{i} THEN {high} END"
+            picks.append(F.expr(f"CASE WHEN {rank} < u{i} THEN NULL WHEN {rank} < e{i} THEN {low} ELSE {inside} END AS {name}{i}"))
+    row = df.agg(*held).select(*picks).first()
+    found = {}
+    for i, key in enumerate(brackets):
+        if row[f"a{i}"] is not None and row[f"b{i}"] is not None:
+            found[key] = (row[f"a{i}"], row[f"b{i}"])
+    return found
+
+
+def _interpolated(pair: tuple[float, float] | None, rows: int, p: float) -> float | None:
+    if pair is None:
+        return None
+    low, high = pair
+    part = p * (rows - 1) - math.floor(p * (rows - 1))
+    return low if low == high or part == 0 else low + (high - low) * part
+
+
 def _one_aggregate(df, columns, probs, function):
     out = {}
     shares = ", ".join(sql_literal(p) for p in probs)
@@ -119,14 +179,7 @@ def _by_narrowing(df, columns, probs, bracket_rows):
         for r in picked.collect():  # two numbers per bracket
             found[open_[r["no"]][0]] = (r["low"], r["high"])
 
-    def value(c: str, p: float) -> float | None:
-        if not rows[c]:
-            return None
-        low, high = found[c, p]
-        part = p * (rows[c] - 1) - math.floor(p * (rows[c] - 1))
-        return low if low == high or part == 0 else low + (high - low) * part
-
-    return {c: [value(c, p) for p in probs] for c in columns}
+    return {c: [_interpolated(found.get((c, p)), rows[c], p) for p in probs] for c in columns}
 
 
 def _narrow(df: DataFrame, wide: list[_Bracket]) -> None:
