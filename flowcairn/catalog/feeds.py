@@ -10,7 +10,7 @@ from flowcairn.functions.labels import attack_label, ddos_label, keep_binary_typ
 from flowcairn.functions.ratios import MULTI_FILE, RATIO_COLUMNS, SINGLE_FILE, with_flow_ratios
 from flowcairn.operators import stats
 from flowcairn.operators.categories import categorize, category_scores
-from flowcairn.operators.flows import assemble_flows, sessions
+from flowcairn.operators.flows import assemble_flows, sessions, split_sessions
 from flowcairn.operators.harmonize import fuse, harmonize, shared_values
 from flowcairn.operators.matching import column_profile, match_columns
 
@@ -218,3 +218,19 @@ def flow_sessions(spark, sf_dir):
     """Flows closed by two hours of silence."""
     out = sessions(_packets(spark, sf_dir), ["flow_id"], "ts", "2 hours", F.col("src_ip") == F.lit("a"))
     return out.select("flow_id", "start_time", "end_time", "packets")
+
+
+@query(
+    "flow_sessions_hot",
+    """WITH o AS (SELECT event_type, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 5 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens
+                  FROM events WINDOW w AS (ORDER BY ts)),
+            s AS (SELECT event_type, ts, sum(opens) OVER (ORDER BY ts) AS no FROM o)
+       SELECT min(ts) AS start_time, max(ts) AS end_time, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS duration, count(*) AS packets,
+              count(*) FILTER (WHERE event_type IN ('click', 'view')) AS forward_packets
+       FROM s GROUP BY no""",
+)
+def flow_sessions_hot(spark, sf_dir):
+    """All packets as one flow key, closed by five minutes of silence: no task sorts the key's packets."""
+    packets = _packets(spark, sf_dir).withColumn("flow_id", F.lit("all"))
+    out = split_sessions(packets, ["flow_id"], "ts", 300.0, F.col("src_ip") == F.lit("a"))
+    return out.select("start_time", "end_time", "duration", "packets", "forward_packets")
