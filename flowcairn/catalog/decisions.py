@@ -234,6 +234,24 @@ _DOMINATED = """EXISTS (SELECT 1 FROM m b WHERE b.f1_score >= a.f1_score AND b.t
   OR b.memory_used_mb < a.memory_used_mb))"""
 
 
+_TRADE_OFFS = """SELECT event_id, value AS gain, round(1000.0 / (1.0 + value)) + event_id % 7 AS speed, CAST(user_id % 50 AS DOUBLE) AS cost
+      FROM events WHERE value IS NOT NULL"""
+
+
+@query(
+    "pareto_front_wide",
+    f"""WITH t AS ({_TRADE_OFFS}) SELECT event_id, gain, speed, cost FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b
+        WHERE b.gain >= a.gain AND b.speed >= a.speed AND b.cost <= a.cost AND (b.gain > a.gain OR b.speed > a.speed OR b.cost < a.cost))""",
+)
+def pareto_front_wide(spark, sf_dir):
+    """Events not beaten on criteria that pull apart, by cells of a grid whatever the number of rows left."""
+    df = table(spark, sf_dir, "events").where("value IS NOT NULL").select(
+        "event_id", F.col("value").alias("gain"), (F.round(1000.0 / (1.0 + F.col("value"))) + F.col("event_id") % 7).alias("speed"),
+        (F.col("user_id") % 50).cast("double").alias("cost"),
+    )
+    return decide.pareto_front(df, ["gain", "speed"], ["cost"], broadcast_rows=0, slice_rows=2_000)
+
+
 @query(
     "pareto_front",
     f"WITH m AS ({_MODELS_SQL}) SELECT model_name, f1_score, training_time_seconds, memory_used_mb FROM m a WHERE NOT {_DOMINATED}",

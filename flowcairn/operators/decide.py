@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowcairn.functions.numeric import quoted
-from flowcairn.operators.ordering import global_rank
+from flowcairn.operators.ordering import bucket_edges, global_rank, with_buckets
 from flowcairn.operators.scores import with_extremes
 from flowcairn.session import cut_lineage
 
@@ -188,14 +188,39 @@ def _dominated(points: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
+def _window(points: np.ndarray, kept: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points that nothing seen so far dominates, and the strongest ``most`` rows to compare the next ones with."""
+    front = _front(points, np.empty((0, points.shape[1])))
+    if len(kept):
+        front = front[~_dominated(front, kept)]
+    both = np.unique(np.vstack([kept, front]), axis=0)
+    return front, both[np.argsort(-both.sum(axis=1), kind="stable")[:most]]
+
+
+def open_cells(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of a grid that no other one rules out, and the (cell, other) pairs whose rows must be compared.
+
+    A cell whose corner lies above another one's on every side beats all of its rows, so that cell is
+    discarded. Rows of the others can be beaten only from cells that are nowhere below.
+    """
+    alive = np.array([not (cells > c).all(axis=1).any() for c in cells], dtype=bool)
+    pairs = [(i, j) for i in np.flatnonzero(alive) for j in np.flatnonzero((cells >= cells[i]).all(axis=1) & alive)]
+    return alive, np.array(pairs, dtype=np.int64).reshape(-1, 2)
+
+
+MOST_CELLS = 4096
+
+
 def pareto_front(
     df: DataFrame, maximize: list[str], minimize: list[str], broadcast_rows: int = 50_000, slice_rows: int = 5_000
 ) -> DataFrame:
     """Rows that no other row beats on every criterion; rows with a missing criterion are left out.
 
-    Distinct criteria are reduced to a front per task, and only those survivors are compared. They are
-    broadcast while their count is under ``broadcast_rows``; more of them meet in slices of bounded
-    row count. Counting the survivors is an action.
+    Distinct criteria are first compared with the strongest rows of their task, a bounded number, and only
+    what is left goes on. It is broadcast while its count is under ``broadcast_rows``. More rows are dealt
+    to the cells of a grid along the quantiles of each criterion: cells that another cell beats as a whole
+    are discarded, and rows meet only rows of cells that can beat theirs, in slices of bounded row count.
+    Counting what is left is an action.
     """
     names = [*maximize, *minimize]
     signs = [1.0] * len(maximize) + [-1.0] * len(minimize)
@@ -208,8 +233,8 @@ def pareto_front(
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.empty((0, len(cols)))
         for batch in batches:
-            kept = _front(batch.to_numpy(dtype=float), kept)
-        yield pd.DataFrame(kept, columns=cols)
+            front, kept = _window(batch.to_numpy(dtype=float), kept, slice_rows)
+            yield pd.DataFrame(front, columns=cols)
 
     survivors = cut_lineage(valued.select(*cols).mapInPandas(local, schema).distinct())
     count = survivors.count()
@@ -223,17 +248,40 @@ def pareto_front(
 
         front = survivors.repartition(*cols).mapInPandas(check, schema)
     else:
-        slices = math.ceil(count / slice_rows)
-        token = F.pmod(F.xxhash64(*cols), F.lit(slices)).cast("int")
-        all_slices = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-        left = survivors.withColumn("_i", token).withColumn("_j", all_slices)
-        right = survivors.withColumn("_j", token).withColumn("_i", all_slices)
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return a[cols].iloc[:0]
-            return a[cols][_dominated(a[cols].to_numpy(dtype=float), b[cols].to_numpy(dtype=float))]
-
-        beaten = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(meet, schema)
-        front = survivors.join(beaten.distinct(), cols, "left_anti")
+        front = _front_by_cells(survivors, cols, schema, count, slice_rows)
     return valued.join(front, cols, "left_semi").select(*[quoted(c) for c in df.columns])
+
+
+def _front_by_cells(survivors: DataFrame, cols: list[str], schema, count: int, slice_rows: int) -> DataFrame:
+    side = max(2, min(int(MOST_CELLS ** (1 / len(cols))), 2 * math.ceil(count / slice_rows)))
+    edges = {c: e for c, e in bucket_edges(survivors, cols, side).items() if e}  # few numbers per criterion
+    placed = with_buckets(survivors, edges, "_cell") if edges else survivors
+    cell = F.array(*[F.col(c + "_cell") if c in edges else F.lit(0) for c in cols])
+    placed = placed.select(*cols, cell.alias("_cell"))
+    sizes = placed.groupBy("_cell").count().collect()  # at most MOST_CELLS or 2 ** criteria cells
+    cells = np.array([r["_cell"] for r in sizes]).reshape(-1, len(cols))
+    alive, pairs = open_cells(cells)
+    slices = [math.ceil(r["count"] / slice_rows) for r in sizes]
+    spark = survivors.sparkSession
+    named = spark.createDataFrame(
+        [(list(map(int, c)), i, n) for i, (c, n) in enumerate(zip(cells, slices)) if alive[i]], "_cell array<int>, _no int, _slices int"
+    )
+    rows = placed.join(F.broadcast(named), "_cell").withColumn("_slice", F.pmod(F.xxhash64(*cols), F.col("_slices")).cast("int"))
+    rows = rows.select(*cols, "_no", "_slice")
+    # A row of a cell goes to every slice of the cells that can beat it.
+    met = spark.createDataFrame([(int(i), int(j), slices[j], slices[i]) for i, j in pairs], "_no int, _other int, _theirs int, _ours int")
+    met = F.broadcast(met)  # pairs of cells
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["_i", "_a", "_j", "_b"]
+    left = rows.join(met, "_no").select(*cols, F.col("_no").alias("_i"), F.col("_slice").alias("_a"), F.col("_other").alias("_j"), every("_theirs").alias("_b"))
+    right = rows.toDF(*cols, "_other", "_slice").join(met, "_other").select(
+        *cols, F.col("_no").alias("_i"), every("_ours").alias("_a"), F.col("_other").alias("_j"), F.col("_slice").alias("_b")
+    )
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return a[cols].iloc[:0]
+        return a[cols][_dominated(a[cols].to_numpy(dtype=float), b[cols].to_numpy(dtype=float))]
+
+    beaten = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
+    return rows.select(*cols).join(beaten.distinct(), cols, "left_anti")
