@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowcairn.catalog.bindings import FEATURES, MULTI_FILE_SQL, SCORED_EVENTS_SQL, lineitem, multi_file_feed, scored_events
+from flowcairn.catalog.bindings import FEATURES, MULTI_FILE_SQL, SCORED_EVENTS_SQL, lineitem, multi_file_feed, scored_events, wide_vectors
 from flowcairn.catalog.registry import query, rounded, sql_round, table
 from flowcairn.functions.numeric import as_number
 from flowcairn.functions.ratios import MULTI_FILE, RATIO_COLUMNS, with_flow_ratios
@@ -118,6 +118,17 @@ def corr_pairs(spark, sf_dir):
     return stats.correlation(table(spark, sf_dir, "lineitem"), FEATURES).withColumn("corr", rounded("corr"))
 
 
+@query(
+    "gram_correlation",
+    f"""WITH v AS (SELECT vec_id, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+        SELECT 'x' || a.i AS x, 'x' || b.i AS y, {_R('corr(a.v, b.v)')} AS corr FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""",
+)
+def gram_correlation(spark, sf_dir):
+    """All 2,016 pairs of 64 columns in one pass."""
+    df, names = wide_vectors(spark, sf_dir)
+    return stats.gram_correlation(df, names).withColumn("corr", rounded("corr"))
+
+
 @query(
     "phase_timeline",
     f"""SELECT event_type AS phase, min(ts) AS start, max(ts) AS "end",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowcairn.functions.numeric import as_number, is_finite, quoted
 from flowcairn.operators.ordering import bucket_count, bucket_edges, running_sums, with_buckets
+from flowcairn.session import cut_lineage
 
 # A feature is compatible above this p-value, or below this relative mean difference.
 KS_P_VALUE = 0.05
@@ -179,6 +180,58 @@ def density_by_label(
     )
 
 
+CELLS_PER_BANDWIDTH = 10
+
+
+def binned_density_by_label(
+    df: DataFrame, column: str, label: str, points: int = 200, positive_only: bool = True, cells: int = CELLS_PER_BANDWIDTH
+) -> DataFrame:
+    """``density_by_label`` from counts instead of rows, off by at most about (1 / cells)² / 8 of the peak.
+
+    Every value is shared between the two nearest nodes of a fine grid, ``cells`` to the smallest
+    bandwidth, in one native aggregate; the kernel then meets nodes only. Labels of one row are left out.
+    """
+    value = F.col(quoted(column)).cast("double")
+    usable = is_finite(value) & (value > 0) if positive_only else is_finite(value)
+    rows = df.where(usable).select(F.col(quoted(label)).alias("label"), value.alias("value"))
+    fits = rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    spread = F.when(F.coalesce("sd", F.lit(0.0)) > 0, F.col("sd")).otherwise(F.lit(1.0))
+    eps = float(np.finfo(float).eps)
+    fits = cut_lineage(fits.withColumn("h", F.greatest(1.06 * spread * F.pow(F.col("n"), F.lit(-0.2)), F.lit(eps))))
+    whole = fits.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.when(F.col("n") > 1, F.col("h"))).alias("h")).first()
+    schema = f"label {dict(rows.dtypes)['label']}, grid_no int, grid_x double, density double"
+    if whole["h"] is None:
+        return df.sparkSession.createDataFrame([], schema)
+    low, step = whole["lo"], whole["h"] / cells
+    place = (F.col("value") - F.lit(low)) / F.lit(step)
+    node, part = F.floor(place), place - F.floor(place)
+    # Two sums per cell, then both ends of a cell become nodes: rows are aggregated before they are doubled.
+    sums = rows.select("label", node.alias("node"), part.alias("part")).groupBy("label", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("w"))
+    shares = F.explode(F.array(F.struct(F.col("node").alias("at"), (F.col("n") - F.col("w")).alias("w")), F.struct((F.col("node") + 1).alias("at"), F.col("w").alias("w"))))
+    nodes = sums.select("label", shares.alias("x")).groupBy("label", F.col("x.at").alias("at")).agg(F.sum("x.w").alias("w"))
+    named = nodes.withColumnRenamed("label", "node_label").join(
+        fits.where("n > 1").select("label", "n", "h"), F.col("node_label").eqNullSafe(F.col("label"))
+    ).select("label", "at", "w", "n", "h")
+    grid = np.linspace(low, whole["hi"], points)
+
+    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, some in batch.groupby("label", dropna=False):
+                n, h, total = some["n"].iloc[0], some["h"].iloc[0], np.zeros(points)
+                at, w = low + some["at"].to_numpy() * step, some["w"].to_numpy()
+                for start in range(0, len(at), 4096):
+                    z = (grid[:, None] - at[None, start : start + 4096]) / h
+                    total += (np.exp(-0.5 * z * z) * w[None, start : start + 4096]).sum(axis=1)
+                yield pd.DataFrame({
+                    "label": None if pd.isna(key) else key, "grid_no": np.arange(points), "grid_x": grid,
+                    "density": total / (math.sqrt(2 * math.pi) * n * h),
+                })
+
+    return named.mapInPandas(kernels, schema).groupBy("label", "grid_no", "grid_x").agg(F.sum("density").alias("density"))
+
+
 def range_check(df: DataFrame, columns: list[str], side: str) -> DataFrame:
     """Statistics per feature and feed, and whether both feeds lie in the unit or the robust range."""
     entry = F.array(*[F.struct(F.lit(c).alias("feature"), as_number(c, text=False).alias("value")) for c in columns])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,6 +142,74 @@ def ratio_validation(df: DataFrame, columns: list[str], by: list[str] | None = N
     return summary.select(*by, F.explode(F.array(*entry)).alias("e")).select(*by, "e.*")
 
 
+_GRAMS = ("n", "sums", "squares", "products")
+_MERGERS = 64
+
+
+def _shifted(grams: dict, by: np.ndarray) -> dict:
+    """Sums of values as if ``by`` had been added to each column beforehand; entry (i, j) is over rows with both."""
+    n, a, q, p = (grams[k] for k in _GRAMS)
+    i, j = by[:, None], by[None, :]
+    return {"n": n, "sums": a + n * i, "squares": q + 2 * a * i + n * i * i, "products": p + a * j + a.T * i + n * i * j}
+
+
+def gram_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of every column pair over the rows that have both, from blocked products.
+
+    Each task adds up products of its rows as matrices, shifted by its own first values; matrices are merged
+    in two steps. The plan has one column per feature, however many pairs there are. Infinities and NaN
+    count as missing; a pair without spread, or with less than two rows, has no correlation (NULL).
+    """
+    size = len(columns)
+    numbers = df.select(*[F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    schema = "part int, shift binary, " + ", ".join(f"{k} binary" for k in _GRAMS)
+
+    def packed(part: int, shift: np.ndarray, grams: dict) -> pd.DataFrame:
+        return pd.DataFrame([{"part": part, "shift": shift.tobytes(), **{k: grams[k].tobytes() for k in _GRAMS}}])
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shift, total = None, None
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.float64)
+            present = np.isfinite(x)
+            if shift is None:
+                at = present.argmax(axis=0)
+                shift = np.where(present.any(axis=0), np.nan_to_num(x[at, np.arange(size)], posinf=0, neginf=0), 0.0) if len(x) else np.zeros(size)
+                total = {k: np.zeros((size, size)) for k in _GRAMS}
+            v = present.astype(np.float64)
+            x = np.where(present, x - shift, 0.0)
+            for k, m in zip(_GRAMS, (v.T @ v, x.T @ v, (x * x).T @ v, x.T @ x)):
+                total[k] += m
+        if total is not None:
+            yield packed(TaskContext.get().partitionId() % _MERGERS, shift, total)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        shift, total = None, None
+        for row in rows.itertuples(index=False):
+            own = np.frombuffer(row.shift)
+            grams = {k: np.frombuffer(getattr(row, k)).reshape(size, size) for k in _GRAMS}
+            if shift is None:
+                shift, total = own, {k: np.zeros((size, size)) for k in _GRAMS}
+            grams = _shifted(grams, own - shift)
+            for k in _GRAMS:
+                total[k] += grams[k]
+        return packed(0, shift, total)
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        row = merge(rows).iloc[0]
+        n, a, q, p = (np.frombuffer(row[k]).reshape(size, size) for k in _GRAMS)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            var = np.where(n > 1, q - a * a / n, 0.0)
+            var[var <= 1e-14 * q] = 0.0
+            r = (p - a * a.T / n) / np.sqrt(var * var.T)
+        i, j = np.triu_indices(size, 1)
+        corr = pd.Series(np.clip(r[i, j], -1.0, 1.0)).where(np.isfinite(r[i, j])).astype(object)
+        return pd.DataFrame({"x": [columns[k] for k in i], "y": [columns[k] for k in j], "corr": corr.where(corr.notna(), None)})
+
+    merged = numbers.mapInPandas(block, schema).groupBy("part").applyInPandas(merge, schema)
+    return merged.groupBy().applyInPandas(pairs, "x string, y string, corr double")
+
+
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair, one row per pair, from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
