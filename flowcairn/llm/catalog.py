@@ -165,7 +165,7 @@ def temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_temporal_lists"] = r"""
 WITH h AS (
   SELECT page_id, url, DATE '2020-01-01' + (('0x' || substr(md5(url), 1, 6))::INT % 1461)::INT AS fetched,
-         regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '\.+$', '') AS host,
+         regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/:?#@\[\]]+)', 1)), '\.+$', '') AS host,
          [x FOR x IN string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/') IF x <> ''] AS parts,
          regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS part
   FROM pages),
@@ -184,7 +184,7 @@ entries AS (
 spans AS (SELECT list, effect, key, action, day AS since, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS until FROM entries),
 keys AS (
   SELECT DISTINCT url, fetched, unnest(CASE WHEN host = '' THEN [] ELSE list_concat(
-      CASE WHEN len(labels) <= 2 THEN [host] ELSE [array_to_string(labels[i:], '.') FOR i IN range(1, len(labels))] END,
+      CASE WHEN len(labels) <= 2 OR regexp_matches(host, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$') THEN [host] ELSE [array_to_string(labels[i:], '.') FOR i IN range(1, len(labels))] END,
       [host || '/' || array_to_string(parts[1:i], '/') FOR i IN range(1, len(parts) + 1)]) END) AS key
   FROM l WHERE url IS NOT NULL),
 met AS (

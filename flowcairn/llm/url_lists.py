@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)"
+# User info ends at the last @; an address in brackets keeps its colons.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/:?#@\[\]]+)"
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
@@ -25,11 +27,14 @@ def url_host(url: str = "url"):
 
 
 def url_keys(url: str = "url"):
-    """Domain suffixes of the host with two labels or more (or the host), then host and leading path parts."""
+    """Domain suffixes of the host with two labels or more (or the host), then host and leading path parts.
+
+    The parts of an address are no domains: it has itself only.
+    """
     host = url_host(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.when(n <= 2, F.array(host)).otherwise(
+    suffixes = F.when((n <= 2) | F.regexp_like(host, F.lit(ADDRESS)), F.array(host)).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
     )
     parts = F.filter(F.split(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), PATH, 1), "/"), lambda x: x != "")

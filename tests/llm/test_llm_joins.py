@@ -250,3 +250,17 @@ def test_pipeline_on_an_empty_table(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0
+
+
+def test_hosts_and_keys_of_odd_urls(spark):
+    urls = {
+        "http://[2001:db8::1]:80/a/b": ("[2001:db8::1]", ["[2001:db8::1]", "[2001:db8::1]/a", "[2001:db8::1]/a/b"]),
+        "http://user:p@ss@Ex.Co.uk./x?q=@y": ("ex.co.uk", ["ex.co.uk", "co.uk", "ex.co.uk/x"]),
+        "https://10.0.0.1:8080/a": ("10.0.0.1", ["10.0.0.1", "10.0.0.1/a"]),
+        "ftp://a.b.c.d.com": ("a.b.c.d.com", ["a.b.c.d.com", "b.c.d.com", "c.d.com", "d.com"]),
+        "http://localhost/": ("localhost", ["localhost"]),
+        "http://?x": ("", []), "mailto:me@ex.com": ("", []), "": ("", []),
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_lists.url_host().alias("host"), url_lists.url_keys().alias("keys"))
+    for r in rows.collect():
+        assert (r["host"], sorted(r["keys"])) == (urls[r["url"]][0], sorted(urls[r["url"]][1])), r["url"]
