@@ -161,6 +161,23 @@ def nearest_neighbors_by_cells(spark, sf_dir):
     return out.withColumn("distance", rounded("distance"))
 
 
+@query(
+    "knn_join_tree",
+    """WITH d AS (SELECT c_custkey AS query_id, o_orderkey AS neighbor_id,
+                         sqrt(pow(c_acctbal / 20.0 - o_totalprice / 1000.0, 2) + pow(c_custkey % 100 - o_custkey % 100, 2)) AS d FROM customer, orders),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM d)
+       SELECT query_id, neighbor_id, CAST(rank AS INT) AS rank, """
+    + f"{_R('d')} AS distance FROM r WHERE rank <= 3",
+)
+def nearest_orders(spark, sf_dir):
+    """The three orders nearest to each customer by money and group, among all orders, by a tree of balls."""
+    vector = lambda money, group: F.array(money, (F.col(group) % 100).cast("double")).alias("vec")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", vector(F.col("c_acctbal") / 20.0, "c_custkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", vector(F.col("o_totalprice") / 1000.0, "o_custkey"))
+    out = knn_join(customers, orders, 3, "c_custkey", "o_orderkey", "vec", broadcast_bytes=0, slice_rows=1_000)
+    return out.withColumn("distance", rounded("distance"))
+
+
 @query(
     "knn_classify",
     f"""SELECT vec_id, prediction, {_R('votes / 5.0')} AS vote_share FROM (

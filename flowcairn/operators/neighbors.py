@@ -1,10 +1,11 @@
 """Exact nearest neighbours between two tables, and the k-NN classifier built on them.
 
 If the reference vectors fit under a checked size they are broadcast and every query batch is matched
-with numpy. Beyond it both sides are cut into cells around pivots. A first pass searches the home cell
-of each query and yields a distance bound; a second pass visits only the cells which that bound cannot
-rule out. Cells are cut into slices of bounded row count on both sides, so a cell that holds most of
-the rows is worked on by many tasks, and each task returns k rows per query, never all pairs.
+with numpy. Beyond it both sides are cut into cells: the leaves of a tree of balls around pivots, about
+the square root of the rows of them. A first pass searches the home cell of each query and yields a
+distance bound; a second pass walks down the tree and leaves out every ball which the triangle inequality
+puts beyond that bound. Cells are cut into slices of bounded row count on both sides, so a cell that holds
+most of the rows is worked on by many tasks, and each task returns k rows per query, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from flowcairn.session import cut_lineage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SLICE_ROWS = 20_000
-PIVOTS = 64
+LEAST_PIVOTS, MOST_PIVOTS = 64, 4096  # leaves of the tree; between them about the square root of the rows
+BRANCHES = 16
 
 
 def vector_of(columns: list[str]) -> Column:
@@ -111,7 +113,7 @@ def knn_join(
     skip_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
     slice_rows: int = SLICE_ROWS,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """The k nearest references of every query: (query_id, neighbor_id, distance, rank, payload…).
 
@@ -152,6 +154,7 @@ def knn_join(
         tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         candidates = q.repartition(tasks, "query_id").mapInPandas(match, schema)
     else:
+        pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(size["n"])))
         candidates = _by_cells(q, r, k, skip_self, payload, schema, slice_rows, pivots)
     best = F.slice(
         F.array_sort(F.collect_list(F.struct("distance", "neighbor_id", *payload))), 1, k
@@ -164,48 +167,116 @@ def knn_join(
     )
 
 
+class PivotTree:
+    """Balls within balls: every node has a centre, inner nodes up to ``BRANCHES`` children, leaves are cells."""
+
+    def __init__(self, points: np.ndarray, branches: int = BRANCHES):
+        self.centers, self.children, self.leaf = [np.zeros(points.shape[1])], [[]], [-1]
+        self.leaves: list[list[int]] = []  # nodes on the way to each leaf, without the root
+        self._grow(0, points, branches, [])
+        self.centers = np.array(self.centers)
+        self.radius = np.full(len(self.leaf), np.inf)
+        self.starts = np.ones(len(self.leaf), dtype=bool)
+
+    def _grow(self, node: int, points: np.ndarray, branches: int, way: list[int]) -> None:
+        chosen = points[:branches]
+        at = ((points[:, None, :] - chosen[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        for i, center in enumerate(chosen):
+            child, part = len(self.leaf), points[at == i]
+            self.children[node].append(child)
+            self.centers.append(center)
+            self.children.append([])
+            self.leaf.append(-1)
+            if len(part) > 1:
+                self._grow(child, part, branches, [*way, child])
+            else:
+                self.leaf[child] = len(self.leaves)
+                self.leaves.append([*way, child])
+
+    def measure(self, counts: dict[int, int], gaps: dict[int, list[float]], enough: int) -> None:
+        """Set radii from each leaf's largest distances to the nodes on its way, and where a first search may start."""
+        self.radius[:], self.starts[:] = -np.inf, False
+        large = [c for c, n in counts.items() if n >= enough] or [max(counts, key=lambda c: (counts[c], -c))]
+        for cell, far in gaps.items():
+            for node, gap in zip(self.leaves[cell], far):
+                self.radius[node] = max(self.radius[node], gap)
+        for cell in large:
+            self.starts[self.leaves[cell]] = True
+
+    def _distances(self, v: np.ndarray, nodes: list[int]) -> np.ndarray:
+        return np.sqrt(((v[:, None, :] - self.centers[nodes][None, :, :]) ** 2).sum(axis=2))
+
+    def descend(self, v: np.ndarray, only_starts: bool = False) -> tuple[np.ndarray, list[list[float]]]:
+        """The leaf that each vector comes to by the nearest child at every node, and the distances on its way."""
+        at, gaps = np.zeros(len(v), dtype=np.int64), [[] for _ in range(len(v))]
+        open_ = np.arange(len(v))
+        while len(open_):
+            for node in np.unique(at[open_]).tolist():
+                rows = open_[at[open_] == node]
+                nodes = [c for c in self.children[node] if self.starts[c] or not only_starts]
+                d = self._distances(v[rows], nodes)
+                best = d.argmin(axis=1)
+                at[rows] = np.array(nodes)[best]
+                for row, gap in zip(rows.tolist(), d[np.arange(len(rows)), best].tolist()):
+                    gaps[row].append(gap)
+            open_ = open_[np.array(self.leaf)[at[open_]] < 0]
+        return np.array(self.leaf)[at], gaps
+
+    def visit(self, v: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every leaf that may hold something within the row's bound."""
+        rows, cells, leaf = [], [], np.array(self.leaf)
+        open_ = [(np.arange(len(v)), 0)]
+        while open_:
+            at, node = open_.pop()
+            nodes = self.children[node]
+            near = self._distances(v[at], nodes) - self.radius[nodes][None, :] <= bound[at, None] * (1 + 1e-9) + 1e-9
+            for i, child in enumerate(nodes):
+                some = at[near[:, i]]
+                if not len(some):
+                    continue
+                if leaf[child] >= 0:
+                    rows.append(some)
+                    cells.append(np.full(len(some), leaf[child]))
+                else:
+                    open_.append((some, child))
+        if not rows:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.concatenate(rows), np.concatenate(cells)
+
+
 def _by_cells(q, r, k, skip_self, payload, schema, slice_rows, pivots):
     context = q.sparkSession.sparkContext
     chosen = r.orderBy(F.xxhash64("neighbor_id"), "neighbor_id").limit(pivots).select("_vec").collect()
-    centers = np.unique(np.array([c["_vec"] for c in chosen], dtype=float), axis=0)
-    shared = context.broadcast(centers)
+    points = np.array([c["_vec"] for c in chosen], dtype=float)
+    _, first_of = np.unique(points, axis=0, return_index=True)
+    tree = PivotTree(points[np.sort(first_of)])
+    shared = context.broadcast(tree)  # at most MOST_PIVOTS vectors
 
     def home(batches):
         for batch in batches:
             if batch.empty:
                 continue
-            v = np.stack(batch["_vec"].to_numpy()).astype(float)
-            d = np.sqrt(((v[:, None, :] - shared.value[None, :, :]) ** 2).sum(axis=2))
-            cell = d.argmin(axis=1)
-            yield batch.assign(_cell=cell.astype("int32"), _gap=d[np.arange(len(v)), cell])
+            cell, gaps = shared.value.descend(np.stack(batch["_vec"].to_numpy()).astype(float))
+            yield batch.assign(_cell=cell.astype("int32"), _gap=gaps)
 
     def add(schema_of, *fields):
         return T.StructType([*schema_of.fields, *[T.StructField(*f) for f in fields]])
 
-    placed = cut_lineage(r.mapInPandas(home, add(r.schema, ("_cell", T.IntegerType()), ("_gap", T.DoubleType()))))
-    cells = {
-        c["_cell"]: (c["n"], c["radius"])
-        for c in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("radius")).collect()
-    }  # at most one row per pivot
-    enough = k + 1 if skip_self else k
-    known = sorted(cells)
-    counts = np.array([cells[c][0] for c in known])
-    radii = np.array([cells[c][1] for c in known])
+    placed = cut_lineage(r.mapInPandas(home, add(r.schema, ("_cell", T.IntegerType()), ("_gap", T.ArrayType(T.DoubleType())))))
+    depth = max(map(len, tree.leaves))
+    farthest = F.array(*[F.max(F.get("_gap", F.lit(i))) for i in range(depth)]).alias("far")
+    found = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), farthest).collect()  # at most one row per pivot
+    cells = {c["_cell"]: c["n"] for c in found}
     # The first pass starts in the nearest cell with enough rows, or in the largest one.
-    starts = [c for c in known if cells[c][0] >= enough] or [max(known, key=lambda c: cells[c][0])]
-    grid = context.broadcast((centers[known], radii, counts, known, [known.index(c) for c in starts]))
-
-    def gaps(v):
-        return np.sqrt(((v[:, None, :] - grid.value[0][None, :, :]) ** 2).sum(axis=2))
+    tree.measure(cells, {c["_cell"]: c["far"][: len(tree.leaves[c["_cell"]])] for c in found}, k + 1 if skip_self else k)
+    measured = context.broadcast(tree)
 
     def first_cell(batches):
         for batch in batches:
             if batch.empty:
                 continue
-            d = gaps(np.stack(batch["_vec"].to_numpy()).astype(float))
-            start = np.array(grid.value[4])
-            at = start[d[:, start].argmin(axis=1)]
-            yield batch.assign(_cell=np.array(grid.value[3], dtype="int32")[at])
+            cell, _ = measured.value.descend(np.stack(batch["_vec"].to_numpy()).astype(float), only_starts=True)
+            yield batch.assign(_cell=cell.astype("int32"))
 
     cell_field = ("_cell", T.IntegerType())
     first = q.mapInPandas(first_cell, add(q.schema, cell_field))
@@ -219,15 +290,12 @@ def _by_cells(q, r, k, skip_self, payload, schema, slice_rows, pivots):
         for batch in batches:
             if batch.empty:
                 continue
-            d = gaps(np.stack(batch["_vec"].to_numpy()).astype(float))
-            start = np.array(grid.value[4])
-            done = start[d[:, start].argmin(axis=1)]
+            v = np.stack(batch["_vec"].to_numpy()).astype(float)
+            done, _ = measured.value.descend(v, only_starts=True)
             bound = batch["_bound"].to_numpy(dtype=float)
-            bound = np.where(np.isnan(bound), np.inf, bound)
-            visit = d - grid.value[1][None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
-            visit[np.arange(len(d)), done] = False
-            row, cell = np.nonzero(visit)
-            yield batch.drop(columns="_bound").iloc[row].assign(_cell=np.array(grid.value[3], dtype="int32")[cell])
+            row, cell = measured.value.visit(v, np.where(np.isnan(bound), np.inf, bound))
+            new = cell != done[row]
+            yield batch.drop(columns="_bound").iloc[row[new]].assign(_cell=cell[new].astype("int32"))
 
     wider = (
         q.join(bounds, "query_id", "left")
@@ -242,13 +310,13 @@ def _slice_join(q, placed, k, skip_self, payload, schema, slice_rows, cells):
     q_counts = {c["_cell"]: c["count"] for c in q.groupBy("_cell").count().collect()}  # one per pivot
 
     def slices(counts):
-        wide = {c: max(1, math.ceil(n / slice_rows)) for c, n in counts.items()}
+        wide = {c: math.ceil(n / slice_rows) for c, n in counts.items() if n > slice_rows}
         pairs = [F.lit(x) for item in wide.items() for x in item]
         if not pairs:
             return F.lit(1)
         return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_cell")), F.lit(1))
 
-    r_slices = slices({c: n for c, (n, _) in cells.items()})
+    r_slices = slices(cells)
     q_slices = slices(q_counts)
     left = q.withColumn("_qs", F.pmod(F.xxhash64("query_id"), q_slices).cast("int")).withColumn(
         "_rs", F.explode(F.sequence(F.lit(0), r_slices - 1))
