@@ -58,19 +58,34 @@ def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+RUN = 128  # numbers added up one after another; a longer list is added up run by run
+
+
+def _with(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(numbers: str) -> str:
+    """Running sums of an array of numbers. A sum that appends to its own result copies it every time, so
+    only short runs are added up that way; what lies before a run is added afterwards."""
+    runs = f"transform(sequence(0, CAST((size(n_) - 1) DIV {RUN} AS INT)), r_ -> slice(n_, r_ * {RUN} + 1, {RUN}))"
+    add = "aggregate({0}, CAST({1} AS array<bigint>), (s_, v_) -> array_append(s_, coalesce(try_element_at(s_, -1), 0L) + {2}))"
+    inside = f"transform({runs}, x_ -> {add.format('x_', 'array()', 'v_')})"
+    before = add.format("w_", "array(0L)", "element_at(v_, -1)")
+    whole = f"flatten(zip_with(w_, slice({before}, 1, size(w_)), (x_, o_) -> transform(x_, v_ -> v_ + o_)))"
+    return _with(numbers, "n_", _with(inside, "w_", whole))
+
+
 def _matches(text: str, pattern: str, group: int = 0) -> str:
     """Spans of leftmost non-overlapping matches: positions from the lengths of matches and of what is between."""
     p = _literal(pattern)
     pieces, found = f"split({text}, {p}, -1)", f"regexp_extract_all({text}, {p}, 0)"
-    tokens = found if group == 0 else f"regexp_extract_all({text}, {p}, {group})"
-    state = f"struct<pos:bigint,out:{SPAN}>"
-    return f"""CASE WHEN {text} RLIKE {p} THEN aggregate(
-      zip_with(zip_with(slice({pieces}, 1, size({found})), {found}, (a, b) -> named_struct('gap', length(a), 'own', length(b))),
-               {tokens}, (a, t) -> named_struct('gap', a.gap, 'own', a.own, 'token', t)),
-      CAST(named_struct('pos', 0L, 'out', array()) AS {state}),
-      (s, x) -> CAST(named_struct('pos', s.pos + x.gap + x.own, 'out', array_append(s.out, named_struct(
-        'start', s.pos + x.gap, 'end', s.pos + x.gap + x.own, 'token', x.token))) AS {state}),
-      s -> s.out) ELSE CAST(array() AS {SPAN}) END"""
+    own, tokens = "transform(f_, x_ -> CAST(length(x_) AS BIGINT))", "f_" if group == 0 else f"regexp_extract_all({text}, {p}, {group})"
+    steps = f"zip_with(slice({pieces}, 1, size(f_)), f_, (a_, b_) -> CAST(length(a_) + length(b_) AS BIGINT))"
+    placed = f"zip_with({_running(steps)}, {own}, (e_, l_) -> named_struct('start', e_ - l_, 'end', e_))"
+    spans = f"zip_with({placed}, {tokens}, (x_, t_) -> named_struct('start', x_.start, 'end', x_.end, 'token', t_))"
+    return f"CASE WHEN {text} RLIKE {p} THEN {_with(found, 'f_', spans)} ELSE CAST(array() AS {SPAN}) END"
 
 
 def _parts(found: str) -> str:

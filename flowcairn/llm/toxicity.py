@@ -18,6 +18,7 @@ from flowcairn.llm.shared import lean, materialise, worker_state
 
 SIZES = (4, 5, 6, 7, 8)
 PER_CLASS = 4_000  # labelled documents of each class that the classifier is fitted on, at most
+SAMPLE_TASKS, COUNT_TASKS = 32, 8  # for the n-grams of the sample, at most 2 * PER_CLASS documents
 FEATURES = 16_384
 LEAST_DOCS = 3
 SMOOTHING = 1.0
@@ -167,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(1 << 20)
     chosen = known.where(drawn < (share[F.col("label")] if totals else F.lit(0.0)))  # about 2 * per_class rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
-    rows = materialise(rows.coalesce(32), "toxic-sample")
+    # The scan of all documents keeps its tasks; only the written sample, whose size is bounded, is read in few.
+    rows = materialise(rows, "toxic-sample").coalesce(SAMPLE_TASKS)
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float("-inf"), sum(sizes.values()))
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     cross = p * (n_q - q) - q * (n_p - p)
     chi = cross * cross * (n_p + n_q) / F.greatest((p + q) * (n_p + n_q - p - q) * n_p * n_q, F.lit(1.0))
     ratio = F.log((p + SMOOTHING) / (n_p + 2 * SMOOTHING)) - F.log((q + SMOOTHING) / (n_q + 2 * SMOOTHING))
-    best = counts.select("code", ratio.alias("ratio"), chi.alias("chi")).coalesce(8).orderBy(F.desc("chi"), "code").limit(features).toPandas()
+    best = counts.select("code", ratio.alias("ratio"), chi.alias("chi")).coalesce(COUNT_TASKS).orderBy(F.desc("chi"), "code").limit(features).toPandas()
     codes = best["code"].to_numpy(dtype=np.int64).view(np.uint64)
     by_code = np.argsort(codes)
     codes, ratios = codes[by_code], best["ratio"].to_numpy(dtype=np.float64)[by_code]

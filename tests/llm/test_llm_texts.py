@@ -267,3 +267,17 @@ def test_main_text_without_head_end():
     assert tag_paths.content_blocks(f"<head><title>T</title><p>{LONG}") == [LONG.strip()]
     assert tag_paths.content_blocks(f"<head><title>T</title>\n{LONG}") == [LONG.strip()]
     assert tag_paths.content_blocks("<head><title>T</title></head><body></body>") == []
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions of many matches take time in proportion: runs of sums, not one growing list."""
+    import time
+
+    n = 16_000
+    text = "".join(f"é token={'x' * 8}{i:06d};" for i in range(n))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    spans = rows.select(F.expr(f"size({secret_scan._matches('text', secret_scan.ASSIGN, 2)})"), F.expr(secret_scan._matches("text", secret_scan.ASSIGN, 2)).alias("s")).first()
+    assert spans[0] == n and time.perf_counter() - start < 8
+    size = len(text) // n
+    assert [(x["start"], x["end"]) for x in spans["s"]] == [(i * size + 2, (i + 1) * size - 1) for i in range(n)]
