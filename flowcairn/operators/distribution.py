@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowcairn.functions.numeric import as_number, is_finite, quoted
-from flowcairn.operators.ordering import bucket_count, bucket_edges, running_sums, with_buckets
+from flowcairn.operators.ordering import bucket_count, bucket_edges, with_buckets
 from flowcairn.session import cut_lineage
 
 # A feature is compatible above this p-value, or below this relative mean difference.
@@ -33,10 +34,10 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-def _side_counts(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    """(feature, bucket, value) with the row count of each side; hot values collapse map-side."""
-    second = F.when(F.col(quoted(side)).cast("int") == 1, 1).otherwise(0)
-    values = df.select(second.alias("_side"), *[as_number(c, text=False).alias(c) for c in columns])
+def _side_values(df: DataFrame, columns: list[str], side: str) -> DataFrame:
+    """(feature, bucket, value, second): a row per present value, buckets in the order of values."""
+    second = F.col(quoted(side)).cast("int") == 1
+    values = df.select(F.coalesce(second, F.lit(False)).alias("_second"), *[as_number(c, text=False).alias(c) for c in columns])
     bucketed = with_buckets(values, bucket_edges(values, columns, bucket_count(df)))
     entry = F.array(
         *[
@@ -48,28 +49,47 @@ def _side_counts(df: DataFrame, columns: list[str], side: str) -> DataFrame:
             for c in columns
         ]
     )
-    return (
-        bucketed.select("_side", F.explode(entry).alias("e"))
-        .select("_side", "e.*")
-        .where(F.col("value").isNotNull())
-        .groupBy("feature", "bucket", "value")
-        .agg(F.count_if(F.col("_side") == 0).alias("n0"), F.count_if(F.col("_side") == 1).alias("n1"))
-    )
+    return bucketed.select("_second", F.explode(entry).alias("e")).select("_second", "e.*").where(F.col("value").isNotNull())
+
+
+def ks_bounds(counts: DataFrame) -> DataFrame:
+    """Per bucket the counts of both sides before it, the gap at its end, and the largest gap it can hold inside.
+
+    ``counts`` has feature, bucket, n0 and n1: few rows per feature. Inside a bucket both shares lie
+    between what they are before and behind it.
+    """
+    upto = W.partitionBy("feature").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy("feature")
+    placed = counts.select(
+        "feature", "bucket", F.sum("n0").over(whole).alias("n"), F.sum("n1").over(whole).alias("m"),
+        (F.sum("n0").over(upto) - F.col("n0")).alias("before0"), (F.sum("n1").over(upto) - F.col("n1")).alias("before1"), "n0", "n1",
+    ).where("n > 0 AND m > 0")
+    low0, low1 = F.col("before0") / F.col("n"), F.col("before1") / F.col("m")
+    high0, high1 = (F.col("before0") + F.col("n0")) / F.col("n"), (F.col("before1") + F.col("n1")) / F.col("m")
+    return placed.withColumns({"end_gap": F.abs(high0 - high1), "most": F.greatest(F.abs(high0 - low1), F.abs(low0 - high1))})
 
 
 def ks_two_sample(df: DataFrame, columns: list[str], side: str) -> DataFrame:
     """Per feature: sample sizes, statistic D and p-value between the rows with side 0 and side 1.
 
-    One job aggregates the bucket edges; the rest is lazy.
+    Counts of buckets bound D from both sides; only buckets that can hold a larger gap than the largest at
+    a bucket's end are counted value by value. Bucket edges and bucket counts are two jobs, the rest is lazy.
     """
-    per_value = _side_counts(df, columns, side)
-    totals = per_value.groupBy("feature").agg(F.sum("n0").alias("n"), F.sum("n1").alias("m"))
-    cumulative = running_sums(per_value, ["feature"], "bucket", "value", {"c0": "n0", "c1": "n1"})
-    gap = F.abs(F.col("c0") / F.col("n") - F.col("c1") / F.col("m"))
+    rows = _side_values(df, columns, side)
+    sides = [F.count_if(~F.col("_second")).alias("n0"), F.count_if("_second").alias("n1")]
+    bounds = ks_bounds(cut_lineage(rows.groupBy("feature", "bucket").agg(*sides)))
+    found = bounds.withColumn("known", F.max("end_gap").over(W.partitionBy("feature")))
+    open_ = found.where("most > known").select("feature", "bucket", "n", "m", "before0", "before1")
+    per_value = rows.join(F.broadcast(open_), ["feature", "bucket"]).groupBy("feature", "bucket", "value", "n", "m", "before0", "before1").agg(*sides)
+    inside = W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    gap = F.abs(
+        (F.col("before0") + F.sum("n0").over(inside)) / F.col("n") - (F.col("before1") + F.sum("n1").over(inside)) / F.col("m")
+    )
+    refined = per_value.select("feature", gap.alias("gap")).groupBy("feature").agg(F.max("gap").alias("inner"))
+    known = found.groupBy("feature").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("known").alias("known"))
     return (
-        cumulative.join(totals.where((F.col("n") > 0) & (F.col("m") > 0)), "feature")
-        .groupBy("feature")
-        .agg(F.first("n").alias("n"), F.first("m").alias("m"), F.max(gap).alias("ks_statistic"))
+        known.join(refined, "feature", "left")
+        .select("feature", "n", "m", F.greatest("known", F.coalesce("inner", F.lit(0.0))).alias("ks_statistic"))
         .withColumn("ks_pvalue", ks_p_value(F.col("ks_statistic"), F.col("n"), F.col("m")))
     )
 

@@ -75,3 +75,20 @@ def test_cells_meet_far_less_than_all_pairs():
     sizes = np.bincount(at.ravel())
     assert sum(sizes[i] * sizes[j] for i, j in pairs) < 0.1 * len(points) ** 2
     assert all(alive[i] and alive[j] for i, j in pairs)
+
+
+def test_statistic_from_few_buckets(spark):
+    """D equals the plain one; most rows lie in buckets whose bounds rule them out."""
+    rows = [(RANDOM.gauss(0, 1) if i % 2 else RANDOM.gauss(0.8, 1), RANDOM.choice([0.0, 0.0, 1.0, 2.5]), i % 2) for i in range(4000)] + [(None, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, side int")
+    got = {r["feature"]: r for r in distribution.ks_two_sample(df, ["a", "b"], "side").collect()}
+    for k, name in enumerate("ab"):
+        x, y = (np.sort([r[k] for r in rows if r[k] is not None and (r[2] == 1) == second]) for second in (False, True))
+        every = np.concatenate([x, y])
+        d = np.abs(np.searchsorted(x, every, "right") / len(x) - np.searchsorted(y, every, "right") / len(y)).max()
+        assert got[name]["ks_statistic"] == pytest.approx(d, abs=1e-12) and (got[name]["n"], got[name]["m"]) == (len(x), len(y))
+    values = distribution._side_values(df, ["a"], "side")
+    counts = values.selectExpr("feature", "bucket", "IF(_second, 0, 1) AS n0", "IF(_second, 1, 0) AS n1").groupBy("feature", "bucket").sum("n0", "n1").toDF("feature", "bucket", "n0", "n1")
+    bounds = distribution.ks_bounds(counts).toPandas()
+    held = bounds["n0"] + bounds["n1"]
+    assert held[bounds["most"] > bounds["end_gap"].max()].sum() < 0.5 * held.sum()
