@@ -47,7 +47,8 @@ COPIED_SETS = 200_000  # digests of sets held twice that are broadcast at most
 BANDS = 3
 LARGE = 32  # members of a group that documents near it ask before any other
 TAIL = 8  # codes of a head by which they find it
-SIMILAR = 32  # documents that share a code, and single ones of a group of similar documents
+SIMILAR = 32  # documents that hold a code by which similar ones are grouped
+SIMILAR_SINGLES = 8  # of them that link with nothing
 SIMILAR_CHUNK = 256  # documents of such a group that are asked together
 LEADERS = 16  # documents of a band that the others are compared with first
 SEGMENT = 1 << 20
@@ -190,7 +191,7 @@ def _heads(shared, words: int, percent: int):
                     heads.append([])
                     lasts.append(0)
                     mins.append([])
-                    families.append(None)
+                    families.append([])
                     continue
                 held = np.zeros(n, dtype=np.int64)
                 if len(common):
@@ -199,20 +200,18 @@ def _heads(shared, words: int, percent: int):
                     held = np.where(common[at] == short, docs[at], 0).astype(np.int64)
                 order = np.argsort(held, kind="stable")[: n - -(-percent * n // 100) + 1]
                 heads.append(codes[order].view(np.int64).tolist())
-                # The rarest of the codes that many hold: copies of one text agree in it whatever else they changed.
-                often = order[held[order] >= SIMILAR]
-                families.append(int(codes[often[0]].view(np.int64)) if len(often) else None)
+                families.append(codes[order[held[order] >= SIMILAR]].view(np.int64).tolist())
                 lasts.append((int(held[order[-1]]) << 38) | (int(codes[order[-1]]) >> 26))
                 mins.append([int((codes * m).min()) - (1 << 63) for m in MINS])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "head": heads, "last": lasts, "mins": mins, "same": same, "family": pd.array(families, dtype="Int64")})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "head": heads, "last": lasts, "mins": mins, "same": same, "often": families})
 
     return run
 
 
 def document_heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), head (codes), last (place of the last head code), mins, same (set digest), family (a code)."""
+    """doc_id, n (set size), head (codes), last (place of the last head code), mins, same (set digest), often (head codes that many hold)."""
     shared = docs.sparkSession.sparkContext.broadcast(common_codes(docs, words))  # at most MOST_COMMON pairs
-    schema = "doc_id long, n long, head array<long>, last long, mins array<long>, same binary, family long"
+    schema = "doc_id long, n long, head array<long>, last long, mins array<long>, same binary, often array<long>"
     heads = materialise(docs.select("doc_id", "text").mapInPandas(lean("powers", _heads(shared, words, percent)), schema), "heads")
     shared.destroy()
     return heads
@@ -346,13 +345,19 @@ def large_group_asks(heads: DataFrame, groups: DataFrame, percent: int = PERCENT
 
 
 def similar_groups(named: DataFrame) -> DataFrame:
-    """(doc_id, chunk): single documents that share a frequent code with enough others, in chunks of bounded size."""
-    single = named.where("unit IS NULL AND family IS NOT NULL").select("doc_id", "family")
-    sizes = single.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= SIMILAR)
-    sizes = materialise(sizes, "families")
+    """(doc_id, chunk): single documents that share a frequent code with enough others, in chunks of bounded size.
+
+    Each goes with the code of its head that most other single documents hold, so that the copies of one
+    text, whatever they changed, fall into few groups.
+    """
+    single = named.where("unit IS NULL").select("doc_id", F.explode("often").alias("family"))
+    held = single.groupBy("family").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= SIMILAR_SINGLES)
+    picked = single.join(held, "family").groupBy("doc_id").agg(F.max(F.struct("held", "family")).alias("best"))
+    picked = materialise(picked.select("doc_id", F.col("best.family").alias("family")), "families")
+    sizes = materialise(picked.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family-sizes")
     listed = F.broadcast(sizes) if sizes.count() <= SEMI_JOIN_ROWS else sizes
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / SIMILAR_CHUNK))
-    return materialise(single.join(listed, "family").select("doc_id", F.xxhash64("family", part).alias("chunk")), "similar")
+    return materialise(picked.join(listed, "family").select("doc_id", F.xxhash64("family", part).alias("chunk")), "similar")
 
 
 def _open_heads(percent: int):

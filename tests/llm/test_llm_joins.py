@@ -79,7 +79,7 @@ def similar_documents():
     return docs + [(1, None), (2, ""), (3, " \n\t"), (None, docs[0][1]), (None, None), docs[1], (docs[2][0], "another text for an id that is there"), (4, "a\x0bb c D É")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"CHUNK": 3, "QUERIES": 2, "TOGETHER": 2, "COMMON": 2, "COUNT_DOCS": 20, "SEMI_JOIN_ROWS": 0, "SEGMENT": 50, "LEADERS": 2, "LARGE": 3, "TAIL": 2, "SIMILAR": 4, "SIMILAR_CHUNK": 3, "COPIED_SETS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 3, "QUERIES": 2, "TOGETHER": 2, "COMMON": 2, "COUNT_DOCS": 20, "SEMI_JOIN_ROWS": 0, "SEGMENT": 50, "LEADERS": 2, "LARGE": 3, "TAIL": 2, "SIMILAR": 4, "SIMILAR_SINGLES": 2, "SIMILAR_CHUNK": 3, "COPIED_SETS": 0}])
 def test_similarity_components(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(jaccard_groups, name, value)
