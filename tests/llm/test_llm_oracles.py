@@ -22,5 +22,5 @@ def test_all_numbers_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert [n for k in range(1, 11) for n in [[x for x in names if x.startswith(f"op{k}_")]] if len(n) != 1] == []
+    assert [n for k in range(1, 14) for n in [[x for x in names if x.startswith(f"op{k}_")]] if len(n) != 1] == []
     assert "pipeline" in names

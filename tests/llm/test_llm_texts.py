@@ -281,3 +281,57 @@ def test_many_matches_in_one_text(spark):
     assert spans[0] == n and time.perf_counter() - start < 8
     size = len(text) // n
     assert [(x["start"], x["end"]) for x in spans["s"]] == [(i * size + 2, (i + 1) * size - 1) for i in range(n)]
+
+
+def plain_ngrams(text):
+    """All n-grams of a text in order, by size."""
+    line = " ".join("".join(c if ord(c) > 127 or c.isalnum() else " " for c in text.lower()).split(" ")).strip(" ")
+    while "  " in line:
+        line = line.replace("  ", " ")
+    line = f" {line} " if line else " "
+    return {n: [line[i : i + n] for i in range(len(line) - n + 1)] for n in toxicity.SIZES}
+
+
+def test_toxicity_equals_a_plain_version(spark, sf_dir):
+    """Counts, chosen n-grams and scores by dictionaries of strings."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, features=500)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    code_of, grams = {}, {}
+    for i, text in texts.items():
+        own = set()
+        for n, some in plain_ngrams(text).items():
+            codes = toxicity.ngram_codes(text, sizes=(n,)).tolist()
+            assert len(codes) == len(some)
+            for gram, code in zip(some, codes):
+                assert code_of.setdefault(gram, code) == code
+            own |= set(some)
+        grams[i] = own
+    assert len(set(code_of.values())) == len(code_of)
+    import zlib
+
+    known = {}
+    for r in labels.where("toxic IS NOT NULL").collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in texts:
+            known[r["doc_id"]] = max(known.get(r["doc_id"], 0), r["toxic"])
+    p, q = {}, {}
+    for i, toxic in known.items():
+        held = p if toxic else q
+        for gram in grams[i]:
+            held[gram] = held.get(gram, 0) + 1
+    n_p, n_q = sum(known.values()), len(known) - sum(known.values())
+    assert model.rows == n_p + n_q
+    chi = {}
+    for gram in {*p, *q}:
+        a, b = p.get(gram, 0), q.get(gram, 0)
+        if a + b >= toxicity.LEAST_DOCS:
+            cross = a * (n_q - b) - b * (n_p - a)
+            chi[code_of[gram]] = cross * cross * (n_p + n_q) / max((a + b) * (n_p + n_q - a - b) * n_p * n_q, 1)
+    last = sorted(chi.values(), reverse=True)[499]
+    chosen = set(model.codes.tolist())
+    assert len(chosen) == 500 and all((c in chosen) == (v > last) for c, v in chi.items() if abs(v - last) > 1e-9 * last)
+    weight = dict(zip(model.codes.tolist(), model.weights.tolist()))
+    scores = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
+    for i, own in grams.items():
+        margin = model.intercept + sum(weight.get(code_of[g], 0.0) for g in own)
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-9)
