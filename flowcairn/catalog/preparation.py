@@ -333,6 +333,28 @@ def prepared_parts(spark, sf_dir):
     return out
 
 
+@query(
+    "prepared_counts",
+    """WITH c AS (SELECT CAST(event_type = 'error' AS INT) AS label, count(*) AS n FROM events GROUP BY 1),
+            s AS (SELECT label, CAST(floor(n * 0.7::DOUBLE + 0.5) AS BIGINT) AS train, CAST(floor(n * 0.85::DOUBLE + 0.5) AS BIGINT) AS upto, n FROM c)
+       SELECT 'train' AS part, label, (SELECT max(train) FROM s) AS n, 3 AS features, true AS finite FROM s
+       UNION ALL SELECT 'val', label, upto - train, 3, true FROM s UNION ALL SELECT 'test', label, n - upto, 3, true FROM s""",
+)
+def prepared_counts(spark, sf_dir):
+    """Rows per part and class after preparation: training classes are level, the others as they were split; all values finite."""
+    df, names = event_features(spark, sf_dir)
+    cfg = PrepareConfig(apply_feature_selection=True, feature_selection_k=3, apply_resampling=True)
+    fitted, parts = prepare(df, names, "label", ["event_id"], cfg)
+    out = None
+    for name, part in parts.items():
+        finite = F.coalesce(F.bool_and(F.expr(" AND ".join(f"abs({quoted(c)}) < double('Infinity')" for c in fitted.features))), F.lit(False))
+        counts = part.groupBy("label").agg(F.count(F.lit(1)).alias("n"), finite.alias("finite")).select(
+            F.lit(name).alias("part"), "label", "n", F.lit(len(fitted.features)).alias("features"), "finite"
+        )
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 _DIMENSIONS = 64
 _VECTORS_SQL = "SELECT vec_id, CAST(label < 3 AS INT) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
 # Synthetic rows lie between rows of their class, so a class keeps the bounds of every feature.
