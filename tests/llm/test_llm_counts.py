@@ -157,7 +157,7 @@ def test_mix_takes_documents_in_order_of_odds(spark):
     for (source, weight), some in by_weight.items():
         share, chance = sum(r["copies"] for r in some) / len(some), some[0]["chance"]
         assert all(r["chance"] == pytest.approx(chance) for r in some)
-        assert min(abs(share - sure - chance) for sure in range(3)) < 0.25
+        assert min(abs(share - sure - chance) for sure in range(4)) < 0.25
     for source in "ab":
         some = [r for r in out if r["source"] == source]
         expected = sum(min(3.0, r["target"] * (1.0 + r["doc_id"] % 4) / sum(x["size"] * (1.0 + x["doc_id"] % 4) for x in some)) * r["size"] for r in some)
